@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.llm.clusters import cluster_pairs, cluster_summaries
 from quillmesh.llm.cooccurrence import item_pairs
 from quillmesh.llm.encoding import encode_documents
+from quillmesh.llm.languages import document_languages, document_passages, unlabelled_languages
 from quillmesh.llm.leakage import leaked_items
+from quillmesh.llm.neardup import near_duplicate_groups, similar_pairs
 from quillmesh.llm.personal import mask_personal
 from quillmesh.llm.residue import residue_documents
 from quillmesh.llm.splitting import LIMIT, split_documents
@@ -26,6 +29,18 @@ def p1_pieces(s: SparkSession, d: str) -> DataFrame:
     return split_documents(table(s, d, "documents"))
 
 
+def p2_found(s: SparkSession, d: str) -> DataFrame:
+    return unlabelled_languages(table(s, d, "documents"))
+
+
+def p2_documents(s: SparkSession, d: str) -> DataFrame:
+    return document_languages(table(s, d, "documents"))
+
+
+def p2_passages(s: SparkSession, d: str) -> DataFrame:
+    return document_passages(table(s, d, "documents"))
+
+
 def p3_found(s: SparkSession, d: str) -> DataFrame:
     wide = [F.col(c).cast("decimal(19,0)") for c in ("n_ab", "n", "n_a", "n_b")]
     pairs = item_pairs(table(s, d, "doc_tags"), least=5)
@@ -36,17 +51,37 @@ def p3_pairs(s: SparkSession, d: str) -> DataFrame:
     return item_pairs(table(s, d, "doc_tags")).drop("n")
 
 
-def p5_masked(s: SparkSession, d: str, with_text: bool = True) -> DataFrame:
-    """Every note body and every distinct chat message with placeholders in place of personal data."""
-    names, keep = table(s, d, "known_names"), ("src", "row_id")
+def p4_found(s: SparkSession, d: str) -> DataFrame:
+    return similar_pairs(table(s, d, "documents"))
+
+
+def p4_groups(s: SparkSession, d: str) -> DataFrame:
+    """Groups of near-copies: five-word shingles, a similarity of 0.8 or more."""
+    return near_duplicate_groups(table(s, d, "documents"))
+
+
+def _personal(s: SparkSession, d: str, chat: DataFrame, with_text: bool) -> DataFrame:
     docs = table(s, d, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").alias("row_id"), "body")
-    chat = table(s, d, "chat_messages").select(F.lit("chat_messages").alias("src"), F.col("message_id").alias("row_id"), F.col("content").alias("body"))
-    return mask_personal(docs.unionByName(chat.dropDuplicates()), names, "body", keep, with_text)
+    chat = chat.select(F.lit("chat_messages").alias("src"), F.col("message_id").alias("row_id"), F.col("content").alias("body"))
+    return mask_personal(docs.unionByName(chat), table(s, d, "known_names"), "body", ("src", "row_id"), with_text)
+
+
+def p5_masked(s: SparkSession, d: str) -> DataFrame:
+    """Every note body and every distinct chat message with placeholders in place of personal data."""
+    return _personal(s, d, table(s, d, "chat_messages").dropDuplicates(), True)
 
 
 def p5_found(s: SparkSession, d: str) -> DataFrame:
-    found = p5_masked(s, d, with_text=False).select("src", "row_id", F.explode("kinds").alias("kind"))
-    return found.distinct()
+    return _personal(s, d, table(s, d, "chat_messages"), False).select("src", "row_id", F.explode("kinds").alias("kind")).distinct()
+
+
+def p6_found(s: SparkSession, d: str) -> DataFrame:
+    return cluster_pairs(table(s, d, "documents"))
+
+
+def p6_clusters(s: SparkSession, d: str) -> DataFrame:
+    """Size, most typical notes and most frequent label of each cluster."""
+    return cluster_summaries(table(s, d, "documents"))
 
 
 def p8_ids(s: SparkSession, d: str) -> DataFrame:
@@ -72,7 +107,7 @@ def p10_kinds(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_pairs, p5_found, p5_masked, p8_ids, p9_found, p9_containment, p10_found, p10_kinds)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_documents, p2_passages, p3_found, p3_pairs, p4_found, p4_groups, p5_found, p5_masked, p6_found, p6_clusters, p8_ids, p9_found, p9_containment, p10_found, p10_kinds)
 }
 
 _PAIRS = """
