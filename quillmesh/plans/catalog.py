@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillmesh.plans import changes
+from quillmesh.plans import changes, notes, search
 
-MODULES = (changes,)
-FLAGSHIP = "p7_found"
+MODULES = (changes, notes, search)
+FLAGSHIP = "hybrid_search"
 
 
 def queries() -> dict:
