@@ -51,6 +51,9 @@ def _members(least: tuple[int, int]):
                 continue
             if cell0 is not None:
                 cell, n, key = np.r_[np.full(len(keys0), cell0), cell], np.r_[ns0, n], np.r_[keys0, key]
+            if len(cell) > 1:  # copies stand next to each other
+                new = np.r_[True, (cell[1:] != cell[:-1]) | (key[1:] != key[:-1])]
+                cell, n, key = cell[new], n[new], key[new]
             start = np.r_[0, 1 + np.flatnonzero(cell[1:] != cell[:-1])]
             end = np.r_[start[1:], len(cell)]
             a_out, b_out, n_out, k_out = [], [], [], []
@@ -113,15 +116,15 @@ def _batch(a, b, n, k) -> pa.RecordBatch:
 
 
 def _block_pairs(least: tuple[int, int]):
-    """(x keys, x sizes, y keys, y sizes) of two blocks of a large cell -> pairs."""
+    """(x keys, x sizes, y keys, y sizes, same) of two blocks of a large cell -> pairs; of one block each pair once."""
     p, q = least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for kx, nx, ky, ny in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                kx, nx, ky, ny = (np.array(v) for v in (kx, nx, ky, ny))
+            for *arrays, same in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                kx, nx, ky, ny = (np.array(v) for v in arrays)
                 fits = (np.minimum(nx[:, None], ny) * q >= p * np.maximum(nx[:, None], ny)) & (kx[:, None] != ky)
-                x, y = np.nonzero(fits)
+                x, y = np.nonzero(np.triu(fits, 1) if same else fits)
                 a, b = np.minimum(kx[x], ky[y]), np.maximum(kx[x], ky[y])
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -129,16 +132,19 @@ def _block_pairs(least: tuple[int, int]):
     return run
 
 
-def candidates(rows: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """(a, b) distinct, a < b: classes that share a cell and whose sizes allow a similarity of p/q. rows: (cell, n, key)."""
+def candidates(rows: DataFrame, least: tuple[int, int], shared: int = 1) -> DataFrame:
+    """(a, b) distinct, a < b: classes that share `shared` cells and whose sizes allow a similarity of p/q. rows: (cell, n, key)."""
     found = keep(rows.repartition("cell").sortWithinPartitions("cell", "n", "key").mapInArrow(_members(least), "a long, b long, n int, block int"))
     small = found.where(F.col("block") < 0).select("a", "b")
     hot = found.where(F.col("block") >= 0)
     blocks = hot.groupBy(F.col("a").alias("cell"), "block").agg(F.collect_list("b").alias("k"), F.collect_list("n").alias("s"))
     x = blocks.select("cell", F.col("block").alias("bx"), F.col("k").alias("kx"), F.col("s").alias("nx"))
     y = blocks.select("cell", F.col("block").alias("by"), F.col("k").alias("ky"), F.col("s").alias("ny"))
-    crossed = x.join(y, "cell").where(F.col("bx") <= F.col("by")).select("kx", "nx", "ky", "ny").repartition(F.rand(7))
-    return small.unionByName(crossed.mapInArrow(_block_pairs(least), "a long, b long")).distinct()
+    crossed = x.join(y, "cell").where(F.col("bx") <= F.col("by"))
+    # The blocks' pairs are spread by a hash of their own, so lost tasks are made again in the same places.
+    crossed = crossed.select("kx", "nx", "ky", "ny", (F.col("bx") == F.col("by")).alias("same"), F.xxhash64("cell", "bx", "by").alias("spread")).repartition("spread").drop("spread")
+    pairs = small.unionByName(crossed.mapInArrow(_block_pairs(least), "a long, b long"))
+    return pairs.groupBy("a", "b").count().where(F.col("count") >= shared).select("a", "b")
 
 
 def _near(least: tuple[int, int]):
@@ -178,7 +184,7 @@ def _exact(least: tuple[int, int]):
     return run
 
 
-def similar_classes(sets: DataFrame, rows: DataFrame, least: tuple[int, int]) -> DataFrame:
+def similar_classes(sets: DataFrame, rows: DataFrame, least: tuple[int, int], shared: int = 1) -> DataFrame:
     """(a, b, similarity) of classes with a Jaccard similarity of at least p/q among the candidates of `rows`.
 
     sets: (key, n, pop, hashes) of every record. The Manhattan distance of the popcount vectors is checked
@@ -187,7 +193,7 @@ def similar_classes(sets: DataFrame, rows: DataFrame, least: tuple[int, int]) ->
     points = sets.select("key", "n", "pop").dropDuplicates(["key"])
     a = points.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("pop").alias("pa"))
     b = points.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pop").alias("pb"))
-    near = keep(candidates(rows, least).join(a, "a").join(b, "b").select("a", "b", "na", "pa", "nb", "pb").mapInArrow(_near(least), "a long, b long"))
+    near = keep(candidates(rows, least, shared).join(a, "a").join(b, "b").select("a", "b", "na", "pa", "nb", "pb").mapInArrow(_near(least), "a long, b long"))
     wanted = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
     full = sets.select("key", "hashes").join(wanted, "key", "left_semi").dropDuplicates(["key"])
     ha = full.select(F.col("key").alias("a"), F.col("hashes").alias("ha"))

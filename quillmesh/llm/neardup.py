@@ -4,9 +4,9 @@ The fingerprint of a record is the bitmap of its hashed word shingles. Cut in se
 a point; the Manhattan distance of two points never exceeds the Hamming distance of the bitmaps, which for
 a similarity of p/q is at most (q-p)/(q+p) of the sizes' sum. A grid over all coordinates has far too many
 cells next to each other for text, so the grid is anchored: two records within the bound must share one of
-the first n - ceil(p n / q) + 1 set bits of each in any common order of bits. Each of these bits is a cell
-(the order is by how rare a bit is in the whole corpus, so cells stay small); within a cell records are range-joined by size,
-by the Manhattan bound, and verified exactly. No pair of records above the threshold is lost.
+SHARED of the first n - ceil(p n / q) + SHARED set bits of each in any common order of bits. Each of these bits
+is a cell (the order is by how rare a bit is in the whole corpus, so cells stay small). Records that share so many
+cells are range-joined by size and by the Manhattan bound, and verified exactly. No pair above the threshold is lost.
 """
 
 from __future__ import annotations
@@ -19,14 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm._pairs import class_key, components, pairs_within, popcounts, similar_classes
-from quillmesh.llm._text import by_chars, distinct, owners, shingles, word_hashes
+from quillmesh.llm._text import by_chars, distinct, mix, owners, shingles, word_hashes
 from quillmesh.session import cut
 
 #: Copies of one text are expanded into all pairs up to this number; more are paired with their representative.
 COPIES = 256
-#: Counters of the sketch that orders bits by rarity: at most 2^22 bytes, however large the corpus.
-SKETCH_BITS = 22
+#: Counters of the sketch that orders bits by rarity: one for each bit of the corpus, at most 2^25 bytes.
+SKETCH_BITS = 25
 _CHUNK = 1 << 16
+#: Cells that two records have to share; sets too small to share as many get that number of cells for every bit.
+SHARED = 3
 
 
 def fingerprints(docs: DataFrame, text: str, k: int, least_words: int, least_size: int = 1, min_chars: int = 1) -> DataFrame:
@@ -63,7 +65,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def rarity(sets: DataFrame) -> tuple[int, np.ndarray]:
     """How many records have a bit, counted over all records in a sketch of bounded size (counters stop at 255)."""
     total = sets.agg(F.sum("n")).first()[0] or 0
-    bits = int(np.clip(np.ceil(np.log2(max(1, total) / 2)), 12, SKETCH_BITS))
+    bits = int(np.clip(np.ceil(np.log2(max(1, total))), 12, SKETCH_BITS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << bits, np.int32)
@@ -99,10 +101,13 @@ def cells(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
             owner = np.repeat(np.arange(len(n)), n)
             order = np.lexsort((flat, counts[(flat >> np.uint64(64 - bits)).astype(np.int64)], owner))
             place = np.arange(len(flat)) - np.repeat(at[:-1], n)
-            take = n + 1 - -(-n * p // q)
+            take = n + SHARED - -(-n * p // q)
             first = order[place < np.repeat(take, n)]
+            tiny = first[n[owner[first]] * p < SHARED * q]
+            more = [mix(flat[tiny] + np.uint64(i)) for i in range(1, SHARED)]
+            cell, first = np.concatenate([flat[first], *more]), np.concatenate([first, *[tiny] * len(more)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[first].view(np.int64)), pa.array(n[owner[first]]), pa.array(batch.column(0).to_numpy()[owner[first]])], names=["cell", "n", "key"]
+                [pa.array(cell.view(np.int64)), pa.array(n[owner[first]]), pa.array(batch.column(0).to_numpy()[owner[first]])], names=["cell", "n", "key"]
             )
 
     return sets.select("key", "n", "hashes").mapInArrow(run, "cell long, n int, key long")
@@ -111,7 +116,7 @@ def cells(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
 def similar_records(docs: DataFrame, text: str, k: int, least: tuple[int, int], least_words: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, similarity) between classes of equal shingle sets, and the membership (key, doc_id) of every record."""
     sets = cut(fingerprints(docs, text, k, least_words))
-    return similar_classes(sets, cells(sets, least), least), sets.select("key", "doc_id")
+    return similar_classes(sets, cells(sets, least), least, SHARED), sets.select("key", "doc_id")
 
 
 def similar_pairs(docs: DataFrame, text: str = "body", k: int = 3, least: tuple[int, int] = (3, 5), least_words: int = 40) -> DataFrame:
