@@ -313,7 +313,7 @@ def message_frames(s, d):
 @query()
 def rate_limit(s, d):
     """At most three accepted events of a user in a day."""
-    return L.limit_batch(table(s, d, "events"), limit=3, window=86400.0)
+    return L.limit_batch(table(s, d, "events"), limit=3, window=86400.0).drop("ts")
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -25,42 +25,47 @@ def accept(times: list[float], limit: int, window: float, state: list[float] | N
     return out, list(kept)
 
 
-def limit_batch(events: DataFrame, key: str = "user_id", limit: int = 60, window: float = 60.0) -> DataFrame:
-    """(event_id, key, accepted). Events are range-partitioned by key and time and sorted; acceptance feeds back, so a key's
-    events are walked in order: one pass with the state of one key, at most `limit` times."""
-    rows = events.select("event_id", F.col(key).alias("k"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).repartition("k").sortWithinPartitions("k", "us", "event_id")
+def limit_batch(events: DataFrame, key: str = "user_id", limit: int = 60, window: float = 60.0, before: DataFrame | None = None) -> DataFrame:
+    """(event_id, key, ts, accepted). A key's events are walked in order of time, since acceptance feeds back: one pass over
+    rows partitioned by key and sorted, with at most `limit` times of one key in memory. before: accepted events of
+    earlier batches (event_id, key, ts), which count and don't come out again."""
+    pick = lambda df, old: df.select("event_id", F.col(key).alias("k"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.lit(old).alias("old"))
+    rows = pick(events, False) if before is None else pick(events, False).unionByName(pick(before, True))
+    rows = rows.repartition("k").sortWithinPartitions("k", "us", "event_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, state = None, []
         for pdf in batches:
             flags = []
-            for k, us in zip(pdf["k"], pdf["us"]):
+            for k, us, old in zip(pdf["k"], pdf["us"], pdf["old"]):
                 if k != last:
                     last, state = k, []
-                (ok,), state = accept([us / 1e6], limit, window, state)
+                if old:
+                    state, ok = [*state, us / 1e6], True
+                else:
+                    (ok,), state = accept([us / 1e6], limit, window, state)
                 flags.append(ok)
-            yield pd.DataFrame({"event_id": pdf["event_id"], key: pdf["k"], "accepted": flags})
+            out = pd.DataFrame({"event_id": pdf["event_id"], key: pdf["k"], "us": pdf["us"], "accepted": flags})
+            yield out[~pdf["old"]]
 
-    return rows.mapInPandas(run, f"event_id long, {key} long, accepted boolean")
+    walked = rows.mapInPandas(run, f"event_id long, {key} long, us long, accepted boolean")
+    return walked.select("event_id", key, F.timestamp_micros("us").alias("ts"), "accepted")
 
 
-def limit_stream(events: DataFrame, key: str = "user_id", limit: int = 60, window: float = 60.0) -> DataFrame:
-    """The limiter on a stream: the state of a key is its accepted times, dropped when the key is idle for a window."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+def limit_stream(events: DataFrame, read_state, write_batch, key: str = "user_id", limit: int = 60, window: float = 60.0):
+    """The limiter on a stream, micro-batch by micro-batch: write_batch(decided, state) gets the batch's decisions and the
+    accepted events that a later batch still has to count, which read_state() gives back (None at the start)."""
 
-    def step(k, frames, state):
-        kept = list(state.get[0]) if state.exists and not state.hasTimedOut else []
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        ok, kept = accept([t.timestamp() for t in pdf["ts"]], limit, window, kept)
-        state.update((kept,))
-        state.setTimeoutDuration(int(window * 1000))
-        yield pd.DataFrame({"event_id": pdf["event_id"], key: k[0], "accepted": ok})
-
-    rows = events.select("event_id", key, F.col("ts").cast("timestamp").alias("ts"))
-    return rows.groupBy(key).applyInPandasWithState(step, f"event_id long, {key} long, accepted boolean", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def batch(df: DataFrame, _: int) -> None:
+        before = read_state()
+        decided = limit_batch(df, key, limit, window, before)
+        kept = decided.where("accepted").select("event_id", key, "ts")
+        kept = kept if before is None else kept.unionByName(before)
+        newest = kept.groupBy(key).agg(F.max("ts").alias("newest"))
+        live = kept.join(newest, key).where(F.unix_micros("ts") > F.unix_micros("newest") - int(window * 1e6)).select("event_id", key, "ts")
+        write_batch(decided, live)
+
+    return events.writeStream.foreachBatch(batch)
 
 
 def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
