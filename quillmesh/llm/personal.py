@@ -168,6 +168,9 @@ class Names:
 _TITLE = "|".join(sorted((re.escape(t) for t in TITLES), key=len, reverse=True))
 _BEFORE = re.compile(rf"(?P<title>(?<![\w])(?:{_TITLE})\.?{_GAP})?(?P<given>(?<![\w@.+]){_W}[\w’'\-]+,?{_GAP})?(?P<initial>(?:(?<!\w){_W}\.[\- ]?{_GAP}?)+)?$")
 _AFTER = re.compile(rf",?{_GAP}(?P<given>{_W}[\w’'\-]+)")
+#: Beside a listed given name or a form of address, which are anchors themselves: initials and further given names, then the family name.
+_FAMILY_AFTER = re.compile(rf"(?:{_GAP}(?:{_W}\.[\- ]?)+)?{_GAP}(?P<family>{_W}(?:[\w’'\-]*\w)?)(?![\w@])")
+_FAMILY_BEFORE = re.compile(rf"(?<![\w@.+\-’'/])(?P<family>{_W}(?:[\w’'\-]*\w)?),{_GAP}$")
 _AFTER_COMMA = re.compile(rf",{_GAP}?(?:(?P<given>{_W}[\w’'\-]+)|(?P<initial>{_W}\.))(?![\w@])")
 
 
@@ -175,7 +178,7 @@ class Finder:
     def __init__(self, given: Iterable[str], family: Iterable[str]):
         self.names = Names(given, family)
         groups: dict[str, dict[str, tuple]] = defaultdict(dict)
-        for kind, words in (("email", _AT_WORDS), ("id_number", ID_CUES), ("name", self.names.anchors)):
+        for kind, words in (("email", _AT_WORDS), ("id_number", ID_CUES), ("name", self.names.anchors), ("given", self.names.given), ("title", TITLES)):
             for w in words:
                 groups[w][kind] = ()
         for words, numbers in _STREETS:
@@ -190,13 +193,15 @@ class Finder:
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) in the text, in order, without overlaps; kinds earlier in KINDS win."""
         s, at = folded(text)
-        mail, cues, streets, families = False, [], [], []
+        mail, cues, streets, families, listed = False, [], [], [], []
         for end, (word, kinds) in self.anchors.iter(s):
             after = s[end + 1 : end + 2]
             if "email" in kinds:
                 mail = True
             if "name" in kinds and not after.isalnum() and after != "@":
                 families.append(end + 1)
+            if ("given" in kinds or "title" in kinds) and not (after.isalnum() or after == "@" or end >= len(word) and (s[end - len(word)].isalnum() or s[end - len(word)] in "@_")):
+                listed.append((end + 1 - len(word), end + 1, "given" in kinds))
             if "address" in kinds and _DIGIT.search(s, max(0, end - 45), end + 50):
                 streets.append((end + 1, kinds["address"]))
             if "id_number" in kinds and not (len(word) < 5 and (after.isalnum() or end >= len(word) and s[end - len(word)].isalnum())):
@@ -236,6 +241,9 @@ class Finder:
             if self.names.is_family(s[start:end]) and not (start and s[start - 1] in "@.+_" and s[start - 2 : start - 1].isalnum() and s[start - 1] != "."):
                 if (span := self._name(s, text, at, start, end)) and free(*span):
                     taken.append((*span, "name"))
+        for start, end, given in listed:
+            if (span := self._beside(s, text, at, start, end, given)) and free(*span):
+                taken.append((*span, "name"))
         return sorted((at[a] if at else a, (at[b - 1] + 1 if at else b), k) for a, b, k in taken)
 
     @staticmethod
@@ -284,6 +292,31 @@ class Finder:
             known, end = True, x.end()
         return (start, end) if known else None
 
+    def _beside(self, s: str, text: str, at: list[int] | None, a: int, b: int, given: bool) -> tuple[int, int] | None:
+        """The name that a listed given name or a form of address at [a, b) is part of; its family name may be unknown, but is written as a name."""
+
+        def shown(i: int, j: int) -> str:
+            return text[at[i] : at[j - 1] + 1] if at else text[i:j]
+
+        def named(m: re.Match) -> bool:
+            w = shown(*m.span("family"))
+            return len(w) > 2 and w[0].isupper() and (w.isupper() or not w[1:].isupper()) and m["family"] not in self._SMALL
+
+        own = shown(a, b)
+        if given and not own[0].isupper():
+            return None
+        m = _FAMILY_AFTER.match(s, b + (s[a:b] not in self._FULL and not given and s[b : b + 1] == "."), min(len(s), b + 60))
+        if m and not given and m["family"] in self.names.given:
+            m = _FAMILY_AFTER.match(s, m.end(), min(len(s), m.end() + 60)) or m
+        if m and named(m):
+            before = _BEFORE.search(s, max(0, a - 48), a) if given else None
+            return before.start("title") if before and before["title"] and not before["given"] and not before["initial"] else a, m.end()
+        if given and (m := _FAMILY_BEFORE.search(s, max(0, a - 40), a)) and named(m):
+            return m.start(), b
+        return None
+
+    #: Forms of address that aren't abbreviations; a stop behind them ends the sentence.
+    _FULL = frozenset("miss mister professor sir madam herr herrn frau monsieur madame senor senora don dona signor signora господин госпожа".split())
     #: Words before a lone family name that are no given name.
     _SMALL = frozenset("with from by to for the and of in at bei mit von und der die das für aus avec de chez et pour la le les con di da per e il lo y el los para с от при за и на".split())
 

@@ -202,6 +202,21 @@ def test_personal_data(text, kinds):
     assert finder.mask(masked)[1] == []
 
 
+@pytest.mark.parametrize(
+    ("text", "masked"),
+    [
+        ("Часът е при Стоян Чернорашки на втория етаж", "Часът е при [NAME] на втория етаж"),
+        ("avec HELEN CHARDEFAILLE au sujet", "avec [NAME] au sujet"),
+        ("Ask Helen B. Beaulanque or Durmeret, Joaquín today", "Ask [NAME] or [NAME] today"),
+        ("M. Beauponette, Mrs Helen Durmeret and г-н Чернорашки", "[NAME], [NAME] and [NAME]"),
+        ("Helen went home. Yes, señor. Somebody saw Helen", "Helen went home. Yes, señor. Somebody saw Helen"),
+        ("the 5 m cable, Helena Street, sir", "the 5 m cable, Helena Street, sir"),
+    ],
+)
+def test_given_names_and_forms_of_address_are_anchors(text, masked):
+    assert personal.Finder(GIVEN, FAMILY).mask(text)[0] == masked
+
+
 def test_masking_keeps_the_rest(spark):
     names = spark.createDataFrame([(g, "given") for g in GIVEN] + [(f, "family") for f in FAMILY] + [(None, "given")], "name string, kind string")
     rows = docs(spark, [(1, "Spoke with Helen Caldwick, call 202.555.0107!"), (2, None), (3, ""), (None, "nothing")])
