@@ -183,26 +183,44 @@ def line_kinds(line: str, messages: bool = True, filler: bool = True) -> set[str
     return kinds
 
 
-def residue_kinds(text: str, boilerplate: frozenset[int] = frozenset()) -> list[str]:
-    """Kinds of evidence in what is left of a text without code and boilerplate lines, sorted."""
+def residue_kinds(text: str, boilerplate: frozenset[int] = frozenset(), heading: int = 0, varied: frozenset[int] = frozenset()) -> list[str]:
+    """Kinds of evidence in what is left of a text without code and boilerplate lines, sorted.
+
+    Boilerplate is subtracted only from a record that has content of its own: where nothing but evidence is left
+    below the first `heading` lines (the title), the recurrent lines are the record, and are searched too. Recurrent
+    lines of `varied` have other digits in other records, so they are content unless they are evidence.
+    """
     if not text:
         return []
     prose = _TICKS.sub(" ", _FENCE.sub("\n", text)) if "`" in text or "~~~" in text else text
     low = prose.lower().replace("\xa0", " ")
     messages = next(iter(_anchored.iter(low)), None) is not None
     latin = next(iter(_latin.iter(low)), None) is not None or _STRUCK.search(low) is not None
-    kinds, weak, rest = set(), False, 0
-    for line in prose.splitlines():
+    kinds, weak, rest, own, recurrent = set(), False, 0, len(prose.split()) < len(text.split()), []
+
+    def look(line: str) -> set[str]:
         words = line.split()
         again = len(words) >= 4 and (len(set(words)) <= 0.6 * len(words) or len(set(line)) <= 3)
-        if not words or boilerplate and spark_hash(normal(line)) in boilerplate:
+        return line_kinds(line, messages, latin or again) if messages or latin or again else set()
+
+    for i, line in enumerate(prose.splitlines()):
+        if not line.strip():
+            continue
+        if boilerplate and (x := spark_hash(normal(line))) in boilerplate:
+            recurrent.append(line)
+            own = own or i >= heading and x in varied and not look(line)
             continue
-        found = line_kinds(line, messages, latin or again) if messages or latin or again else set()
+        found = look(line)
         if found == {"weak"}:
             weak = True
         elif not found:
             rest += 1
+            own = own or i >= heading
         kinds |= found - {"weak"}
+    if recurrent and not own:
+        again = [look(line) for line in recurrent]
+        kinds |= set().union(*again) - {"weak"}
+        weak = weak or {"weak"} in again and all(again)
     if any(mark in prose for mark in _MARKS) and FIELD.search(prose):
         kinds.add("field")
     if weak and not kinds and not rest:
@@ -211,40 +229,46 @@ def residue_kinds(text: str, boilerplate: frozenset[int] = frozenset()) -> list[
 
 
 def recurrent_lines(docs: DataFrame, text: str, host: str) -> DataFrame:
-    """(host, lines): the hashes of each host's boilerplate lines; at most (lines of a record) / SHARE of a host."""
-    def as_counted(line):
-        return F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(line, r"(?U)\s+", " "), "^ | $", ""), r"\d", "0"))
+    """(host, lines, varied): the hashes of each host's boilerplate lines, and of those whose digits differ between records;
+    at most (lines of a record) / SHARE of a host."""
+    def spaced(line):
+        return F.lower(F.regexp_replace(F.regexp_replace(line, r"(?U)\s+", " "), "^ | $", ""))
+
+    def with_digits(line):
+        return F.when(F.contains(line, F.lit("0")), F.xxhash64(F.element_at("own", F.array_position("all", line).cast("int"))))
 
     lines = (
         docs.where(F.col(text).isNotNull())
-        .select(F.coalesce(F.col(host), F.lit("")).alias("h"), F.array_distinct(F.transform(F.split(text, r"\R+"), as_counted)).alias("ls"))
-        .select("h", F.explode("ls").alias("l"))
-        .where(F.col("l") != "")
-        .groupBy("h", F.xxhash64("l").alias("x"))
-        .count()
+        .select(F.coalesce(F.col(host), F.lit("")).alias("h"), F.transform(F.split(text, r"\R+"), spaced).alias("own"))
+        .select("h", "own", F.transform("own", lambda x: F.regexp_replace(x, r"\d", "0")).alias("all"))
+        .select("h", F.explode(F.transform(F.array_distinct("all"), lambda x: F.struct(x.alias("l"), with_digits(x).alias("d")))).alias("s"))
+        .where(F.col("s.l") != "")
+        .groupBy("h", F.xxhash64("s.l").alias("x"))
+        .agg(F.count("*").alias("count"), (F.min("s.d") != F.max("s.d")).alias("varies"))
     )
     sizes = docs.groupBy(F.coalesce(F.col(host), F.lit("")).alias("h")).agg(F.count("*").alias("n"))
     many = lines.where(F.col("count") >= RECORDS).join(sizes, "h").where(F.col("count") >= SHARE * F.col("n"))
-    return many.groupBy("h").agg(F.collect_list("x").alias("lines"))
+    return many.groupBy("h").agg(F.collect_list("x").alias("lines"), F.collect_list(F.when(F.col("varies"), F.col("x"))).alias("varied"))
 
 
 def residue_documents(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """(doc_id, kinds) of every record to exclude; kinds are of error, field, filler, notice.
 
     Null and empty texts are no cases. Whole texts are read; a record's host may be null (one host of its own).
+    A text that begins with the record's `title` has it for its heading.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host), F.lit("")).alias("h"), F.col(text).alias("t"))
+    title = F.col("title") if "title" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host), F.lit("")).alias("h"), F.col(text).alias("t"), title.alias("head"))
     rows = rows.where(F.col("t").isNotNull() & (F.col("t") != ""))
-    joined = rows.join(recurrent_lines(docs, text, host), "h", "left").select("doc_id", "t", "lines")
+    joined = rows.join(recurrent_lines(docs, text, host), "h", "left").select("doc_id", "t", "lines", "varied", "head")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, frozenset] = {}
         for batch in batches:
             ids, kinds = [], []
-            for doc, text_, lines in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                key = tuple(lines or ())
-                gone = known.setdefault(key, frozenset(key))
-                if found := residue_kinds(text_, gone):
+            for doc, text_, lines, varied, head in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                gone, differ = (known.setdefault(key, frozenset(key)) for key in (tuple(lines or ()), tuple(varied or ())))
+                if found := residue_kinds(text_, gone, len(head.splitlines()) if head and text_.startswith(head + "\n") else 0, differ):
                     ids.append(doc)
                     kinds.append(found)
             if ids:

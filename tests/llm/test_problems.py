@@ -303,3 +303,13 @@ def test_boilerplate_lines_of_a_host_are_subtracted(spark):
     rows += [{"doc_id": 100, "body": notice, "source": "other"}, {"doc_id": 101, "body": None, "source": None}, {"doc_id": 102, "body": "Access denied.", "source": None}]
     assert {r.doc_id for r in residue.residue_documents(docs(spark, rows)).collect()} == {100, 102}
     assert residue.residue_documents(docs(spark, [])).count() == 0
+
+
+def test_recurrent_lines_that_are_the_whole_record_are_evidence(spark):
+    pages = ["Access denied.", "Garden portal\nPlease enable JavaScript to continue.", "HTTP 503\nRetry", "Lorem ipsum dolor sit amet, consectetur adipiscing elit."]
+    rows = [{"doc_id": 100 * k + i, "body": p, "source": "shop"} for k, p in enumerate(pages) for i in range(30)]
+    rows += [{"doc_id": 1000 + i, "title": f"Page {i}", "body": pages[0], "text": f"Page {i}\n{pages[0]}", "source": "shop"} for i in range(30)]
+    fine = [{"doc_id": 2000 + i, "body": f"note {'abcdefghij'[i % 10]}{'klmno'[i // 10]} on the garden\n{pages[0]}", "source": "shop"} for i in range(30)]
+    fine += [{"doc_id": 3000 + i, "body": "Garden portal", "source": "shop"} for i in range(30)]
+    got = {r.doc_id for r in residue.residue_documents(docs(spark, rows + fine)).collect()}
+    assert got == {r["doc_id"] for r in rows}
