@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from re import _parser
 
 import ahocorasick
 import pyarrow as pa
@@ -106,20 +107,50 @@ def _whole(parts: tuple[str, ...], opening: str = "") -> re.Pattern:
 ERROR, NOTICE, FILLER = _whole(_MESSAGE, _OPENING), _whole(_NOTICE, _OPENING), _whole(_FILLER)
 CODED = re.compile(rf"(?:(?:internal |server )?(?:error|fehler|erreur|errore|грешка) ?[45]\d\d ?[:–-] .+|[45]\d\d {_STATE}\b.*|{_STATE} \([45]\d\d\).*){_END}")
 #: Alone these prove nothing; a record of which nothing else is left is an error page.
-WEAK = re.compile(rf"(?:{_CODE}|oops|whoops|retry|reload|try again|nginx|apache|loading|please wait){_END}")
-
-#: One of these stands in every message above; a text without any is not read sentence by sentence for messages.
-ANCHORS = (
-    "javascript", "java script", "script", "cookie", "not found", "be found", "missing", "forbidden", "unauthori", "gateway", "bad request", "gone", "unavailable",
-    "error", "time-out", "timeout", "timed out", "denied", "permission", "privileges", "you don't have", "you do not have", "allowed", "permitted", "session has", "session is",
-    "session expired", "session timed", "session ended", "something went wrong", "could not be", "could not load", "we could not", "server could not", "browser could not", "we couldn't", "couldn't be", "cannot", "can't", "can not", "unable to", "busy", "too long", "reset", "refused", "was closed",
-    "completed", "reload", "refresh", "try again", "log in again", "an unexpected", "an internal", "an unknown", "temporarily", "currently", "the host", "the server", "the service", "this service",
-    "this server", "upstream", "doesn't exist", "does not exist", "isn't", "is not", "no longer", "too many", "is down", "your browser", "goes here", "dummy", "sample", "placeholder", "filler", "example text", "example paragraph",
-    "replace this", "replace it", "replace me", "text here", "title here", "content here", "description here", "message here", "blindtext", "platzhaltertext", "beispieltext", "die seite", "angeforderte seite", "fehler 4",
-    "fehler 5", "zugriff", "berechtigung", "keine rechte", "ist vorübergehend", "ist derzeit", "ist zurzeit", "ist momentan", "cookies", "erreur", "introuvable", "non trouvée", "accès", "droit", "autorisation", "indisponible",
-    "inaccessible", "errore", "pagina", "accesso", "permess", "autorizzazione", "servizio", "acceso", "página", "permiso", "autorización", "está disponible", "грешка", "страница", "достъп", "отказан", "нямате", "услугата", "сървърът",
-    "бисквитки", "скрипт", "примерен", "exemple", "remplissage", "ejemplo", "relleno", "esempio", "segnaposto", "oops", "whoops", "retry", "nginx", "apache", "please wait", "http 4", "http 5", "code 4", "code 5",
-)
+_WEAK_WORDS = ("oops", "whoops", "retry", "reload", "try again", "nginx", "apache", "loading", "please wait")
+WEAK = re.compile(rf"(?:{'|'.join((_CODE, *_WEAK_WORDS))}){_END}")
+
+
+
+def _needed(tree) -> frozenset[str] | None:
+    """Words of which every match of a parsed pattern contains one; None where there is no such set."""
+    best, run, sets = None, "", []
+
+    def end():
+        nonlocal run
+        sets.append(frozenset([w]) if (w := max(run.split(), key=len, default="")) else None)
+        run = ""
+
+    for op, arg in tree:
+        if op is _parser.LITERAL:
+            run += chr(arg)
+            continue
+        end()
+        if op is _parser.SUBPATTERN:
+            sets.append(_needed(arg[3]))
+        elif op is _parser.BRANCH:
+            parts = [_needed(x) for x in arg[1]]
+            sets.append(None if None in parts else frozenset().union(*parts))
+        elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and arg[0] > 0:
+            sets.append(_needed(arg[2]))
+    end()
+    for x in sets:
+        if x and (best is None or (min(map(len, x)), -len(x)) > (min(map(len, best)), -len(best))):
+            best = x
+    return best
+
+
+def anchors(*patterns: str) -> frozenset[str]:
+    """Words of which each text that one of the patterns matches contains one, derived from the patterns themselves."""
+    found = [_needed(_parser.parse(p)) for p in patterns]
+    if None in found:
+        raise ValueError(f"no word stands in every match of {patterns[found.index(None)]}")
+    return frozenset().union(*found)
+
+
+#: A text without any of these, and without a number of an error, has no message; it isn't read for messages.
+_NUMBER = re.compile(r"[45]\d\d")
+ANCHORS = anchors(*_MESSAGE, *_NOTICE, *_FILLER, *_WEAK_WORDS)
 
 
 def _automaton(words) -> ahocorasick.Automaton:
@@ -131,9 +162,7 @@ def _automaton(words) -> ahocorasick.Automaton:
 
 
 _anchored = _automaton(ANCHORS)
-_latin = _automaton(w for w in LOREM if len(w) > 4)
 _KEYS = re.compile(r"[asdfjklqwer]{2,}")
-_STRUCK = re.compile(r"^[^\w\n]*(?:[asdfjklqwer]{2,}[ \t]+){2,}[asdfjklqwer]{2,}[ \t.]*\r?$", re.M)
 _LETTER_WORD = re.compile(r"[^\W_]+")
 
 
@@ -145,7 +174,7 @@ def normal(line: str) -> str:
 def _repeats(w: list[str]) -> bool:
     if len(w) < 4 or not any(x.isalpha() for x in w):
         return False
-    if len({c for x in w for c in x}) == 1:
+    if len(set("".join(w))) == 1:
         return True
     return any(all(w[i] == w[i - p] for i in range(p, len(w))) for p in range(1, min(3, len(w) // 2) + 1)) and sum(map(len, w)) > 7
 
@@ -159,7 +188,7 @@ def _keystrokes(w: list[str]) -> bool:
     return len(letters) >= 10 and odd >= max(2, len(w) // 2)
 
 
-def line_kinds(line: str, messages: bool = True, filler: bool = True) -> set[str]:
+def line_kinds(line: str, messages: bool = True) -> set[str]:
     """Kinds of evidence of one line outside of code: error, notice, filler; weak is no evidence by itself."""
     bare = re.sub(r"\s+", " ", _LEAD.sub("", _TAG.sub(" ", line))).strip(" *_").lower()
     bare = _LEAD.sub("", bare)
@@ -176,10 +205,9 @@ def line_kinds(line: str, messages: bool = True, filler: bool = True) -> set[str
                 kinds.add("filler")
             elif WEAK.fullmatch(part):
                 kinds.add("weak")
-        if filler:
-            w = _LETTER_WORD.findall(part)
-            if len(w) >= 4 and sum(x in LOREM for x in w) >= 0.75 * len(w) or _repeats(w) or _keystrokes(w):
-                kinds.add("filler")
+        w = _LETTER_WORD.findall(part)
+        if len(w) >= 4 and sum(x in LOREM for x in w) >= 0.75 * len(w) or _repeats(w) or _keystrokes(w):
+            kinds.add("filler")
     return kinds
 
 
@@ -193,24 +221,19 @@ def residue_kinds(text: str, boilerplate: frozenset[int] = frozenset(), heading:
     if not text:
         return []
     prose = _TICKS.sub(" ", _FENCE.sub("\n", text)) if "`" in text or "~~~" in text else text
-    low = prose.lower().replace("\xa0", " ")
-    messages = next(iter(_anchored.iter(low)), None) is not None
-    latin = next(iter(_latin.iter(low)), None) is not None or _STRUCK.search(low) is not None
+    plain = "\n".join(_TAG.sub(" ", line) for line in prose.splitlines()) if "<" in prose else prose
+    low = plain.lower()
+    messages = next(iter(_anchored.iter(low)), None) is not None or _NUMBER.search(low) is not None
     kinds, weak, rest, own, recurrent = set(), False, 0, len(prose.split()) < len(text.split()), []
 
-    def look(line: str) -> set[str]:
-        words = line.split()
-        again = len(words) >= 4 and (len(set(words)) <= 0.6 * len(words) or len(set(line)) <= 3)
-        return line_kinds(line, messages, latin or again) if messages or latin or again else set()
-
     for i, line in enumerate(prose.splitlines()):
         if not line.strip():
             continue
         if boilerplate and (x := spark_hash(normal(line))) in boilerplate:
             recurrent.append(line)
-            own = own or i >= heading and x in varied and not look(line)
+            own = own or i >= heading and x in varied and not line_kinds(line, messages)
             continue
-        found = look(line)
+        found = line_kinds(line, messages)
         if found == {"weak"}:
             weak = True
         elif not found:
@@ -218,7 +241,7 @@ def residue_kinds(text: str, boilerplate: frozenset[int] = frozenset(), heading:
             own = own or i >= heading
         kinds |= found - {"weak"}
     if recurrent and not own:
-        again = [look(line) for line in recurrent]
+        again = [line_kinds(line, messages) for line in recurrent]
         kinds |= set().union(*again) - {"weak"}
         weak = weak or {"weak"} in again and all(again)
     if any(mark in prose for mark in _MARKS) and FIELD.search(prose):

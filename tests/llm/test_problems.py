@@ -313,3 +313,20 @@ def test_recurrent_lines_that_are_the_whole_record_are_evidence(spark):
     fine += [{"doc_id": 3000 + i, "body": "Garden portal", "source": "shop"} for i in range(30)]
     got = {r.doc_id for r in residue.residue_documents(docs(spark, rows + fine)).collect()}
     assert got == {r["doc_id"] for r in rows}
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [(t, "error") for t in ("You are not authorized to view this page.", "You were not authorized to open this file.", "This site was not responding.", "The site was down.", "This host gave no answer", "Il server non è disponibile", "Il server è temporaneamente fermo", "Page<b>not</b> found", "not\u202ffound", "404")]
+    + [("Bitte erlauben Sie Skripte", "notice")]
+    + [(t, "filler") for t in ("Here is some example content", "This is an example page", "Some words of a note that goes on. blah blah blah blah.", "et in id do ad")],
+)
+def test_no_message_is_left_out_for_want_of_an_anchor(text, kind):
+    assert residue.residue_kinds(text) == [kind]
+    assert residue.line_kinds(text) - {"weak"} == ({kind} if text != "404" else set())
+
+
+def test_anchors_are_derived_from_the_patterns():
+    assert residue.anchors("(?:you|we) are not (?:permitted|authori[sz]ed)", "busy(?: now)?") == {"permitted", "authori", "busy"}
+    with pytest.raises(ValueError):
+        residue.anchors("(?:a word)?[0-9]+")
