@@ -13,6 +13,8 @@ from quillmesh.functions.text import jaro_winkler
 from quillmesh.operators.graph import components
 
 SIMILAR, PREFIX, READ = 0.75, 3, 5000
+#: Surfaces of a part of a block.
+PART = 512
 _CAPITAL = re.compile(r"(?<![.!?\n]\s)(?<!^)\b[^\W\d_][\w’'-]{3,}(?:[ ][^\W\d_][\w’'-]{3,})?")
 
 
@@ -37,21 +39,34 @@ def aliases(m: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(surface, label, canonical): surfaces of a label with the same first three letters and a Jaro-Winkler similarity
     of at least 0.75 are one entity, named by the surface with most documents (ties: the first in order).
 
-    Within a block surfaces are compared with the block's vocabulary in Arrow batches; blocks are keyed by
-    label, prefix and length class (neighbouring classes meet), so a frequent prefix is spread.
+    Every two surfaces of a block (label, prefix) meet; a frequent prefix is cut in parts of about PART surfaces, and
+    two parts are work of their own, which gives only the links that connect its surfaces.
     """
     s = m.groupBy("surface", "label").agg(F.countDistinct("doc_id").alias("docs")).withColumn("id", F.xxhash64("label", "surface"))
-    base = s.withColumns({"p": F.lower(F.substring("surface", 1, PREFIX)), "c": F.floor(F.length("surface") / 4)})
-    left = base.select("label", "p", F.explode(F.array(F.col("c"), F.col("c") + 1)).alias("c"), F.col("id").alias("a"), F.col("surface").alias("sa"))
-    right = base.select("label", "p", "c", F.col("id").alias("b"), F.col("surface").alias("sb"))
-    pairs = left.join(right, ["label", "p", "c"]).where(F.col("a") != F.col("b")).select("a", "b", "sa", "sb")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keep = [jaro_winkler(x.lower(), y.lower()) >= similar for x, y in zip(pdf["sa"], pdf["sb"])]
-            yield pdf.loc[keep, ["a", "b"]]
-
-    linked = components(pairs.mapInPandas(run, "a long, b long"))
+    base = s.withColumn("p", F.lower(F.substring("surface", 1, PREFIX)))
+    sizes = base.groupBy("label", "p").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    placed = base.join(sizes, ["label", "p"]).withColumn("part", F.pmod(F.col("id"), F.col("parts")).cast("int"))
+    both = placed.select("label", "p", "id", "surface", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    spread = both.select("label", "p", "id", "surface", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links that connect what the parts' pairs connect; surfaces already reached need no further comparison."""
+        left, out = list(zip(pdf["id"], pdf["surface"].str.lower())), []
+        while left:
+            reached = [left.pop()]
+            while reached and left:
+                i, x = reached.pop()
+                far = []
+                for y in left:
+                    if jaro_winkler(x, y[1]) >= similar:
+                        out.append((i, y[0]))
+                        reached.append(y)
+                    else:
+                        far.append(y)
+                left = far
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    linked = components(spread.groupBy("label", "p", "lo", "hi").applyInPandas(lambda pdf: forest(pdf), "a long, b long"))
     grouped = s.join(linked, s.id == linked.node, "left").withColumn("root", F.coalesce("root", "id"))
     best = grouped.groupBy("root").agg(F.min_by("surface", F.struct((-F.col("docs")).alias("d"), "surface")).alias("canonical"))
     return grouped.join(best, "root").select("surface", "label", "canonical")

@@ -155,6 +155,21 @@ def test_graph_and_entities(spark):
     assert {r.surface: r.canonical for r in entities.aliases(m).collect()} == {"Martha": "Martha", "Marhta": "Martha", "Zed": "Zed"}
 
 
+@pytest.mark.parametrize("part", [2, 512])
+def test_aliases_against_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(entities, "PART", part)
+    names = ["Anna", "Annabella Rossi", "Annabel", "Anton", "Anneliese von Hohenburg", "Berta", "Bertram Quillmoor Senior", "Ber"]
+    m = spark.createDataFrame([(i, x, "NAME", 1) for i, x in enumerate(names)], "doc_id long, surface string, label string, n long")
+    root = {x: x for x in names}
+    for a in names:
+        for b in names:
+            if a[:3] == b[:3] and T.jaro_winkler(a.lower(), b.lower()) >= 0.75:
+                root = {x: root[a] if r == root[b] else r for x, r in root.items()}
+    want = {x: min(y for y in names if root[y] == root[x]) for x in names}
+    assert want["Annabella Rossi"] == "Anna"
+    assert {r.surface: r.canonical for r in entities.aliases(m).collect()} == want
+
+
 def test_metrics(spark):
     runs = spark.createDataFrame([("q", "a", 1), ("q", "b", 2), ("q", "c", 3)], "query_id string, doc_id string, rank int")
     qrels = spark.createDataFrame([("q", "b"), ("q", "x"), ("r", "y")], "query_id string, doc_id string")
