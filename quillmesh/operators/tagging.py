@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions.text import words
 from quillmesh.functions.vectors import cosine, dot, unit
+from quillmesh.session import cut
 
 #: Parameters of assignment and merging.
 MARGIN, FLOOR, MAX_TAGS = 0.85, 0.45, 3
@@ -137,28 +138,25 @@ def disjoint_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(lambda pdf: pick(pdf), "a int, b int, sim double")
 
 
-def representatives(vectors: DataFrame, labels: DataFrame, central: int = 4, diverse: int = 4, trade: float = 0.5, head: int = 200) -> DataFrame:
-    """(label, vec_id, r): the most central members, then members chosen by maximal marginal relevance.
+def representatives(vectors: DataFrame, labels: DataFrame, central: int = 4, diverse: int = 4, trade: float = 0.5) -> DataFrame:
+    """(label, vec_id, r): the most central members, then members chosen by maximal marginal relevance among all.
 
-    MMR weighs nearness to the centroid against nearness to what is chosen; it looks at the `head` most central
-    members of each label, found by a window, so no label is gathered whole.
+    MMR weighs nearness to the centroid against nearness to what is chosen. Each step scores every member against
+    the chosen ones of its label (at most central + diverse vectors a label) and takes the best of each label, so
+    no label is gathered whole.
     """
     near = vectors.join(F.broadcast(labels.select("label", "centroid")), "label").withColumn("sim", F.round(cosine(F.col("embedding"), F.col("centroid")), 6))
+    near = cut(near.select("label", "vec_id", F.transform(unit(F.col("embedding")), lambda x: x.cast("double")).alias("v"), "sim"))
     w = Window.partitionBy("label").orderBy(F.desc("sim"), "vec_id")
-    cut = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= head).select("label", "vec_id", "embedding", "sim", "r")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("r")
-        x = np.array(pdf["embedding"].tolist(), float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        chosen = list(range(min(central, len(x))))
-        while len(chosen) < min(central + diverse, len(x)):
-            rest = [i for i in range(len(x)) if i not in chosen]
-            score = [trade * pdf["sim"].iloc[i] - (1 - trade) * float((x[chosen] @ x[i]).max()) for i in rest]
-            chosen.append(rest[int(np.argmax(np.round(score, 9)))])
-        return pd.DataFrame({"label": pdf["label"].iloc[0], "vec_id": pdf["vec_id"].to_numpy()[chosen], "r": range(1, len(chosen) + 1)})
-
-    return cut.groupBy("label").applyInPandas(lambda pdf: choose(pdf), "label int, vec_id long, r int")
+    chosen = cut(near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= central).select("label", "vec_id", "v", "r"))
+    for r in range(central + 1, central + diverse + 1):
+        sent = F.broadcast(chosen.groupBy("label").agg(F.collect_list("v").alias("vs"), F.collect_list("vec_id").alias("ids")))
+        nearest = F.coalesce(F.array_max(F.transform("vs", lambda c: dot(c, F.col("v")))), F.lit(0.0))
+        rest = near.join(sent, "label", "left").where(~F.coalesce(F.array_contains("ids", F.col("vec_id")), F.lit(False)))
+        scored = rest.select("label", "vec_id", "v", F.struct((-F.round(trade * F.col("sim") - (1 - trade) * nearest, 9)).alias("s"), (-F.col("sim")).alias("c"), "vec_id").alias("order"))
+        best = scored.groupBy("label").agg(F.min_by(F.struct("vec_id", "v"), "order").alias("m"))
+        chosen = cut(chosen.unionByName(best.select("label", "m.vec_id", "m.v", F.lit(r).alias("r"))))
+    return chosen.select("label", "vec_id", F.col("r").cast("int").alias("r"))
 
 
 def keywords(docs: DataFrame, group: str, text: str = "body", k: int = 5) -> DataFrame:

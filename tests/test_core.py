@@ -145,6 +145,24 @@ def test_assignment_rules(spark):
     assert [r.unique_name for r in tagging.number_names(named).orderBy("label").collect()] == ["a", "a 2", "b"]
 
 
+def test_diverse_representatives_are_chosen_among_all_members(spark):
+    angles = [0.2 + i / 5000 if i < 250 else -0.3 - i / 2000 for i in range(300)]
+    rows = [(i, 1, [math.cos(x), math.sin(x)]) for i, x in enumerate(angles)]
+    vectors = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    centre = [1.0, 0.0]
+    labels = spark.createDataFrame([(1, centre)], "label int, centroid array<double>")
+    v = {i: x for i, _, x in rows}
+    sim = {i: round(sum(a * b for a, b in zip(x, centre)), 6) for i, x in v.items()}
+    central = sorted(v, key=lambda i: (-sim[i], i))
+    want = central[:4]
+    while len(want) < 8:
+        far = {i: round(0.5 * sim[i] - 0.5 * max(sum(a * b for a, b in zip(v[i], v[c])) for c in want), 9) for i in v if i not in want}
+        want.append(min(far, key=lambda i: (-far[i], central.index(i))))
+    assert any(central.index(i) >= 200 for i in want)
+    got = tagging.representatives(vectors, labels).orderBy("r").collect()
+    assert [r.vec_id for r in got] == want and [r.r for r in got] == list(range(1, 9))
+
+
 def test_graph_and_entities(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 51)], "a long, b long")
     assert {(r.node, r.root) for r in graph.components(e).collect()} == {(i, 0) for i in range(21)} | {(50, 50), (51, 50)}
