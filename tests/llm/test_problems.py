@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm import clusters, cooccurrence, encoding, languages, leakage, neardup, personal, residue, splitting
 from quillmesh.llm._text import words
+from quillmesh.session import cut
 
 DOC = "doc_id long, title string, body string, text string, lang string, source string, labels array<string>, key long, n int, t string"
 
@@ -168,6 +169,18 @@ def test_clusters_against_brute_force(spark):
         assert r["size"] >= 3 and len(r.typical) == 3
 
 
+def test_links_of_a_vocabulary_that_is_common_to_all(spark):
+    rng = random.Random(8)
+    vocabulary = [f"vocab{i:04d}" for i in range(90)]
+    rows = [(i, " ".join(rng.sample(vocabulary, 54))) for i in range(120)]
+    sets = {d: set(t.split()) for d, t in rows}
+    want = {(a, b) for a, b in itertools.combinations(sets, 2) if jaccard(sets[a], sets[b]) >= 0.5}
+    fine = cut(neardup.fingerprints(docs(spark, rows), "body", 1, 1, 25, 5))
+    key = {r.doc_id: r.key for r in fine.select("doc_id", "key").collect()}
+    got = {tuple(sorted((r.a, r.b))) for r in clusters.links(fine, (1, 2)).collect()}
+    assert got == {tuple(sorted((key[a], key[b]))) for a, b in want} and len(want) > 50
+
+
 # 5 ------------------------------------------------------------------------------------------------
 
 GIVEN = ["Helen", "Joaquín", "Стоян"]
