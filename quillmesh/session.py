@@ -28,17 +28,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the setting is absent (tests, one machine)."""
+    """The folder of spark.checkpoint.dir. Where it is unset a temporary one serves a local master; a cluster has to name its own."""
     sc = spark.sparkContext
     there = sc.getConf().get("spark.checkpoint.dir", None)
-    if there is None:
-        there = sc.getCheckpointDir()
-        if there is None:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillmesh-"))
-            return sc.getCheckpointDir()
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(there)
-    return there
+    if sc.getCheckpointDir() is None:
+        if there is None and not (sc.master or "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(there or tempfile.mkdtemp(prefix="quillmesh-"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
