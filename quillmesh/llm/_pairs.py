@@ -1,7 +1,11 @@
-"""Candidate pairs, their exact verification, connected components; shared by the operators on similar records.
+"""Candidate pairs by a range join inside cells, and their exact verification; shared by the operators on similar records.
 
 Records are sets of 64-bit hashes. Records with equal sets form a class; a class has a key (a hash of the
 set), and all pair work is done on classes. Membership (key, doc_id) turns classes into records again.
+
+A class is a point of SEGMENTS coordinates, the numbers of set bits in each segment of its fingerprint (the
+set as a bitmap of 2^64 bits), kept modulo 2. The Manhattan distance of two such points never exceeds the size of
+the sets' symmetric difference, which for a similarity of p/q is at most (q-p)/(q+p) of the sizes' sum.
 """
 
 from __future__ import annotations
@@ -16,10 +20,19 @@ from pyspark.sql import functions as F
 
 from quillmesh.session import cut, keep
 
-#: Classes of a cell, or members of a group, whose pairs are made by one task; larger ones are cut in blocks.
-BLOCK = 512
-#: Segments of the popcount embedding: a class is a point of so many coordinates.
-SEGMENTS = 64
+#: Classes of a cell that one task compares with each other; larger cells are cut in blocks whose pairs are separate work.
+BLOCK = 8192
+#: Members of a group whose pairs pairs_within makes in one task.
+GROUP = 512
+#: Coordinates of the popcount embedding, one bit each.
+SEGMENTS = 512
+#: Groups of up to so many classes are compared all at once, larger ones a strip of rows at a time.
+SMALL = 48
+#: Keys that a task remembers to pass each class on once.
+SEEN = 1_000_000
+
+_MEMBER = np.dtype([("n", np.int32), ("rest", np.int32), ("key", np.int64), ("point", np.uint64, SEGMENTS // 64)])
+_NONE = np.empty(0, _MEMBER)
 
 
 def class_key(sorted_hashes: np.ndarray) -> int:
@@ -27,141 +40,188 @@ def class_key(sorted_hashes: np.ndarray) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def popcounts(hashes: np.ndarray) -> bytes:
-    """Bits set in each segment of the fingerprint (the set as a bitmap of 2^64 bits), at most 255."""
-    counts = np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=SEGMENTS)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+def points(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """The popcounts modulo 2 of n records' fingerprints, packed: a row of SEGMENTS / 8 bytes for each."""
+    at = owner * SEGMENTS + (hashes >> np.uint64(65 - SEGMENTS.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=n * SEGMENTS) & 1).astype(np.uint8).reshape(n, SEGMENTS), axis=1)
 
 
-def most_apart(na: np.ndarray, nb: np.ndarray, least: tuple[int, int]) -> np.ndarray:
-    """The symmetric difference of sets of a similarity of at least p/q is at most (q-p)/(q+p) of their sizes' sum."""
-    p, q = least
-    return (q - p) * (na + nb) // (q + p)
+class Once:
+    """Tells which keys a task has not met yet: copies of a record leave a task once. Bounded; forgetting only repeats rows."""
 
+    def __init__(self):
+        self.seen: set[int] = set()
 
-def _members(least: tuple[int, int]):
-    """Rows sorted by cell (cell, n, key) -> pairs (a, b, 0, 0); cells of more than BLOCK classes -> members (cell, key, n, block)."""
-    p, q = least
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        if len(self.seen) > SEEN:
+            self.seen.clear()
+        out = np.zeros(len(keys), bool)
+        for i, k in enumerate(keys.tolist()):
+            if k not in self.seen:
+                self.seen.add(k)
+                out[i] = True
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell0, keys0, ns0, block0 = None, np.empty(0, np.int64), np.empty(0, np.int32), 0
-        for batch in batches:
-            cell, n, key = (batch.column(i).to_numpy() for i in range(3))
-            if not len(cell):
-                continue
-            if cell0 is not None:
-                cell, n, key = np.r_[np.full(len(keys0), cell0), cell], np.r_[ns0, n], np.r_[keys0, key]
-            if len(cell) > 1:  # copies stand next to each other
-                new = np.r_[True, (cell[1:] != cell[:-1]) | (key[1:] != key[:-1])]
-                cell, n, key = cell[new], n[new], key[new]
-            start = np.r_[0, 1 + np.flatnonzero(cell[1:] != cell[:-1])]
-            end = np.r_[start[1:], len(cell)]
-            a_out, b_out, n_out, k_out = [], [], [], []
-
-            def put(i: int, j: int, whole: bool) -> int:
-                """Pairs of the group [i, j); of a large one its full blocks. Returns how far it came."""
-                nonlocal block0
-                if whole and block0 == 0 and j - i <= BLOCK:
-                    if j - i > 1:
-                        x, y = np.triu_indices(j - i, 1)
-                        ok = (n[i + x] * q >= p * n[i + y]) & (key[i + x] != key[i + y])
-                        a, b = key[i + x[ok]], key[i + y[ok]]
-                        a_out.append(np.minimum(a, b)), b_out.append(np.maximum(a, b))
-                        n_out.append(np.zeros(len(a), np.int32)), k_out.append(np.full(len(a), -1, np.int32))
-                    return j
-                while j - i >= BLOCK or whole and j > i:
-                    m = min(BLOCK, j - i)
-                    a_out.append(cell[i : i + m]), b_out.append(key[i : i + m]), n_out.append(n[i : i + m]), k_out.append(np.full(m, block0, np.int32))
-                    block0 += 1
-                    i += m
-                return i
-
-            many = np.flatnonzero((end - start > 1)[:-1])
-            if block0 and len(start) > 1 and end[0] - start[0] <= 1:  # the end of a large group from the batch before
-                many = np.r_[0, many]
-            for g in many:
-                if g:
-                    block0 = 0
-                put(start[g], end[g], True)
-            if len(start) > 1:
-                block0 = 0
-            i, j = int(start[-1]), int(end[-1])
-            if j - i > 2 * BLOCK:
-                i = put(i, j, False)
-            cell0, keys0, ns0 = cell[-1], key[i:j], n[i:j]
-            if a_out:
-                yield _batch(a_out, b_out, n_out, k_out)
-        if cell0 is not None and len(keys0) + block0 > 1:
-            cell, n, key = np.full(len(keys0), cell0), ns0, keys0
-            a_out, b_out, n_out, k_out = [], [], [], []
-            if block0 == 0 and len(keys0) <= BLOCK:
-                x, y = np.triu_indices(len(keys0), 1)
-                ok = (n[x] * q >= p * n[y]) & (key[x] != key[y])
-                a, b = key[x[ok]], key[y[ok]]
-                a_out, b_out, n_out, k_out = [np.minimum(a, b)], [np.maximum(a, b)], [np.zeros(len(a), np.int32)], [np.full(len(a), -1, np.int32)]
-            else:
-                for at in range(0, len(keys0), BLOCK):
-                    m = len(keys0[at : at + BLOCK])
-                    a_out.append(cell[:m]), b_out.append(key[at : at + m]), n_out.append(n[at : at + m]), k_out.append(np.full(m, block0, np.int32))
-                    block0 += 1
-            if a_out:
-                yield _batch(a_out, b_out, n_out, k_out)
 
-    return run
+def once(sets: DataFrame) -> DataFrame:
+    """sets (key first) with each key once a task; the shuffles that follow see no hot group of copies."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new = Once()
+        for batch in batches:
+            yield batch.filter(pa.array(new(batch.column(0).to_numpy())))
 
-def _batch(a, b, n, k) -> pa.RecordBatch:
-    a, b, n, k = (np.concatenate(x) for x in (a, b, n, k))
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n.astype(np.int32)), pa.array(k)], names=["a", "b", "n", "block"])
+    return sets.mapInArrow(run, sets.schema)
 
 
-def _block_pairs(least: tuple[int, int]):
-    """(x keys, x sizes, y keys, y sizes, same) of two blocks of a large cell -> pairs; of one block each pair once."""
+def _strips(x: np.ndarray, y: np.ndarray, same: bool, least: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of the pairs of x with y (of x with itself, each once) within the Manhattan bound. Both are sorted by n."""
     p, q = least
+    cols = np.ascontiguousarray(y["point"].T)
+    for lo in range(0, len(x), 64):
+        rows = x[lo : lo + 64]
+        first = lo if same else int(np.searchsorted(y["n"], -(-int(rows["n"][0]) * p // q)))
+        end = int(np.searchsorted(y["n"], int(rows["n"][-1]) * q // p, "right"))
+        if end <= first:
+            continue
+        z = y[first:end]
+        both = rows["n"][:, None] + z["n"][None, :]
+        ok = np.minimum(rows["rest"][:, None], z["rest"][None, :]) * (p + q) >= p * both
+        if same:
+            ok &= np.arange(first, end)[None, :] > np.arange(lo, lo + len(rows))[:, None]
+        apart = np.zeros(both.shape, np.int32)
+        for w in range(len(cols)):
+            apart += np.bitwise_count(rows["point"][:, w][:, None] ^ cols[w, first:end][None, :])
+        i, j = np.nonzero(ok & (apart * (p + q) <= (q - p) * both) & (rows["key"][:, None] != z["key"][None, :]))
+        yield rows["key"][i], z["key"][j]
+
+
+def _joined(cell: np.ndarray, m: np.ndarray, least: tuple[int, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within the bound of whole cells; rows are sorted by cell and n."""
+    p, q = least
+    start = np.r_[0, 1 + np.flatnonzero(cell[1:] != cell[:-1])]
+    size = np.diff(np.r_[start, len(cell)])
+    out = []
+    for g in np.flatnonzero(size > SMALL):
+        out += _strips(m[start[g] : start[g] + size[g]], m[start[g] : start[g] + size[g]], True, least)
+    left = np.repeat(np.where(size > SMALL, 0, size), size) - (np.arange(len(cell)) - np.repeat(start, size))  # rows from here to the cell's end
+    n, rest, point = m["n"], m["rest"], m["point"]
+    i = np.flatnonzero(left > 1)
+    d = 1
+    while len(i):
+        j = i + d
+        both = n[i] + n[j]
+        fit = np.minimum(rest[i], rest[j]) * (p + q) >= p * both
+        a, b = i[fit], j[fit]
+        apart = np.bitwise_count(point[a] ^ point[b]).sum(axis=1, dtype=np.int32)
+        near = apart * (p + q) <= (q - p) * both[fit]
+        out.append((m["key"][a[near]], m["key"][b[near]]))
+        d += 1
+        i = i[left[i] > d]
+    return out
+
+
+_FOUND = "a long, b long, cell long, block int, members binary"
+
+
+def _pairs_batch(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
+    if not pairs:
+        return None
+    x, y = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+    if not len(x):
+        return None
+    ab = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+    none = pa.nulls(len(ab))
+    return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1]), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=["a", "b", "cell", "block", "members"])
+
+
+def _range_join(least: tuple[int, int], most: int):
+    """Rows (cell, n, rest, key, point) sorted by cell, n, key -> pairs (a, b) within the bound; of cells of more than `most` classes blocks of members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_cell, blocks = _NONE, None, 0  # of the last cell met: its classes not yet given out and its blocks that were
+
+        def block(rows: np.ndarray) -> pa.RecordBatch:
+            nonlocal blocks
+            blocks += 1
+            return pa.RecordBatch.from_arrays(
+                [pa.nulls(1).cast(pa.int64()), pa.nulls(1).cast(pa.int64()), pa.array([held_cell], pa.int64()), pa.array([blocks - 1], pa.int32()), pa.array([rows.tobytes()], pa.binary())], names=["a", "b", "cell", "block", "members"]
+            )
+
+        def close() -> Iterator[pa.RecordBatch]:
+            """The rest of the cell that has ended."""
+            nonlocal blocks
+            for at in range(0, len(held), most) if blocks or len(held) > most else ():
+                yield block(held[at : at + most])
+            if not blocks and len(held) > 1:
+                out = _pairs_batch(_joined(np.full(len(held), held_cell), held, least))
+                if out is not None:
+                    yield out
+            blocks = 0
+
         for batch in batches:
-            for *arrays, same in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                kx, nx, ky, ny = (np.array(v) for v in arrays)
-                fits = (np.minimum(nx[:, None], ny) * q >= p * np.maximum(nx[:, None], ny)) & (kx[:, None] != ky)
-                x, y = np.nonzero(np.triu(fits, 1) if same else fits)
-                a, b = np.minimum(kx[x], ky[y]), np.maximum(kx[x], ky[y])
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            if not batch.num_rows:
+                continue
+            cell = batch.column(0).to_numpy()
+            m = np.empty(len(cell), _MEMBER)
+            m["n"], m["rest"], m["key"] = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            m["point"] = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(len(cell), -1)
+            if len(held):
+                cell, m = np.r_[np.full(len(held), held_cell), cell], np.concatenate([held, m])
+            if len(cell) > 1:  # copies stand next to each other
+                new = np.r_[True, (cell[1:] != cell[:-1]) | (m["key"][1:] != m["key"][:-1])]
+                cell, m = cell[new], m[new]
+            if cell[0] != cell[-1]:
+                first_end, last = int(np.argmax(cell != cell[0])), int(np.flatnonzero(cell != cell[-1])[-1]) + 1
+                lo = 0
+                if blocks or first_end > most:  # the end of a large cell
+                    held, held_cell = m[:first_end], cell[0]
+                    yield from close()
+                    lo = first_end
+                if last > lo:
+                    out = _pairs_batch(_joined(cell[lo:last], m[lo:last], least))
+                    if out is not None:
+                        yield out
+                cell, m, blocks = cell[last:], m[last:], 0
+            held, held_cell = m, int(cell[-1])
+            while len(held) > 2 * most:
+                yield block(held[:most])
+                held = held[most:]
+        if held_cell is not None:
+            yield from close()
 
     return run
 
 
-def candidates(rows: DataFrame, least: tuple[int, int], shared: int = 1) -> DataFrame:
-    """(a, b) distinct, a < b: classes that share `shared` cells and whose sizes allow a similarity of p/q. rows: (cell, n, key)."""
-    found = keep(rows.repartition("cell").sortWithinPartitions("cell", "n", "key").mapInArrow(_members(least), "a long, b long, n int, block int"))
-    small = found.where(F.col("block") < 0).select("a", "b")
-    hot = found.where(F.col("block") >= 0)
-    blocks = hot.groupBy(F.col("a").alias("cell"), "block").agg(F.collect_list("b").alias("k"), F.collect_list("n").alias("s"))
-    x = blocks.select("cell", F.col("block").alias("bx"), F.col("k").alias("kx"), F.col("s").alias("nx"))
-    y = blocks.select("cell", F.col("block").alias("by"), F.col("k").alias("ky"), F.col("s").alias("ny"))
-    crossed = x.join(y, "cell").where(F.col("bx") <= F.col("by"))
-    # The blocks' pairs are spread by a hash of their own, so lost tasks are made again in the same places.
-    crossed = crossed.select("kx", "nx", "ky", "ny", (F.col("bx") == F.col("by")).alias("same"), F.xxhash64("cell", "bx", "by").alias("spread")).repartition("spread").drop("spread")
-    pairs = small.unionByName(crossed.mapInArrow(_block_pairs(least), "a long, b long"))
-    return pairs.groupBy("a", "b").count().where(F.col("count") >= shared).select("a", "b")
-
-
-def _near(least: tuple[int, int]):
-    """Pairs whose popcount vectors are within the Manhattan distance that the similarity allows (a lower bound)."""
+def _block_pairs(least: tuple[int, int]):
+    """(members of a block, members of another, same) of large cells -> pairs within the bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            va, vb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SEGMENTS).astype(np.int16) for i in (3, 5))
-            na, nb = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-            near = np.abs(va - vb).sum(axis=1) <= most_apart(na, nb, least)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(near)) for c in batch.columns[:2]], names=["a", "b"])
+            for bx, by, same in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                x, y = np.frombuffer(bx, _MEMBER), np.frombuffer(by, _MEMBER)
+                out = _pairs_batch(list(_strips(x, y, same, least)))
+                if out is not None:
+                    yield out.select(["a", "b"])
 
     return run
 
 
+def candidates(rows: DataFrame, least: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """(a, b) distinct, a < b: classes that share a cell and are within the bound for a similarity of p/q; and the cached table to drop after use.
+
+    rows: (cell, n, rest, key, point); rest is what a class has from this cell's bit on in the common order of bits.
+    If it is the first bit that two classes share, they have at most the smaller rest in common.
+    """
+    found = keep(rows.repartition("cell").sortWithinPartitions("cell", "n", "key").mapInArrow(_range_join(least, BLOCK), _FOUND))
+    hot = found.where(F.col("block").isNotNull()).select("cell", "block", "members")
+    of = hot.groupBy("cell").agg((F.max("block") + 1).alias("blocks"))
+    x = hot.join(of, "cell").select("cell", F.col("block").alias("lo"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("hi"), F.col("members").alias("mx"))
+    y = hot.select("cell", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("lo"), F.col("block").alias("hi"), F.col("members").alias("my"))
+    crossed = x.join(y, ["cell", "lo", "hi"]).select("mx", "my", (F.col("lo") == F.col("hi")).alias("same")).mapInArrow(_block_pairs(least), "a long, b long")
+    return found.where(F.col("block").isNull()).select("a", "b").unionByName(crossed).distinct(), found
+
+
 def _exact(least: tuple[int, int]):
     p, q = least
 
@@ -184,51 +244,29 @@ def _exact(least: tuple[int, int]):
     return run
 
 
-def similar_classes(sets: DataFrame, rows: DataFrame, least: tuple[int, int], shared: int = 1) -> DataFrame:
+def similar_classes(sets: DataFrame, rows: DataFrame, least: tuple[int, int]) -> DataFrame:
     """(a, b, similarity) of classes with a Jaccard similarity of at least p/q among the candidates of `rows`.
 
-    sets: (key, n, pop, hashes) of every record. The Manhattan distance of the popcount vectors is checked
-    before any set moves; what passes is verified on the sets themselves.
+    sets: (key, hashes, …) of every record. What passes the range join is verified on the sets themselves;
+    the result is written to the shared checkpoint folder.
     """
-    points = sets.select("key", "n", "pop").dropDuplicates(["key"])
-    a = points.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("pop").alias("pa"))
-    b = points.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pop").alias("pb"))
-    near = keep(candidates(rows, least, shared).join(a, "a").join(b, "b").select("a", "b", "na", "pa", "nb", "pb").mapInArrow(_near(least), "a long, b long"))
+    near, cached = candidates(rows, least)
+    near = keep(near)
     wanted = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
-    full = sets.select("key", "hashes").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    full = once(sets.select("key", "hashes")).join(wanted, "key", "left_semi").dropDuplicates(["key"])
     ha = full.select(F.col("key").alias("a"), F.col("hashes").alias("ha"))
     hb = full.select(F.col("key").alias("b"), F.col("hashes").alias("hb"))
-    return near.join(ha, "a").join(hb, "b").select("a", "b", "ha", "hb").mapInArrow(_exact(least), "a long, b long, similarity double")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(key, root): the least key of every key's connected component, by alternating large and small stars.
-
-    Rounds grow with the logarithm of the diameter; each is written to the shared checkpoint folder.
-    """
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct())
-    state = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select("u", F.col("m").alias("v")).unionByName(joined.select(F.col("v").alias("u"), F.col("m").alias("v"))).where(F.col("u") != F.col("v"))
-        e = cut(small.distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if now == state:
-            break
-        state = now
-    return e.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("key"), F.col("v").alias("root"))).distinct()
+    links = cut(near.join(ha, "a").join(hb, "b").select("a", "b", "ha", "hb").mapInArrow(_exact(least), "a long, b long, similarity double"))
+    near.unpersist(), cached.unpersist()
+    return links
 
 
 def pairs_within(members: DataFrame, group: str = "g", item: str = "doc_id") -> DataFrame:
     """(a, b) with a < b of every two items of a group; large groups are cut in blocks whose pairs are made apart."""
     m = members.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
-    sizes = m.groupBy("g").count().where(F.col("count") > 1).select("g", F.ceil(F.col("count") / BLOCK).cast("int").alias("nb"))
+    sizes = m.groupBy("g").count().where(F.col("count") > 1).select("g", F.ceil(F.col("count") / GROUP).cast("int").alias("nb"))
     blocked = m.join(sizes, "g").select("g", "i", "nb", F.pmod(F.xxhash64("i"), F.col("nb")).cast("int").alias("b"))
-    spread = keep(blocked.select("g", "i", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j")).select("g", "i", "b", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi")))
+    spread = blocked.select("g", "i", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j")).select("g", "i", "b", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"))
     x = spread.select("g", "lo", "hi", F.col("i").alias("a"), F.col("b").alias("ba"))
     y = spread.select("g", "lo", "hi", F.col("i").alias("b"), F.col("b").alias("bb"))
     apart = (F.col("lo") == F.col("hi")) | (F.col("ba") != F.col("bb"))

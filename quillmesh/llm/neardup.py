@@ -1,12 +1,11 @@
 """Problem 4: near-duplicate records, by a segment-popcount embedding and a grid range-join.
 
-The fingerprint of a record is the bitmap of its hashed word shingles. Cut in segments, its bit counts are
-a point; the Manhattan distance of two points never exceeds the Hamming distance of the bitmaps, which for
-a similarity of p/q is at most (q-p)/(q+p) of the sizes' sum. A grid over all coordinates has far too many
-cells next to each other for text, so the grid is anchored: two records within the bound must share one of
-SHARED of the first n - ceil(p n / q) + SHARED set bits of each in any common order of bits. Each of these bits
-is a cell (the order is by how rare a bit is in the whole corpus, so cells stay small). Records that share so many
-cells are range-joined by size and by the Manhattan bound, and verified exactly. No pair above the threshold is lost.
+The fingerprint of a record is the bitmap of its hashed word shingles; its bit counts by segment are a point
+(see _pairs). A grid over all coordinates has far too many cells next to each other for text, so the grid is anchored:
+two records of a similarity of p/q must share one of the first n - ceil(p n / q) + 1 set bits of each in any
+common order of bits. Each of these bits is a cell; the order is by how rare a bit is in the whole corpus, so cells
+stay small. Inside a cell records are sorted by size and range-joined under the Manhattan distance of their points,
+a lower bound, and what is within it is verified exactly. No pair above the threshold is lost.
 """
 
 from __future__ import annotations
@@ -18,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm._pairs import class_key, components, pairs_within, popcounts, similar_classes
-from quillmesh.llm._text import by_chars, distinct, mix, owners, shingles, word_hashes
+from quillmesh.llm._pairs import Once, class_key, pairs_within, points, similar_classes
+from quillmesh.llm._text import by_chars, distinct, owners, shingles, word_hashes
+from quillmesh.operators.graph import components
 from quillmesh.session import cut
 
 #: Copies of one text are expanded into all pairs up to this number; more are paired with their representative.
@@ -27,12 +27,12 @@ COPIES = 256
 #: Counters of the sketch that orders bits by rarity: one for each bit of the corpus, at most 2^25 bytes.
 SKETCH_BITS = 25
 _CHUNK = 1 << 16
-#: Cells that two records have to share; sets too small to share as many get that number of cells for every bit.
-SHARED = 3
+#: A counter holds this many steps for each doubling of its number.
+STEPS = 8
 
 
 def fingerprints(docs: DataFrame, text: str, k: int, least_words: int, least_size: int = 1, min_chars: int = 1) -> DataFrame:
-    """(doc_id, key, n, pop, hashes) of every record with enough words: the sorted hashes of its k-word shingles."""
+    """(doc_id, key, n, point, hashes) of every record with enough words: the sorted hashes of its k-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,12 +49,12 @@ def fingerprints(docs: DataFrame, text: str, k: int, least_words: int, least_siz
                 signed = np.concatenate(sets).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size[rows])].astype(np.int32)), pa.array(signed))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows)), pa.array([class_key(s) for s in sets], pa.int64()), pa.array(size[rows].astype(np.int32)), pa.array([popcounts(s) for s in sets], pa.binary()), lists],
-                    names=["doc_id", "key", "n", "pop", "hashes"],
+                    [part.column(0).take(pa.array(rows)), pa.array([class_key(s) for s in sets], pa.int64()), pa.array(size[rows].astype(np.int32)), pa.array([p.tobytes() for p in points(values, of, len(counts))[rows]], pa.binary()), lists],
+                    names=["doc_id", "key", "n", "point", "hashes"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("t")).where(F.col("t").isNotNull() & F.col("doc_id").isNotNull())
-    return rows.mapInArrow(run, "doc_id long, key long, n int, pop binary, hashes array<long>")
+    return rows.mapInArrow(run, "doc_id long, key long, n int, point binary, hashes array<long>")
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -62,61 +62,78 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64), offsets - offsets[0]
 
 
+def _coded(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.rint(STEPS * np.log2(1.0 + counts))).astype(np.uint8)
+
+
 def rarity(sets: DataFrame) -> tuple[int, np.ndarray]:
-    """How many records have a bit, counted over all records in a sketch of bounded size (counters stop at 255)."""
+    """About how many records have a bit, over all records, in a sketch of bounded size of logarithmic counters.
+
+    It only orders the bits; any order gives the same pairs. Tasks' sketches are added in two levels, so no task
+    holds more than the square root of their number at once.
+    """
     total = sets.agg(F.sum("n")).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(1, total))), 12, SKETCH_BITS))
+    width = min(_CHUNK, 1 << bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << bits, np.int32)
         for batch in batches:
-            sketch += np.bincount((_flat(batch.column(0))[0] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
-        parts = np.minimum(sketch, 255).astype(np.uint8).reshape(-1, min(_CHUNK, 1 << bits))
-        used = [i for i in range(len(parts)) if parts[i].any()]
-        if used:
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["chunk", "counts"])
+            slot, n = np.unique(_flat(batch.column(0))[0] >> np.uint64(64 - bits), return_counts=True)
+            sketch[slot.astype(np.int64)] += n.astype(np.int32)
+        parts = sketch.reshape(-1, width)
+        used = np.flatnonzero(parts.any(axis=1))
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([_coded(parts[i]).tobytes() for i in used], pa.binary())], names=["chunk", "counts"])
 
     def add(key, table):  # without hints: Spark would read them
-        total = sum(np.frombuffer(c, np.uint8).astype(np.int32) for c in table.column("counts").to_pylist())
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())})
+        total = np.zeros(width)
+        for c in table.column("counts").to_pylist():
+            total += np.exp2(np.frombuffer(c, np.uint8) / STEPS) - 1
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([_coded(total).tobytes()], pa.binary())})
 
     schema = "chunk int, counts binary"
+    levels = int(np.ceil(np.sqrt(sets.rdd.getNumPartitions())))
+    parts = sets.select("hashes").mapInArrow(count, schema).withColumn("part", F.spark_partition_id() % levels)
+    once_added = parts.groupBy("chunk", "part").applyInArrow(add, schema)
     out = np.zeros(1 << bits, np.uint8)
-    width = min(_CHUNK, 1 << bits)
-    for r in sets.select("hashes").mapInArrow(count, schema).groupBy("chunk").applyInArrow(add, schema).collect():
+    for r in once_added.groupBy("chunk").applyInArrow(add, schema).collect():
         out[r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(r["counts"], np.uint8)
     return bits, out
 
 
 def cells(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """(cell, n, key): the rarest set bits of each record, as many as a similar record cannot all lack."""
+    """(cell, n, rest, key, point): the rarest set bits of each class, as many as a similar one cannot all lack.
+
+    rest is the number of bits that a class has from the cell's bit on. Copies leave a task once.
+    """
     p, q = least
     sent = sets.sparkSession.sparkContext.broadcast(rarity(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, counts = sent.value
+        new = Once()
         for batch in batches:
-            flat, at = _flat(batch.column(2))
+            batch = batch.filter(pa.array(new(batch.column(0).to_numpy())))
+            flat, at = _flat(batch.column(3))
             n = batch.column(1).to_numpy()
             owner = np.repeat(np.arange(len(n)), n)
             order = np.lexsort((flat, counts[(flat >> np.uint64(64 - bits)).astype(np.int64)], owner))
             place = np.arange(len(flat)) - np.repeat(at[:-1], n)
-            take = n + SHARED - -(-n * p // q)
-            first = order[place < np.repeat(take, n)]
-            tiny = first[n[owner[first]] * p < SHARED * q]
-            more = [mix(flat[tiny] + np.uint64(i)) for i in range(1, SHARED)]
-            cell, first = np.concatenate([flat[first], *more]), np.concatenate([first, *[tiny] * len(more)])
+            first = place < np.repeat(n + 1 - -(-n * p // q), n)
+            of = owner[order[first]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell.view(np.int64)), pa.array(n[owner[first]]), pa.array(batch.column(0).to_numpy()[owner[first]])], names=["cell", "n", "key"]
+                [pa.array(flat[order[first]].view(np.int64)), pa.array(n[of]), pa.array((n[of] - place[first]).astype(np.int32)), batch.column(0).take(pa.array(of)), batch.column(2).take(pa.array(of))],
+                names=["cell", "n", "rest", "key", "point"],
             )
 
-    return sets.select("key", "n", "hashes").mapInArrow(run, "cell long, n int, key long")
+    return sets.select("key", "n", "point", "hashes").mapInArrow(run, "cell long, n int, rest int, key long, point binary")
 
 
 def similar_records(docs: DataFrame, text: str, k: int, least: tuple[int, int], least_words: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, similarity) between classes of equal shingle sets, and the membership (key, doc_id) of every record."""
     sets = cut(fingerprints(docs, text, k, least_words))
-    return similar_classes(sets, cells(sets, least), least, SHARED), sets.select("key", "doc_id")
+    return similar_classes(sets, cells(sets, least), least), sets.select("key", "doc_id")
 
 
 def similar_pairs(docs: DataFrame, text: str = "body", k: int = 3, least: tuple[int, int] = (3, 5), least_words: int = 40) -> DataFrame:
@@ -145,7 +162,7 @@ def near_duplicate_groups(docs: DataFrame, text: str = "body", k: int = 5, least
     """(doc_id, group_id, copies): one row for every record that has enough words; group_id is the least doc_id of
     the records linked to it directly or through others, copies the number of records with the same shingle set."""
     links, members = similar_records(docs, text, k, least, least_words)
-    roots = components(links)
+    roots = components(links).withColumnRenamed("node", "key")
     sized = members.join(members.groupBy("key").agg(F.count("*").alias("copies")), "key")
     placed = sized.join(roots, "key", "left").select("doc_id", F.coalesce("root", "key").alias("root"), "copies")
     return placed.join(placed.groupBy("root").agg(F.min("doc_id").alias("group_id")), "root").select("doc_id", "group_id", "copies")

@@ -23,7 +23,7 @@ def docs(spark, rows):
     return spark.createDataFrame(out, DOC)
 
 
-# 1 ------------------------------------------------------------------------------------------------
+# Problem 1
 
 
 @pytest.mark.parametrize("text", ["a" * 5000, "word " * 2000, "Line one.\r\n\r\n" * 400, "# H\n" + "x y. " * 900, "é" * 1501, "\n" * 4000])
@@ -48,7 +48,7 @@ def test_split_documents_null_empty_and_short(spark):
     assert splitting.split_documents(docs(spark, [])).count() == 0
 
 
-# 2 ------------------------------------------------------------------------------------------------
+# Problem 2
 
 SAMPLES = {
     "en": ["the cat sat on the mat and it was a very good day for all of us", "we will go to the shop with her because there is no bread in the house"],
@@ -80,7 +80,7 @@ def test_labels(spark):
     assert [r[0] for r in df.select(languages.label_language(F.col("lang"))).collect()] == ["en", "en", "de", "fr", None, None, None, None, "es", None]
 
 
-# 3 ------------------------------------------------------------------------------------------------
+# Problem 3
 
 
 @pytest.mark.parametrize("shift", [0, 2**40, -(10**6)])
@@ -100,7 +100,7 @@ def test_pairs_of_nothing(spark):
     assert cooccurrence.item_pairs(spark.createDataFrame([], "doc_id long, tag_id long")).count() == 0
 
 
-# 4 and 6 ------------------------------------------------------------------------------------------
+# Problem 4 and 6
 
 
 def edited(rng, w, share):
@@ -123,7 +123,7 @@ def jaccard(x, y):
     return len(x & y) / len(x | y) if x | y else 0
 
 
-@pytest.mark.parametrize("block", [4, 512])
+@pytest.mark.parametrize("block", [2, 5, 8192])
 def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr("quillmesh.llm._pairs.BLOCK", block)
     rows = corpus(1)
@@ -181,7 +181,7 @@ def test_links_of_a_vocabulary_that_is_common_to_all(spark):
     assert got == {tuple(sorted((key[a], key[b]))) for a, b in want} and len(want) > 50
 
 
-# 5 ------------------------------------------------------------------------------------------------
+# Problem 5
 
 GIVEN = ["Helen", "Joaquín", "Стоян"]
 FAMILY = [p + s for p in ("Bram", "Cald", "Quill", "Harrow") for s in ("bury", "shaw", "grave", "wick")] + ["Riozabal", "Белелярски"]
@@ -238,7 +238,7 @@ def test_masking_keeps_the_rest(spark):
     assert personal.mask_personal(docs(spark, []), names.limit(0), "body", ("doc_id",)).count() == 0
 
 
-# 8 ------------------------------------------------------------------------------------------------
+# Problem 8
 
 
 def test_ids_equal_the_public_library(spark):
@@ -257,7 +257,7 @@ def test_ids_equal_the_public_library(spark):
     assert got == {i: ref.encode_ordinary(t or "") for i, t in enumerate(texts)}
 
 
-# 9 ------------------------------------------------------------------------------------------------
+# Problem 9
 
 
 def test_leaks_against_brute_force(spark):
@@ -282,7 +282,7 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaked_items(docs(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
-# 10 -----------------------------------------------------------------------------------------------
+# Problem 10
 
 
 @pytest.mark.parametrize(
