@@ -3,7 +3,7 @@
 Records are sets of 64-bit hashes. Records with equal sets form a class; a class has a key (a hash of the
 set), and all pair work is done on classes. Membership (key, doc_id) turns classes into records again.
 
-A class is a point of SEGMENTS coordinates, the numbers of set bits in each segment of its fingerprint (the
+A class is a point of some hundred coordinates, the numbers of set bits in each segment of its fingerprint (the
 set as a bitmap of 2^64 bits), kept modulo 2. The Manhattan distance of two such points never exceeds the size of
 the sets' symmetric difference, which for a similarity of p/q is at most (q-p)/(q+p) of the sizes' sum.
 """
@@ -24,15 +24,19 @@ from quillmesh.session import cut, keep
 BLOCK = 8192
 #: Members of a group whose pairs pairs_within makes in one task.
 GROUP = 512
-#: Coordinates of the popcount embedding, one bit each.
-SEGMENTS = 512
+#: Counters of a sketch at most.
+SKETCH_BITS = 25
+_CHUNK = 1 << 16
+#: A counter holds this many steps for each doubling of its number.
+STEPS = 8
 #: Groups of up to so many classes are compared all at once, larger ones a strip of rows at a time.
 SMALL = 48
 #: Keys that a task remembers to pass each class on once.
 SEEN = 1_000_000
 
-_MEMBER = np.dtype([("n", np.int32), ("rest", np.int32), ("key", np.int64), ("point", np.uint64, SEGMENTS // 64)])
-_NONE = np.empty(0, _MEMBER)
+
+def _member(segments: int) -> np.dtype:
+    return np.dtype([("n", np.int32), ("rest", np.int32), ("key", np.int64), ("point", np.uint64, (segments // 64,))])
 
 
 def class_key(sorted_hashes: np.ndarray) -> int:
@@ -40,10 +44,56 @@ def class_key(sorted_hashes: np.ndarray) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def points(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """The popcounts modulo 2 of n records' fingerprints, packed: a row of SEGMENTS / 8 bytes for each."""
-    at = owner * SEGMENTS + (hashes >> np.uint64(65 - SEGMENTS.bit_length())).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=n * SEGMENTS) & 1).astype(np.uint8).reshape(n, SEGMENTS), axis=1)
+def points(hashes: np.ndarray, owner: np.ndarray, n: int, segments: int) -> np.ndarray:
+    """The popcounts modulo 2 of n records' fingerprints, packed: a row of segments / 8 bytes for each."""
+    at = owner * segments + (hashes >> np.uint64(65 - segments.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=n * segments) & 1).astype(np.uint8).reshape(n, segments), axis=1)
+
+
+def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64), offsets - offsets[0]
+
+
+def _coded(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.rint(STEPS * np.log2(1.0 + counts))).astype(np.uint8)
+
+
+def sketch(lists: DataFrame, slots: int = 1) -> tuple[int, np.ndarray]:
+    """(bits, counters): about how often a hash of the lists (one column) occurs, by its first `bits` bits, in a sketch of
+    `slots` logarithmic counters for each hash and 2^SKETCH_BITS in all. A hash that occurs has a counter above 0.
+
+    Tasks' sketches are added in two levels, so no task holds more than the square root of their number at once.
+    """
+    column = lists.columns[0]
+    total = lists.agg(F.sum(F.size(column))).first()[0] or 0
+    bits = int(np.clip(np.ceil(np.log2(max(1, total * slots))), 12, SKETCH_BITS))
+    width = min(_CHUNK, 1 << bits)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros(1 << bits, np.int32)
+        for batch in batches:
+            slot, n = np.unique(flat_lists(batch.column(0))[0] >> np.uint64(64 - bits), return_counts=True)
+            sketch[slot.astype(np.int64)] += n.astype(np.int32)
+        parts = sketch.reshape(-1, width)
+        used = np.flatnonzero(parts.any(axis=1))
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([_coded(parts[i]).tobytes() for i in used], pa.binary())], names=["chunk", "counts"])
+
+    def add(key, table):  # without hints: Spark would read them
+        total = np.zeros(width)
+        for c in table.column("counts").to_pylist():
+            total += np.exp2(np.frombuffer(c, np.uint8) / STEPS) - 1
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([_coded(total).tobytes()], pa.binary())})
+
+    schema = "chunk int, counts binary"
+    levels = int(np.ceil(np.sqrt(lists.rdd.getNumPartitions())))
+    parts = lists.mapInArrow(count, schema).withColumn("part", F.spark_partition_id() % levels)
+    once_added = parts.groupBy("chunk", "part").applyInArrow(add, schema)
+    out = np.zeros(1 << bits, np.uint8)
+    for r in once_added.groupBy("chunk").applyInArrow(add, schema).collect():
+        out[r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(r["counts"], np.uint8)
+    return bits, out
 
 
 class Once:
@@ -63,12 +113,16 @@ class Once:
         return out
 
 
-def once(sets: DataFrame) -> DataFrame:
-    """sets (key first) with each key once a task; the shuffles that follow see no hot group of copies."""
+def once(sets: DataFrame, wanted: tuple[int, np.ndarray]) -> DataFrame:
+    """Rows of sets (key first) whose key may be in the sketch `wanted`, each once a task: no hot group of copies is shuffled."""
+    sent = sets.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, there = sent.value
         new = Once()
         for batch in batches:
+            keys = batch.column(0).to_numpy()
+            batch = batch.filter(pa.array(there[(keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)] > 0))
             yield batch.filter(pa.array(new(batch.column(0).to_numpy())))
 
     return sets.mapInArrow(run, sets.schema)
@@ -121,7 +175,7 @@ def _joined(cell: np.ndarray, m: np.ndarray, least: tuple[int, int]) -> list[tup
     return out
 
 
-_FOUND = "a long, b long, cell long, block int, members binary"
+_FOUND = "a long, b long, cell long, block int, segments int, members binary"
 
 
 def _pairs_batch(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
@@ -132,20 +186,20 @@ def _pairs_batch(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch |
         return None
     ab = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
     none = pa.nulls(len(ab))
-    return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1]), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=["a", "b", "cell", "block", "members"])
+    return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1]), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], names=["a", "b", "cell", "block", "segments", "members"])
 
 
 def _range_join(least: tuple[int, int], most: int):
     """Rows (cell, n, rest, key, point) sorted by cell, n, key -> pairs (a, b) within the bound; of cells of more than `most` classes blocks of members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_cell, blocks = _NONE, None, 0  # of the last cell met: its classes not yet given out and its blocks that were
+        held, held_cell, blocks = (), None, 0  # of the last cell met: its classes not yet given out and its blocks that were
 
         def block(rows: np.ndarray) -> pa.RecordBatch:
             nonlocal blocks
             blocks += 1
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(1).cast(pa.int64()), pa.nulls(1).cast(pa.int64()), pa.array([held_cell], pa.int64()), pa.array([blocks - 1], pa.int32()), pa.array([rows.tobytes()], pa.binary())], names=["a", "b", "cell", "block", "members"]
+                [pa.nulls(1).cast(pa.int64()), pa.nulls(1).cast(pa.int64()), pa.array([held_cell], pa.int64()), pa.array([blocks - 1], pa.int32()), pa.array([64 * rows["point"].shape[1]], pa.int32()), pa.array([rows.tobytes()], pa.binary())], names=["a", "b", "cell", "block", "segments", "members"]
             )
 
         def close() -> Iterator[pa.RecordBatch]:
@@ -163,9 +217,10 @@ def _range_join(least: tuple[int, int], most: int):
             if not batch.num_rows:
                 continue
             cell = batch.column(0).to_numpy()
-            m = np.empty(len(cell), _MEMBER)
+            coded = b"".join(batch.column(4).to_pylist())
+            m = np.empty(len(cell), _member(8 * len(coded) // len(cell)))
             m["n"], m["rest"], m["key"] = (batch.column(i).to_numpy() for i in (1, 2, 3))
-            m["point"] = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(len(cell), -1)
+            m["point"] = np.frombuffer(coded, np.uint64).reshape(len(cell), -1)
             if len(held):
                 cell, m = np.r_[np.full(len(held), held_cell), cell], np.concatenate([held, m])
             if len(cell) > 1:  # copies stand next to each other
@@ -194,12 +249,12 @@ def _range_join(least: tuple[int, int], most: int):
 
 
 def _block_pairs(least: tuple[int, int]):
-    """(members of a block, members of another, same) of large cells -> pairs within the bound."""
+    """(members of a block, members of another, same, segments) of large cells -> pairs within the bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bx, by, same in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                x, y = np.frombuffer(bx, _MEMBER), np.frombuffer(by, _MEMBER)
+            for bx, by, same, segments in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                x, y = np.frombuffer(bx, _member(segments)), np.frombuffer(by, _member(segments))
                 out = _pairs_batch(list(_strips(x, y, same, least)))
                 if out is not None:
                     yield out.select(["a", "b"])
@@ -214,11 +269,11 @@ def candidates(rows: DataFrame, least: tuple[int, int]) -> tuple[DataFrame, Data
     If it is the first bit that two classes share, they have at most the smaller rest in common.
     """
     found = keep(rows.repartition("cell").sortWithinPartitions("cell", "n", "key").mapInArrow(_range_join(least, BLOCK), _FOUND))
-    hot = found.where(F.col("block").isNotNull()).select("cell", "block", "members")
+    hot = found.where(F.col("block").isNotNull()).select("cell", "block", "segments", "members")
     of = hot.groupBy("cell").agg((F.max("block") + 1).alias("blocks"))
     x = hot.join(of, "cell").select("cell", F.col("block").alias("lo"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("hi"), F.col("members").alias("mx"))
-    y = hot.select("cell", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("lo"), F.col("block").alias("hi"), F.col("members").alias("my"))
-    crossed = x.join(y, ["cell", "lo", "hi"]).select("mx", "my", (F.col("lo") == F.col("hi")).alias("same")).mapInArrow(_block_pairs(least), "a long, b long")
+    y = hot.select("cell", "segments", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("lo"), F.col("block").alias("hi"), F.col("members").alias("my"))
+    crossed = x.join(y, ["cell", "lo", "hi"]).select("mx", "my", (F.col("lo") == F.col("hi")).alias("same"), "segments").mapInArrow(_block_pairs(least), "a long, b long")
     return found.where(F.col("block").isNull()).select("a", "b").unionByName(crossed).distinct(), found
 
 
@@ -252,8 +307,8 @@ def similar_classes(sets: DataFrame, rows: DataFrame, least: tuple[int, int]) ->
     """
     near, cached = candidates(rows, least)
     near = keep(near)
-    wanted = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
-    full = once(sets.select("key", "hashes")).join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    wanted = sketch(near.select(F.array("a", "b")), 8)
+    full = once(sets.select("key", "hashes"), wanted).dropDuplicates(["key"])
     ha = full.select(F.col("key").alias("a"), F.col("hashes").alias("ha"))
     hb = full.select(F.col("key").alias("b"), F.col("hashes").alias("hb"))
     links = cut(near.join(ha, "a").join(hb, "b").select("a", "b", "ha", "hb").mapInArrow(_exact(least), "a long, b long, similarity double"))

@@ -17,21 +17,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm._pairs import Once, class_key, pairs_within, points, similar_classes
+from quillmesh.llm._pairs import Once, class_key, flat_lists, pairs_within, points, similar_classes, sketch
 from quillmesh.llm._text import by_chars, distinct, owners, shingles, word_hashes
 from quillmesh.operators.graph import components
 from quillmesh.session import cut
 
 #: Copies of one text are expanded into all pairs up to this number; more are paired with their representative.
 COPIES = 256
-#: Counters of the sketch that orders bits by rarity: one for each bit of the corpus, at most 2^25 bytes.
-SKETCH_BITS = 25
-_CHUNK = 1 << 16
-#: A counter holds this many steps for each doubling of its number.
-STEPS = 8
+#: Records whose cells are made at once.
+ROWS = 1000
+#: Coordinates of the points of texts; runs of words are rare, so that few of them serve.
+SEGMENTS = 128
 
 
-def fingerprints(docs: DataFrame, text: str, k: int, least_words: int, least_size: int = 1, min_chars: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str, k: int, least_words: int, least_size: int = 1, min_chars: int = 1, segments: int = SEGMENTS) -> DataFrame:
     """(doc_id, key, n, point, hashes) of every record with enough words: the sorted hashes of its k-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +48,7 @@ def fingerprints(docs: DataFrame, text: str, k: int, least_words: int, least_siz
                 signed = np.concatenate(sets).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size[rows])].astype(np.int32)), pa.array(signed))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows)), pa.array([class_key(s) for s in sets], pa.int64()), pa.array(size[rows].astype(np.int32)), pa.array([p.tobytes() for p in points(values, of, len(counts))[rows]], pa.binary()), lists],
+                    [part.column(0).take(pa.array(rows)), pa.array([class_key(s) for s in sets], pa.int64()), pa.array(size[rows].astype(np.int32)), pa.array([p.tobytes() for p in points(values, of, len(counts), segments)[rows]], pa.binary()), lists],
                     names=["doc_id", "key", "n", "point", "hashes"],
                 )
 
@@ -57,65 +56,20 @@ def fingerprints(docs: DataFrame, text: str, k: int, least_words: int, least_siz
     return rows.mapInArrow(run, "doc_id long, key long, n int, point binary, hashes array<long>")
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    offsets = column.offsets.to_numpy()
-    return column.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64), offsets - offsets[0]
-
-
-def _coded(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(255, np.rint(STEPS * np.log2(1.0 + counts))).astype(np.uint8)
-
-
-def rarity(sets: DataFrame) -> tuple[int, np.ndarray]:
-    """About how many records have a bit, over all records, in a sketch of bounded size of logarithmic counters.
-
-    It only orders the bits; any order gives the same pairs. Tasks' sketches are added in two levels, so no task
-    holds more than the square root of their number at once.
-    """
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    bits = int(np.clip(np.ceil(np.log2(max(1, total))), 12, SKETCH_BITS))
-    width = min(_CHUNK, 1 << bits)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << bits, np.int32)
-        for batch in batches:
-            slot, n = np.unique(_flat(batch.column(0))[0] >> np.uint64(64 - bits), return_counts=True)
-            sketch[slot.astype(np.int64)] += n.astype(np.int32)
-        parts = sketch.reshape(-1, width)
-        used = np.flatnonzero(parts.any(axis=1))
-        if len(used):
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([_coded(parts[i]).tobytes() for i in used], pa.binary())], names=["chunk", "counts"])
-
-    def add(key, table):  # without hints: Spark would read them
-        total = np.zeros(width)
-        for c in table.column("counts").to_pylist():
-            total += np.exp2(np.frombuffer(c, np.uint8) / STEPS) - 1
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([_coded(total).tobytes()], pa.binary())})
-
-    schema = "chunk int, counts binary"
-    levels = int(np.ceil(np.sqrt(sets.rdd.getNumPartitions())))
-    parts = sets.select("hashes").mapInArrow(count, schema).withColumn("part", F.spark_partition_id() % levels)
-    once_added = parts.groupBy("chunk", "part").applyInArrow(add, schema)
-    out = np.zeros(1 << bits, np.uint8)
-    for r in once_added.groupBy("chunk").applyInArrow(add, schema).collect():
-        out[r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(r["counts"], np.uint8)
-    return bits, out
-
-
 def cells(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
     """(cell, n, rest, key, point): the rarest set bits of each class, as many as a similar one cannot all lack.
 
     rest is the number of bits that a class has from the cell's bit on. Copies leave a task once.
     """
     p, q = least
-    sent = sets.sparkSession.sparkContext.broadcast(rarity(sets))
+    sent = sets.sparkSession.sparkContext.broadcast(sketch(sets.select("hashes")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, counts = sent.value
         new = Once()
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             batch = batch.filter(pa.array(new(batch.column(0).to_numpy())))
-            flat, at = _flat(batch.column(3))
+            flat, at = flat_lists(batch.column(3))
             n = batch.column(1).to_numpy()
             owner = np.repeat(np.arange(len(n)), n)
             order = np.lexsort((flat, counts[(flat >> np.uint64(64 - bits)).astype(np.int64)], owner))
