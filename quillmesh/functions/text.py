@@ -5,19 +5,29 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Words and marks that make a question complex.
-COMPLEX_MARKERS = ("compare", "difference", "versus", "vs", "between", "how does", "relate", "relationship", "why", "explain", "summarize", "all my", "everything", "timeline", "pros and cons", "trade-off")
+# What makes a question complex wherever it stands in it.
+COMPLEX_MARKERS = (
+    "compared to", "versus", "vs", "before", "after", "between", "and also", "as well as",
+    "last week", "last month", "yesterday", "recently", "both", "difference", "similar", "changed",
+)
+# Scripts written without blanks, whose runs are cut in pairs of characters.
+UNSPACED = (
+    (0x0E00, 0x0E7F), (0x0E80, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3040, 0x309F),
+    (0x30A0, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7AF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F),
+)
 
 
 def clean_note(text: Column) -> Column:
     """Front matter (at the very start only), code fences, links, URLs, markup and runs of white space removed, in this order."""
-    steps = (
+    steps = (  # fixed values: what is removed must agree with stored texts
         (r"(?s)\A---\n.*?\n---\n?", ""),
         (r"(?s)```.*?```", " "),
         (r"\[([^\]]*)\]\([^)]*\)", "$1"),
@@ -30,6 +40,16 @@ def clean_note(text: Column) -> Column:
     return F.trim(text)
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any script at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def cleaned_text(title: Column, body: Column) -> Column:
+    """What search sees of a note: title without its type prefix and body, cleaned."""
+    return clean_note(stripped(F.concat(strip_type_prefix(F.coalesce(title, F.lit(""))), F.lit(" "), F.coalesce(body, F.lit("")))))
+
+
 def words(text: Column) -> Column:
     """Runs of letters and digits, lower-cased, of two characters or more."""
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1), lambda w: F.length(w) > 1)
@@ -82,11 +102,33 @@ def strip_invalid_citations(answer: Column, count: Column) -> Column:
     return F.aggregate(bad, answer, lambda acc, x: F.replace(acc, F.concat(F.lit("[Note #"), x.cast("string"), F.lit("]")), F.lit("")))
 
 
-def claims(answer: Column) -> Column:
-    """Sentences of 15 characters or more that are no headers."""
-    lines = F.filter(F.split(answer, r"\n"), lambda l: ~F.trim(l).startswith("#"))
-    parts = F.flatten(F.transform(lines, lambda l: F.split(F.trim(l), r"(?<=[.!?])\s+")))
-    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: F.length(p) >= 15)
+_MARK = r"\[Note\s*#\s*\d+(?:\s*,\s*#\s*\d+)*\]"
+
+
+def _sentences(answer: Column, least: int = 0) -> Column:
+    """Sentences of the lines of an answer in order; lines shorter than `least` are left out, and headings if least > 0."""
+    lines = F.filter(F.transform(F.split(answer, r"\n"), lambda l: F.trim(l)), lambda l: (l != "") & (F.length(l) >= least) & (~l.startswith("#") if least else F.lit(True)))
+    return F.flatten(F.transform(lines, lambda l: F.split(l, r"(?<=[.!?])\s+")))
+
+
+def _bare(sentence: Column) -> Column:
+    """A sentence without citation marks and leading markup."""
+    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(sentence, _MARK, "")), r"^[\s\-*#>]+", ""))
+
+
+def claims(answer: Column, least: int = 15) -> Column:
+    """Claims (text, cited) of an answer: sentences of `least` characters or more, also without their marks, and the first note they cite."""
+    found = F.transform(
+        F.filter(_sentences(answer, least), lambda p: F.length(F.trim(p)) >= least),
+        lambda p: F.struct(_bare(p).alias("text"), F.try_to_number(F.nullif(F.regexp_extract(p, r"\[Note\s*#(\d+)", 1), F.lit("")), F.lit("999999999")).cast("int").alias("cited")),
+    )
+    return F.filter(found, lambda c: F.length(c["text"]) >= least)
+
+
+def claim_context(answer: Column, number: Column) -> Column:
+    """The sentences whose mark begins with that note number, joined, without marks; null if there are none."""
+    pattern = F.concat(F.lit(r"\[Note\s*#\s*"), number.cast("string"), F.lit(r"(?:\s*,\s*#\s*\d+)*\]"))
+    return F.nullif(_bare(F.array_join(F.filter(_sentences(answer), lambda p: F.regexp_like(p, pattern)), " ")), F.lit(""))
 
 
 def split_thinking(message: Column) -> tuple[Column, Column]:
@@ -107,46 +149,58 @@ def list_line(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"^\s*(?:[-*•]|\d+[.)])\s*", ""))
 
 
-@F.pandas_udf(T.StringType())
-def normalize(text: pd.Series) -> pd.Series:
-    """Compatibility decomposition, lower case; marks on letters before U+0530 are dropped."""
+@lru_cache(1)
+def _marks() -> re.Pattern:
+    """A letter before U+0530 and the combining marks that follow it."""
+    marks = "".join(c for c in map(chr, range(0x300, 0x20000)) if unicodedata.combining(c))
+    return re.compile(f"((?![{marks}])[\\x00-\\u052f])[{marks}]+")
 
-    def one(s):
-        if s is None:
-            return None
-        out, base = [], ""
-        for ch in unicodedata.normalize("NFKD", s).lower():
-            if unicodedata.combining(ch):
-                if base and ord(base) < 0x530:
-                    continue
-            else:
-                base = ch
-            out.append(ch)
-        return "".join(out)
 
-    return text.map(one)
+def normalized(text: str) -> str:
+    """Compatibility decomposition, lower case; marks on letters before U+0530 are dropped."""
+    return text.lower() if text.isascii() else _marks().sub(r"\1", unicodedata.normalize("NFKD", text).lower())
+
+
+_ALNUM = re.compile(r"[^\W_]+")
+_UNSPACED = "".join(f"{chr(a)}-{chr(b)}" for a, b in UNSPACED)
+_RUN = re.compile(f"[{_UNSPACED}]+|[^{_UNSPACED}]+")
+_IS_UNSPACED = re.compile(f"[{_UNSPACED}]")
+
+
+def _stemmed(word: str) -> str:
+    if word.isascii():
+        word = next((word[: -len(e)] for e in ("ing", "ed", "es") if word.endswith(e) and len(word) > len(e) + 2), word)
+        if len(word) > 3 and word[-1] == "s" and word[-2] != "s":
+            return word[:-1]
+    return word
+
+
+def search_terms(text: str | None) -> list[str]:
+    """Terms of a text for keyword search: normalised words of two characters or more, stemmed; runs of scripts without
+    blanks as pairs of characters (a single one as it is)."""
+    if not text:
+        return []
+    plain = normalized(text)
+    if plain.isascii() or not _IS_UNSPACED.search(plain):
+        return [_stemmed(w) for w in _ALNUM.findall(plain) if len(w) > 1]
+    out = []
+    for word in _ALNUM.findall(plain):
+        for run in _RUN.findall(word):
+            if _IS_UNSPACED.match(run):
+                out += [run[i : i + 2] for i in range(len(run) - 1)] or [run]
+            elif len(run) > 1:
+                out.append(_stemmed(run))
+    return out
 
 
-_CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힯]+|[^\W_぀-ヿ㐀-䶿一-鿿가-힯]+")
-_IS_CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힯]")
+@F.pandas_udf(T.StringType())
+def normalize(text: pd.Series) -> pd.Series:
+    return text.map(lambda s: None if s is None else normalized(s))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def multilingual_words(text: pd.Series) -> pd.Series:
-    """Words of normalised text: runs of CJK characters as bigrams (a single one as it is), others of two characters or more."""
-
-    def one(s):
-        if s is None:
-            return []
-        out = []
-        for run in _CJK.findall(s):
-            if _IS_CJK.match(run):
-                out += [run[i : i + 2] for i in range(len(run) - 1)] or [run]
-            elif len(run) > 1:
-                out.append(run)
-        return out
-
-    return text.map(one)
+def multilingual_terms(text: pd.Series) -> pd.Series:
+    return text.map(search_terms)
 
 
 @F.pandas_udf(T.StringType())
@@ -163,50 +217,85 @@ def content_hash(title: Column, body: Column) -> Column:
     return blake2(F.concat(title, F.lit("\n"), body))
 
 
+# Fixed value: the object that a model's answer holds.
+_TAG_OBJECT = re.compile(r'\{[^{}]*"tag"\s*:\s*"([^"]*)"')
+
+
+def unwrapped_tag(raw: str) -> str:
+    """The tag in a model's answer: what a leading fence holds, the value of "tag" in a JSON object, or the text itself."""
+    s = raw.strip()
+    if s.startswith("```"):
+        s = s.partition("\n")[2].partition("```")[0].strip()
+    m = _TAG_OBJECT.search(s)
+    return m.group(1) if m else s
+
+
+_NAME = re.compile(r"[A-Za-zА-Яа-я0-9][A-Za-zА-Яа-я0-9\s&/_-]*")
+
+
 @F.pandas_udf(T.StringType())
 def tag_name(raw: pd.Series) -> pd.Series:
-    """A model's answer as a tag: fence and JSON unwrapped, at most three words in title case; null if nothing is left."""
-    import json
+    """A model's answer as a tag: unwrapped, punctuation off, at most three words in title case; null if other characters are left."""
 
     def one(s):
         if s is None:
             return None
-        s = re.sub(r"^\s*```\w*\s*|\s*```\s*$", "", s.strip())
-        m = re.search(r"\{.*\}", s, re.S)
-        if m:
-            try:
-                found = json.loads(m.group())
-                s = str(next((found[k] for k in ("tag", "name", "label") if found.get(k)), next(iter(found.values()), "")))
-            except ValueError:
-                pass
-        s = re.sub(r"[^0-9A-Za-zА-Яа-яЀ-ӿ&/ \-]", "", s.splitlines()[0] if s.splitlines() else "")
-        return " ".join(s.split()[:3]).title() or None
+        name = " ".join(re.sub(r"['\"{}\[\]:;.,!?]", "", unwrapped_tag(s)).split()[:3]).title()
+        return name if _NAME.fullmatch(name) else None
 
     return raw.map(one)
 
 
-def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
-    """Similarity of two strings: shared characters within half the longer length, transpositions, and a bonus for a common start of up to four."""
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    used = [False] * len(b)
-    left = []
-    for i, ch in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == ch:
-                used[j] = True
-                left.append(ch)
-                break
-    m = len(left)
-    if not m:
-        return 0.0
-    right = [c for c, u in zip(b, used, strict=True) if u]
-    swaps = sum(x != y for x, y in zip(left, right, strict=True)) / 2
-    base = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-    same = 0
-    while same < min(4, len(a), len(b)) and a[same] == b[same]:
-        same += 1
-    return base + same * weight * (1 - base)
+class JaroTable:
+    """Jaro-Winkler similarities of one string with many: shared characters within half the longer length, half the
+    number of those out of order (rounded down), and for a similarity above 0.7 a bonus for a common start of up to four."""
+
+    def __init__(self, strings: list[str]):
+        self.size = np.array([len(s) for s in strings])
+        self.codes = np.zeros((len(strings), max(1, self.size.max(initial=0))), np.uint32)
+        for i, s in enumerate(strings):
+            self.codes[i, : len(s)] = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.letters = np.zeros((len(strings), 32), np.int16)
+        row, col = np.nonzero(self.codes)
+        np.add.at(self.letters, (row, self.codes[row, col] % 32), 1)
+
+    def winkler(self, i: int, others: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(others))
+        n, size = int(self.size[i]), self.size[others]
+        if not n:
+            return np.where(size == 0, 1.0, 0.0)
+        # At most so many characters are shared; below 0.7 nothing is added, so these stay under any limit above it.
+        most = np.minimum(self.letters[others], self.letters[i]).sum(axis=1)
+        maybe = np.flatnonzero((size > 0) & ((most / n + most / np.maximum(size, 1) + 1) / 3 > 0.7))
+        if not len(maybe):
+            return out
+        size, codes = size[maybe], self.codes[others[maybe]]
+        codes = codes[:, : size.max()]
+        reach = np.maximum(0, np.maximum(size, n) // 2 - 1)
+        place = np.arange(codes.shape[1])
+        used = np.zeros(codes.shape, bool)
+        mine = np.zeros((len(size), n), bool)
+        rows = np.arange(len(size))
+        for k in range(n):
+            fits = (codes == self.codes[i, k]) & ~used & (np.abs(place - k) <= reach[:, None])
+            first = fits.argmax(axis=1)
+            hit = fits[rows, first]
+            used[rows[hit], first[hit]] = True
+            mine[:, k] = hit
+        m = mine.sum(axis=1)
+        order_a, order_b = np.zeros((len(size), n), np.uint32), np.zeros((len(size), n), np.uint32)
+        r, c = np.nonzero(mine)
+        order_a[r, (mine.cumsum(axis=1) - 1)[r, c]] = self.codes[i, c]
+        r, c = np.nonzero(used)
+        order_b[r, (used.cumsum(axis=1) - 1)[r, c]] = codes[r, c]
+        swaps = (order_a != order_b).sum(axis=1) // 2
+        some = np.maximum(m, 1)
+        base = np.where(m > 0, (m / n + m / size + (m - swaps) / some) / 3, 0.0)
+        head = min(4, n, codes.shape[1])
+        same = np.cumprod(codes[:, :head] == self.codes[i, :head], axis=1).sum(axis=1)
+        out[maybe] = np.where(base > 0.7, base + same * 0.1 * (1 - base), base)
+        return out
+
+
+def jaro_winkler(a: str, b: str) -> float:
+    return float(JaroTable([a, b]).winkler(0, np.array([1]))[0]) if a != b else 1.0

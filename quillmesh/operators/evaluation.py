@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 10
@@ -58,10 +58,16 @@ def compare(baseline: DataFrame, current: DataFrame, relative: float = 0.03, abs
 
 
 def stratified(rows: DataFrame, stratum: str, budget: int, key: str = "doc_id") -> DataFrame:
-    """An exact deterministic sample: in every stratum the rows with the least hashes, in proportion to its size, at least one."""
-    from pyspark.sql import Window
+    """An exact deterministic sample: in every stratum the rows with the least hashes, in proportion to its size, at least one.
 
-    n = rows.count()
-    w = Window.partitionBy(stratum)
-    r = rows.withColumns({"n_": F.count("*").over(w), "r_": F.row_number().over(w.orderBy(F.xxhash64(key), key))})
-    return r.where(F.col("r_") <= F.greatest(F.lit(1), F.floor(F.col("n_") * budget / max(1, n)))).drop("n_", "r_")
+    Sizes are counted map-side; the least rows of 256 parts of a stratum come before those of the stratum, so none is gathered whole.
+    """
+    sizes = rows.groupBy(F.col(stratum).alias("s_")).agg(F.count("*").alias("k_"))
+    total = F.broadcast(sizes.agg(F.sum("k_").alias("n_")))
+    share = F.greatest(F.lit(1), F.floor(F.col("k_") * budget / F.col("n_")))
+    hashed = rows.withColumn("h_", F.md5(F.col(key).cast("string"))).join(sizes, F.col(stratum).eqNullSafe(F.col("s_"))).join(total).withColumn("share_", share)
+    order = [F.col("h_"), F.col(key)]
+    part = Window.partitionBy(stratum, F.substring("h_", 1, 2)).orderBy(*order)
+    few = hashed.withColumn("r_", F.row_number().over(part)).where(F.col("r_") <= F.col("share_"))
+    ranked = few.withColumn("r_", F.row_number().over(Window.partitionBy(stratum).orderBy(*order)))
+    return ranked.where(F.col("r_") <= F.col("share_")).select(*rows.columns)

@@ -40,13 +40,25 @@ def prototypes(text_vectors: DataFrame, seed_means: DataFrame) -> DataFrame:
     return joined.select("label", unit(F.coalesce(both, F.col("text_vector"))).alias("prototype"))
 
 
-def similarities(vectors: DataFrame, prototypes_: DataFrame) -> DataFrame:
-    """(vec_id, label, sim): every vector against every label. Labels are a stated set of at most a few hundred."""
-    labels = prototypes_.select("label", "prototype").collect()
-    if len(labels) > 5000:
-        raise ValueError("a vocabulary of more than 5000 labels")
-    spark = vectors.sparkSession
-    sent = spark.sparkContext.broadcast(([r[0] for r in labels], np.array([r[1] for r in labels], float)))
+#: Labels are a vocabulary; more of them fail the query instead of filling the workers.
+LABELS = 5000
+
+
+def bounded(df: DataFrame, most: int) -> list:
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows where a vocabulary was expected")
+    return rows
+
+
+def by_label(vectors: DataFrame, labels: DataFrame, pick, schema: str, vector: str = "centroid") -> DataFrame:
+    """Rows that pick(ids, own labels, label names, similarities) makes of each batch of vectors (vec_id, label, embedding).
+
+    Similarities with all labels (label, vector) are one matrix product a batch and never leave it; names are in order.
+    """
+    known = sorted((r[0], r[1]) for r in bounded(labels.select("label", vector), LABELS))
+    sent = vectors.sparkSession.sparkContext.broadcast((np.array([k for k, _ in known], np.int64), np.array([c for _, c in known], float)))
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         names, m = sent.value
@@ -55,41 +67,79 @@ def similarities(vectors: DataFrame, prototypes_: DataFrame) -> DataFrame:
                 x = np.array(pdf["embedding"].tolist(), float)
                 n = np.linalg.norm(x, axis=1, keepdims=True)
                 s = np.round(np.divide(x, n, out=np.zeros_like(x), where=n > 0) @ m.T, 6)
-                yield pd.DataFrame({"vec_id": np.repeat(pdf["vec_id"].to_numpy(), len(names)), "label": np.tile(names, len(pdf)), "sim": s.ravel()})
+                yield pd.DataFrame(dict(zip(columns, pick(pdf["vec_id"].to_numpy(), pdf["label"].to_numpy(), names, s), strict=True)))
+
+    return vectors.select("vec_id", "label", "embedding").mapInPandas(run, schema)
+
 
-    return vectors.select("vec_id", "embedding").mapInPandas(run, "vec_id long, label int, sim double")
+def own_similarities(vectors: DataFrame, labels: DataFrame, vector: str = "centroid") -> DataFrame:
+    """(vec_id, label, sim): every vector against its own label."""
 
+    def pick(ids, own, names, s):
+        row, col = np.nonzero(own[:, None] == names[None, :])
+        return ids[row], names[col], s[row, col]
 
-def thresholds(vectors: DataFrame, sims: DataFrame, dial: float = 0.75, default: float = 0.5) -> DataFrame:
-    """(label, threshold): the 10th percentile (linear) of each label's own similarities times the dial."""
-    own = sims.join(vectors.select("vec_id", F.col("label").alias("own")), "vec_id").where(F.col("own") == F.col("label"))
+    return by_label(vectors, labels, pick, "vec_id long, label int, sim double", vector)
+
+
+def nearest_labels(vectors: DataFrame, labels: DataFrame, vector: str = "centroid") -> DataFrame:
+    """(vec_id, label, sim): the most similar label of every vector, of equals the least."""
+
+    def pick(ids, own, names, s):
+        best = s.argmax(axis=1)
+        return ids, names[best], s[np.arange(len(ids)), best]
+
+    return by_label(vectors, labels, pick, "vec_id long, label int, sim double", vector)
+
+
+def thresholds(own: DataFrame, labels: DataFrame, dial: float = 0.75, default: float = 0.5) -> DataFrame:
+    """(label, threshold): the 10th percentile (linear) of each label's own similarities times the dial; the default without any."""
     got = own.groupBy("label").agg(F.round(F.percentile("sim", 0.1) * dial, 6).alias("threshold"))
-    return sims.select("label").distinct().join(got, "label", "left").select("label", F.coalesce("threshold", F.lit(default)).alias("threshold"))
+    return labels.select("label").join(got, "label", "left").select("label", F.coalesce("threshold", F.lit(default)).alias("threshold"))
 
 
-def assign(sims: DataFrame, limits: DataFrame, margin: float = MARGIN, floor: float = FLOOR, most: int = MAX_TAGS) -> DataFrame:
+def assign(vectors: DataFrame, labels: DataFrame, limits: DataFrame, margin: float = MARGIN, floor: float = FLOOR, most: int = MAX_TAGS, vector: str = "centroid") -> DataFrame:
     """(vec_id, label, sim, r): labels at or above their threshold and the margin of the best such one, at most three;
     a note without any takes its best label if that reaches the floor."""
-    s = sims.join(F.broadcast(limits), "label").withColumn("ok", F.col("sim") >= F.col("threshold"))
-    w = Window.partitionBy("vec_id")
-    s = s.withColumns({"best_ok": F.max(F.when(F.col("ok"), F.col("sim"))).over(w), "best": F.max("sim").over(w)})
-    keep = F.when(F.col("best_ok").isNotNull(), F.col("ok") & (F.col("sim") >= margin * F.col("best_ok"))).otherwise((F.col("sim") == F.col("best")) & (F.col("sim") >= floor))
-    ranked = s.where(keep).withColumn("r", F.row_number().over(w.orderBy(F.desc("sim"), "label")))
-    return ranked.where(F.col("r") <= F.when(F.col("best_ok").isNull(), 1).otherwise(most)).select("vec_id", "label", "sim", "r")
-
-
-def assign_by_centroid(vectors: DataFrame, sims: DataFrame) -> DataFrame:
-    """(vec_id, label, r, review): the own cluster first, then others from 0.60 on, three in all; noise takes its nearest
-    from 0.50 on and is reviewed, as is a primary below 0.70."""
-    s = sims.join(vectors.select("vec_id", F.col("label").alias("own")), "vec_id")
-    w = Window.partitionBy("vec_id")
-    s = s.withColumn("best", F.max("sim").over(w))
-    noise = F.col("own") < 0
-    primary = F.when(noise, (F.col("sim") == F.col("best")) & (F.col("sim") >= RESCUE)).otherwise(F.col("own") == F.col("label"))
-    kept = s.withColumn("primary", primary).where(F.col("primary") | (~noise & (F.col("sim") >= SECONDARY)))
-    ranked = kept.withColumn("r", F.row_number().over(w.orderBy(F.desc("primary"), F.desc("sim"), "label"))).where(F.col("r") <= MAX_TAGS)
-    first = F.max(F.when(F.col("primary"), F.col("sim"))).over(w)
-    return ranked.select("vec_id", "label", "r", (noise | (F.coalesce(first, F.lit(0.0)) < REVIEW)).alias("review"))
+    least = {r["label"]: r["threshold"] for r in bounded(limits, LABELS)}
+
+    def pick(ids, own, names, s):
+        ok = s >= np.array([least[k] for k in names.tolist()])
+        best_ok = np.where(ok, s, -np.inf).max(axis=1, keepdims=True)
+        any_ok = np.isfinite(best_ok)
+        keep = np.where(any_ok, ok & (s >= margin * best_ok), (s == s.max(axis=1, keepdims=True)) & (s >= floor))
+        order = np.argsort(np.where(keep, -s, np.inf), axis=1, kind="stable")[:, :most]
+        row, r = np.nonzero(np.take_along_axis(keep, order, 1) & (any_ok | (np.arange(order.shape[1]) == 0)))
+        col = order[row, r]
+        return ids[row], names[col], s[row, col], r + 1
+
+    return by_label(vectors, labels, pick, "vec_id long, label int, sim double, r int", vector)
+
+
+def assign_by_centroid(vectors: DataFrame, labels: DataFrame) -> DataFrame:
+    """(vec_id, label, r, review): the own cluster first, then others from 0.60 on, three in all; noise (a negative label) takes its
+    nearest from 0.50 on and is reviewed, as is a primary below 0.70."""
+
+    def pick(ids, own, names, s):
+        primary = own[:, None] == names[None, :]
+        noise = own < 0
+        best = s.argmax(axis=1)
+        rescued = noise & (s.max(axis=1) >= RESCUE)
+        primary[rescued, best[rescued]] = True
+        keep = primary | (~noise[:, None] & (s >= SECONDARY))
+        order = np.argsort(np.where(keep, np.where(primary, -9, -s), np.inf), axis=1, kind="stable")[:, :MAX_TAGS]
+        row, r = np.nonzero(np.take_along_axis(keep, order, 1))
+        sure = np.where(primary, s, -1).max(axis=1)
+        return ids[row], names[order[row, r]], r + 1, (noise | (sure < REVIEW))[row]
+
+    return by_label(vectors, labels, pick, "vec_id long, label int, r int, review boolean")
+
+
+def label_samples(own: DataFrame, k: int = 5) -> DataFrame:
+    """(label, mean_sim, samples): the mean similarity of a label's members, to two places, and the ids of its nearest, of equals the least id."""
+    w = Window.partitionBy("label").orderBy(F.desc("sim"), "vec_id")
+    near = own.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "vec_id"))), lambda x: x["vec_id"]).alias("samples"))
+    return own.groupBy("label").agg(F.round(F.avg("sim"), 2).alias("mean_sim")).join(near, "label")
 
 
 def assignment_stats(vectors: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -100,42 +150,70 @@ def assignment_stats(vectors: DataFrame, assigned: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("n"), pct(k > 0).alias("tagged_pct"), pct(k > 1).alias("multi_pct"), pct(k == 0).alias("untagged_pct"))
 
 
+def cluster_sizes(vectors: DataFrame) -> DataFrame:
+    """(label, size, share): members of each cluster, and of noise, with their per cent of all."""
+    total = F.sum("size").over(Window.partitionBy(F.lit(0)))
+    return vectors.groupBy("label").agg(F.count("*").alias("size")).withColumn("share", F.round(100.0 * F.col("size") / total, 2))
+
+
 def label_pairs(labels: DataFrame, low: float, high: float | None = None, strict: bool = False) -> DataFrame:
-    """(a, b, sim), a < b: labels (a stated vocabulary) whose centroids have a similarity in [low, high), or above low if strict."""
-    a = labels.select(F.col("label").alias("a"), F.col("centroid").alias("va"))
-    b = labels.select(F.col("label").alias("b"), F.col("centroid").alias("vb"))
-    sim = F.round(dot(F.col("va"), F.col("vb")), 6)
-    pairs = a.join(b, F.col("a") < F.col("b")).select("a", "b", sim.alias("sim"))
-    pairs = pairs.where((F.col("sim") > low) if strict else (F.col("sim") >= low))
-    return pairs if high is None else pairs.where(F.col("sim") < high)
+    """(a, b, sim), a < b: labels whose centroids have a similarity in [low, high), or above low if strict.
+
+    Labels are a vocabulary of at most LABELS, checked; each batch of them is compared with all in one matrix product.
+    """
+
+    def pick(ids, own, names, s):
+        ok = (ids[:, None] < names[None, :]) & ((s > low) if strict else (s >= low))
+        if high is not None:
+            ok &= s < high
+        row, col = np.nonzero(ok)
+        return ids[row], names[col], s[row, col]
+
+    return by_label(_as_vectors(labels), labels, pick, "a int, b int, sim double")
+
+
+def _as_vectors(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("label").alias("vec_id"), "label", F.col("centroid").alias("embedding"))
 
 
 def nearest_label(labels: DataFrame) -> DataFrame:
-    """(label, other, sim): the most similar other label."""
-    a = labels.select("label", F.col("centroid").alias("va"))
-    b = labels.select(F.col("label").alias("other"), F.col("centroid").alias("vb"))
-    s = a.join(b, F.col("label") != F.col("other")).select("label", "other", F.round(dot(F.col("va"), F.col("vb")), 6).alias("sim"))
-    return s.groupBy("label").agg(F.max(F.struct("sim", (-F.col("other")).alias("o"))).alias("m")).select("label", (-F.col("m.o")).alias("other"), F.col("m.sim").alias("sim"))
+    """(label, other, sim): the most similar other label, of equals the least; a single label has none."""
+
+    def pick(ids, own, names, s):
+        other = np.where(ids[:, None] == names[None, :], -np.inf, s)
+        best = other.argmax(axis=1)
+        some = np.isfinite(other[np.arange(len(ids)), best])
+        return ids[some], names[best[some]], other[np.arange(len(ids)), best][some]
+
+    return by_label(_as_vectors(labels), labels, pick, "label int, other int, sim double")
 
 
 def reuse_manifest(labels: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(label, tag): the first manifest tag (by position) with a centroid at 0.90 or nearer."""
-    s = labels.join(F.broadcast(manifest.select("tag", "position", F.col("centroid").alias("m"))), cosine(F.col("centroid"), F.col("m")) >= REUSE)
-    return s.groupBy("label").agg(F.min(F.struct("position", "tag")).alias("f")).select("label", "f.tag")
+    """(label, tag): the first manifest tag (by position) with a centroid at 0.90 or nearer. manifest: (position, tag, centroid), a vocabulary."""
 
+    def pick(ids, own, names, s):
+        near = s >= REUSE
+        some = near.any(axis=1)
+        return ids[some], names[near.argmax(axis=1)[some]]
 
-def disjoint_pairs(pairs: DataFrame) -> DataFrame:
-    """Greedy choice of pairs by similarity, each label used once. The pairs are those of a label vocabulary (bounded)."""
+    first = by_label(_as_vectors(labels), manifest.select(F.col("position").alias("label"), "centroid"), pick, "label int, position int")
+    return first.join(manifest.select("position", "tag"), "position").select("label", "tag")
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, keep = set(), []
-        for r in pdf.sort_values(["sim", "a", "b"], ascending=[False, True, True]).itertuples():
-            if r.a not in used and r.b not in used:
-                used |= {r.a, r.b}
-                keep.append((r.a, r.b, r.sim))
-        return pd.DataFrame(keep, columns=["a", "b", "sim"])
 
-    return pairs.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(lambda pdf: pick(pdf), "a int, b int, sim double")
+def disjoint_pairs(pairs: DataFrame) -> DataFrame:
+    """(a, b, sim): pairs by similarity, each label in one of them. A pair is taken if it is the best left for both its ends, round by
+    round, which gives what taking them one by one gives; every round is two partial aggregations over the pairs left."""
+    order = F.struct((-F.col("sim")).alias("s"), "a", "b")
+    left, chosen = cut(pairs.select("a", "b", "sim")), None
+    while not left.isEmpty():
+        ends = left.select(F.col("a").alias("x"), order.alias("o")).unionByName(left.select(F.col("b").alias("x"), order.alias("o")))
+        best = ends.groupBy("x").agg(F.min("o").alias("o"))
+        both = best.groupBy("o").count().where(F.col("count") == 2).select(F.col("o.a").alias("a"), F.col("o.b").alias("b"), (-F.col("o.s")).alias("sim"))
+        taken = cut(both)
+        chosen = taken if chosen is None else chosen.unionByName(taken)
+        used = taken.select(F.col("a").alias("x")).unionByName(taken.select(F.col("b").alias("x")))
+        left = cut(left.join(used, left.a == used.x, "left_anti").join(used, left.b == used.x, "left_anti"))
+    return pairs.select("a", "b", "sim").where(F.lit(False)) if chosen is None else chosen
 
 
 def representatives(vectors: DataFrame, labels: DataFrame, central: int = 4, diverse: int = 4, trade: float = 0.5) -> DataFrame:
@@ -145,7 +223,8 @@ def representatives(vectors: DataFrame, labels: DataFrame, central: int = 4, div
     the chosen ones of its label (at most central + diverse vectors a label) and takes the best of each label, so
     no label is gathered whole.
     """
-    near = vectors.join(F.broadcast(labels.select("label", "centroid")), "label").withColumn("sim", F.round(cosine(F.col("embedding"), F.col("centroid")), 6))
+    known = F.broadcast(vectors.sparkSession.createDataFrame(bounded(labels.select("label", "centroid"), LABELS), labels.select("label", "centroid").schema))
+    near = vectors.join(known, "label").withColumn("sim", F.round(cosine(F.col("embedding"), F.col("centroid")), 6))
     near = cut(near.select("label", "vec_id", F.transform(unit(F.col("embedding")), lambda x: x.cast("double")).alias("v"), "sim"))
     w = Window.partitionBy("label").orderBy(F.desc("sim"), "vec_id")
     chosen = cut(near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= central).select("label", "vec_id", "v", "r"))
@@ -171,9 +250,13 @@ def keywords(docs: DataFrame, group: str, text: str = "body", k: int = 5) -> Dat
     return scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select(F.col("g").alias(group), "term", "score", "r")
 
 
+#: Fixed value: one to three words of 2 to 30 characters before a colon or a dash that something follows.
+TITLE_PREFIX = r"(?U)^\s*(\S{2,30}(?:\s+\S{2,30}){0,2})\s*[:\-—]\s+\S"
+
+
 def title_prefixes(docs: DataFrame, least: int = 5) -> DataFrame:
-    """(prefix, n): words before a colon at the start of at least `least` titles, lower-cased."""
-    p = F.lower(F.regexp_extract("title", r"^([\p{L}]{1,20}):", 1))
+    """(prefix, n): what leads at least `least` titles, lower-cased."""
+    p = F.lower(F.regexp_extract("title", TITLE_PREFIX, 1))
     return docs.select(p.alias("prefix")).where(F.col("prefix") != "").groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
@@ -198,9 +281,7 @@ def merge_labels(labels: DataFrame, groups: DataFrame) -> DataFrame:
 
 def force_merge(labels: DataFrame, most: int = 40) -> list[tuple[int, int]]:
     """Merges (from, into) of the closest labels until at most `most` are left; driver-side over a vocabulary of at most 5000."""
-    rows = labels.orderBy("label").limit(5001).collect()
-    if len(rows) > 5000:
-        raise ValueError("a vocabulary of more than 5000 labels")
+    rows = sorted(bounded(labels, LABELS), key=lambda r: r["label"])
     names, size = [r["label"] for r in rows], np.array([r["size"] for r in rows], float)
     v = np.array([r["centroid"] for r in rows], float)
     live, out = list(range(len(rows))), []

@@ -108,14 +108,17 @@ def colour_slots(rows: DataFrame, slots: int = 8) -> DataFrame:
     return rows.join(F.broadcast(ranked), "tag").groupBy("doc_id").agg(F.min(F.struct("slot", "tag")).alias("m")).select("doc_id", "m.tag", "m.slot")
 
 
-def apply_actions(rows: DataFrame, proposals: DataFrame, actions: dict[str, str], targets: dict[str, str] | None = None) -> DataFrame:
-    """Decisions on proposals (proposal_id, tag_name, doc_ids): approve tags the notes, merge:<tag> or rename:<tag> uses that tag, others skip."""
-    for p in proposals.collect():
-        said = actions.get(p["proposal_id"], "pending")
-        name = p["tag_name"] if said == "approve" else said.split(":", 1)[1] if said.startswith(("merge:", "rename:")) else None
-        if name:
-            ids = rows.sparkSession.createDataFrame([(i,) for i in p["doc_ids"]], "doc_id long")
-            rows = add_tag(rows, ids, name)
-    for old, new in (targets or {}).items():
-        rows = rename_tag(rows, old, new)
-    return rows
+def tag_notes(rows: DataFrame, docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Tags of many notes at once, wanted: (doc_id, tag, seq); notes that docs lack are skipped."""
+    from quillmesh.operators.proposals import append_tags
+
+    return append_tags(rows, wanted.join(docs.select("doc_id"), "doc_id", "left_semi"))
+
+
+def excluded_count(rows: DataFrame, excluded: DataFrame) -> DataFrame:
+    return rows.join(excluded.select("tag"), "tag", "left_semi").agg(F.countDistinct("doc_id").alias("n"))
+
+
+def renamed_exclusions(excluded: DataFrame, old: str, new: str) -> DataFrame:
+    """The excluded set follows the renaming of a tag."""
+    return excluded.select(F.when(F.col("tag") == old, new).otherwise(F.col("tag")).alias("tag")).distinct()

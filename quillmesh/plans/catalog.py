@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillmesh.plans import changes, notes, search
+from quillmesh.plans import changes, dialogue, library, notes, search
 
-MODULES = (changes, notes, search)
+MODULES = (changes, notes, search, library, dialogue)
 FLAGSHIP = "hybrid_search"
 
 

@@ -14,6 +14,7 @@ from quillmesh.operators import graph as G
 from quillmesh.operators import ingest as I
 from quillmesh.operators import retrieval as R
 from quillmesh.operators import tags as G_
+from quillmesh.plans.search import _WS, clean_sql
 from quillmesh.session import read_table as table
 from quillmesh.sources.notes import export_text
 from quillmesh.streaming import limiter as L
@@ -45,7 +46,18 @@ _CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_
  '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), 'https?://\S+', ' ', 'g'), '[#*_>`~]+', ' ', 'g')"""
 
 
-# --- text -----------------------------------------------------------------------------------------
+# Chunks in SQL: marks stand for the lookaheads, and the last part of the growing list is behind the last mark.
+_PARTS = f"list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(body, '\\n{_WS}*\\n', chr(1), 'g'), '\\n(#{{{{1,3}}}}{_WS})', chr(1) || '\\1', 'g'), '\\n([-*]{_WS})', chr(1) || '\\1', 'g'), chr(1)), lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x <> '')".replace("{{", "{").replace("}}", "}")
+_LAST = "list_last(string_split(acc, chr(2)))"
+CHUNKS = f"""WITH n AS (SELECT doc_id, coalesce(title, '') AS title, coalesce(body, '') AS body, {clean_sql("coalesce(title, '') || ' ' || coalesce(body, '')")} AS whole FROM documents),
+g AS (SELECT doc_id, title, whole, CASE WHEN length(whole) > 500 THEN list_reduce({_PARTS}, lambda acc, x: CASE WHEN length({_LAST}) + 2 + length(x) <= 1500 OR length({_LAST}) < 100 THEN acc || chr(10) || chr(10) || x ELSE acc || chr(2) || x END) END AS grown FROM n WHERE whole <> '' AND (length(whole) <= 500 OR len({_PARTS}) > 0)),
+l AS (SELECT doc_id, title, whole, CASE WHEN contains(grown, chr(2)) AND length(list_last(string_split(grown, chr(2)))) < 100 THEN regexp_replace(grown, '\\x02([^\\x02]*)$', chr(10) || chr(10) || '\\1') ELSE grown END AS grown FROM g),
+k AS (SELECT doc_id, i - 1 AS chunk_index, CASE WHEN grown IS NULL THEN whole WHEN i = 1 THEN title || ' ' || p ELSE p END AS chunk
+  FROM (SELECT doc_id, title, whole, grown, unnest(string_split(coalesce(grown, whole), chr(2))) AS p, generate_subscripts(string_split(coalesce(grown, whole), chr(2)), 1) AS i FROM l))
+"""
+
+
+# Text
 
 
 @query(rf"SELECT doc_id, length(trim(regexp_replace({_CLEAN}, '[\s\p{{Z}}\x0b\x85]+', ' ', 'g'))) AS n FROM documents WHERE body IS NOT NULL")
@@ -70,7 +82,9 @@ def stems(s, d):
     return words.select("term", T.stem(F.col("term")).alias("stem"))
 
 
-@query("""SELECT message_id, len(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda x: x <> '')) > 10 OR """ + " OR ".join(f"contains(lower(content), '{m}')" for m in T.COMPLEX_MARKERS) + " AS is_complex FROM (SELECT DISTINCT message_id, content, lower(trim(role)) AS role FROM chat_messages) WHERE role = 'user' AND content IS NOT NULL")
+@query("""SELECT message_id, len(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda x: x <> '')) > 10 OR contains(l, 'compared to') OR contains(l, 'versus') OR contains(l, 'vs') OR contains(l, 'before') OR contains(l, 'after')
+ OR contains(l, 'between') OR contains(l, 'and also') OR contains(l, 'as well as') OR contains(l, 'last week') OR contains(l, 'last month') OR contains(l, 'yesterday') OR contains(l, 'recently') OR contains(l, 'both')
+ OR contains(l, 'difference') OR contains(l, 'similar') OR contains(l, 'changed') AS is_complex FROM (SELECT DISTINCT message_id, content, lower(content) AS l, lower(trim(role)) AS role FROM chat_messages) WHERE role = 'user' AND content IS NOT NULL""")
 def complex_queries(s, d):
     m = C.messages(table(s, d, "chat_messages")).where((F.col("role") == "user") & F.col("content").isNotNull())
     return m.select("message_id", T.is_complex(F.col("content")).alias("is_complex"))
@@ -109,7 +123,7 @@ def export_notes(s, d):
     return export_text(table(s, d, "documents").where(F.col("deleted_at").isNull()))
 
 
-# --- tags and scope -------------------------------------------------------------------------------
+# Tags and scope
 
 
 @query(_TAGS + "SELECT tag, count(*) AS n FROM r GROUP BY 1")
@@ -190,7 +204,7 @@ def shared_tag_neighbours(s, d):
     return G.shared_tag_neighbours(rows, rows.where(F.col("doc_id") % 100 == 0).select("doc_id").distinct())
 
 
-# --- ingest ---------------------------------------------------------------------------------------
+# Ingest
 
 
 def _versions(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -229,7 +243,7 @@ def missing_vectors(s, d):
     return I.missing_hashes(docs, vectors)
 
 
-@query()
+@query("SELECT 'dense' AS name, count(*) AS rows, " + " || '-' || ".join(f"sum(('0x' || substr(md5(content_hash), {i}, 8))::bigint)::varchar" for i in (1, 9, 17, 25)) + " AS fingerprint FROM documents WHERE deleted_at IS NULL")
 def index_fingerprint(s, d):
     return I.fingerprint(table(s, d, "documents"), "dense")
 
@@ -248,12 +262,12 @@ def import_history(s, d):
     return i.groupBy("source_key").agg(F.count("*").alias("loads"), F.count_if(F.col("finished_at").isNull()).alias("broken"), F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.max_by("id", "started_at").alias("last_id"))
 
 
-@query()
+@query(CHUNKS + "SELECT doc_id, chunk_index::int AS chunk_index, length(chunk) AS n, md5(chunk) AS key FROM k")
 def chunk_documents(s, d):
-    return R.chunks(table(s, d, "documents")).select("doc_id", "chunk_index", F.length("chunk").alias("n"), F.xxhash64("chunk").alias("key"))
+    return R.chunks(table(s, d, "documents")).select("doc_id", "chunk_index", F.length("chunk").alias("n"), F.md5("chunk").alias("key"))
 
 
-# --- chats ----------------------------------------------------------------------------------------
+# Chats
 
 
 def _chat(s: SparkSession, d: str) -> DataFrame:
@@ -297,20 +311,25 @@ def token_budget(s, d):
     return C.token_budget(_chat(s, d))
 
 
-@query(_CHAT + "SELECT session_id, turn AS seq, b AS before FROM (SELECT session_id, turn, lag(turn) OVER (PARTITION BY session_id ORDER BY turn, message_id) AS b FROM m) WHERE turn - b <> 1")
+@query(_CHAT + "SELECT session_id, turn AS seq, b AS before FROM (SELECT session_id, turn, lag(turn) OVER (PARTITION BY session_id ORDER BY turn, message_id) AS b FROM m WHERE message_id % 5 <> 0) WHERE turn - b <> 1")
 def sequence_gaps(s, d):
-    return C.sequence_gaps(_chat(s, d))
+    """Gaps in the sessions' turns when every fifth message is lost on its way."""
+    return C.sequence_gaps(_chat(s, d).where(F.col("message_id") % 5 != 0))
 
 
-@query()
+@query(_CHAT + """, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn, message_id) AS seq FROM m)
+SELECT session_id, seq::int AS seq, '{"type":"delta",' || CASE WHEN content IS NULL THEN '' ELSE '"content":' || to_json(content)::varchar || ',' END || '"seq":' || seq || '}' AS frame FROM n""")
 def message_frames(s, d):
     return C.frames(_chat(s, d))
 
 
-# --- events and entities --------------------------------------------------------------------------
+# Events and entities
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+w AS (SELECT event_id, user_id, i, true AS accepted, [us] AS kept FROM e WHERE i = 1 UNION ALL
+ SELECT e.event_id, e.user_id, e.i, len(list_filter(kept, lambda x: x > e.us - 86400000000)) < 3, CASE WHEN len(list_filter(kept, lambda x: x > e.us - 86400000000)) < 3 THEN list_append(list_filter(kept, lambda x: x > e.us - 86400000000), e.us) ELSE kept END FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
+SELECT event_id, user_id, accepted FROM w""")
 def rate_limit(s, d):
     """At most three accepted events of a user in a day."""
     return L.limit_batch(table(s, d, "events"), limit=3, window=86400.0).drop("ts")

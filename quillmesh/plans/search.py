@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmesh.functions import text as T
+from quillmesh.functions.encode import encoded
 from quillmesh.operators import evaluation as V
+from quillmesh.operators import proposals as P
 from quillmesh.operators import retrieval as R
 from quillmesh.operators import tagging as G
-from quillmesh.session import keep
 from quillmesh.session import read_table as table
 
 QUERIES: dict = {}
@@ -42,33 +44,53 @@ def _queries(s: SparkSession, d: str) -> DataFrame:
 
 
 def _bm25(s: SparkSession, d: str) -> DataFrame:
-    docs = table(s, d, "documents")
-    index = keep(R.postings(docs, _text()))
-    return R.bm25(index, _queries(s, d), F.col("q"), docs.count())
+    q = _queries(s, d)
+    return R.bm25(R.keyword_scan(table(s, d, "documents"), T.cleaned_text(F.col("title"), F.col("body")), q), q)
 
 
-def _dense(s: SparkSession, d: str, k: int = 50) -> DataFrame:
+def _dense(s: SparkSession, d: str, k: int = 50, threshold: float | None = None) -> DataFrame:
     v = _vectors(s, d).select(F.col("vec_id").alias("doc_id"), "embedding")
     q = v.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "embedding")
-    return R.dense(v, q, k, keep_self=False)
+    return R.dense(v, q, k, threshold, keep_self=False)
 
 
-_TOK = "list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 1)"
+_WS = "[\\s\\p{Z}\\x0b\\x85]"
+# Compatibility forms of characters that strip_accents leaves as they are.
+_WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + "\xa0³º"
+_PLAIN = "".join(chr(0x21 + i) for i in range(94)) + " 3o"
+_NORM = "replace(replace(strip_accents(lower(replace(replace(replace(replace(translate({x}, '" + _WIDE.replace("'", "''") + "', '" + _PLAIN.replace("'", "''") + "'), '…', '...'), 'ﬁ', 'fi'), '№', 'No'), '½', '1⁄2'))), '감', chr(4352) || chr(4449) || chr(4535)), '사', chr(4361) || chr(4449))"
+CLEAN = f"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({{x}}, '^{_WS}+|{_WS}+$', '', 'g'), '(?s)\\A---\n.*?\n---\n?', ''), '(?s)```.*?```', ' ', 'g'),
+ '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), 'https?://\\S+', ' ', 'g'), '[#*_>`~]+', ' ', 'g'), '{_WS}+', ' ', 'g'))"""
+
+
+def clean_sql(x: str) -> str:
+    return CLEAN.replace("{x}", x)
+
+
+def norm_sql(x: str) -> str:
+    return _NORM.replace("{x}", x)
+
+
+_SEEN = clean_sql("regexp_replace(coalesce(title, ''), '^\\s*p\\s*[:\\-—]\\s+', '', 'i') || ' ' || coalesce(body, '')")
+_TOK = "list_filter(regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 1)"
 _STEMMED = """list_transform({t}, lambda w: CASE WHEN NOT regexp_matches(w, '^[\\x00-\\x7f]*$') THEN w ELSE regexp_replace(
  CASE WHEN w LIKE '%ing' AND length(w) > 5 THEN left(w, -3) WHEN w LIKE '%ed' AND length(w) > 4 THEN left(w, -2) WHEN w LIKE '%es' AND length(w) > 4 THEN left(w, -2) ELSE w END, '^(...*[^s])s$', '\\1') END)"""
-_T_DOC = _STEMMED.format(t=_TOK.format(x="concat_ws(' ', title, body)"))
-_T_Q = _STEMMED.format(t=_TOK.format(x="title"))
-_BM25 = f"""WITH t AS (SELECT doc_id, {_T_DOC} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
+_T = _STEMMED.format(t=_TOK.format(x="p"))
+_BM25 = f"""WITH t AS (SELECT doc_id, p, {_T} AS w FROM (SELECT doc_id, {norm_sql('c')} AS p FROM (SELECT doc_id, {_SEEN} AS c FROM documents))), st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
 p AS (SELECT term, doc_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, greatest(len(w), 1) AS dl, unnest(w) AS term FROM t) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
-q0 AS (SELECT query_id, term, count(*) AS qf FROM (SELECT doc_id AS query_id, unnest({_T_Q}) AS term FROM documents WHERE doc_id % 100 = 0 AND title IS NOT NULL) GROUP BY 1, 2),
+qp AS (SELECT doc_id AS query_id, {norm_sql('title')} AS p FROM documents WHERE doc_id % 100 = 0 AND title IS NOT NULL),
+q0 AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest({_T}) AS term FROM qp) GROUP BY 1, 2),
 q1 AS (SELECT q0.*, df.df, coalesce(df.df, 0) <= 0.5 * (SELECT n FROM st) AS rare FROM q0 LEFT JOIN df USING (term)),
 q AS (SELECT * FROM (SELECT *, bool_or(rare) OVER (PARTITION BY query_id) AS any_rare FROM q1) WHERE (rare OR NOT any_rare) AND df IS NOT NULL),
-b AS (SELECT query_id, doc_id, sum(qf * ln(1 + (n - q.df + 0.5) / (q.df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN p USING (term) CROSS JOIN st GROUP BY 1, 2)
+b0 AS (SELECT query_id, doc_id, sum(qf * ln(1 + (n - q.df + 0.5) / (q.df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN p USING (term) CROSS JOIN st GROUP BY 1, 2),
+b AS (SELECT query_id, doc_id, score * CASE WHEN length(qp.p) > 6 AND contains(t.p, qp.p) THEN 1.6 ELSE 1 END AS score FROM b0 JOIN qp USING (query_id) JOIN t USING (doc_id))
 """
 _DENSE = """d AS (SELECT query_id, doc_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, doc_id) AS r FROM (
- SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) QUALIFY r <= 50)
+ SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) WHERE round(s, 6) > {least} QUALIFY r <= 50)
 """
-_FUSED = _BM25 + ", " + _DENSE + """, u AS (SELECT query_id, doc_id, 0 AS s, r FROM d UNION ALL SELECT query_id, doc_id, 1 AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM b),
+_NEAR = _DENSE.format(least=0.3)
+_DENSE = _DENSE.format(least=-2)
+_FUSED = _BM25 + ", " + _NEAR + """, u AS (SELECT query_id, doc_id, 0 AS s, r FROM d UNION ALL SELECT query_id, doc_id, 1 AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM b),
 f AS (SELECT query_id, doc_id, round(sum(1 / (60 + r)), 9) AS fused, min((s, r)) AS first FROM u GROUP BY 1, 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, first[1], first[2], doc_id) AS rank FROM f)
 """
@@ -87,7 +109,7 @@ def dense_topk(s, d):
 
 
 def _fused(s, d):
-    return R.fuse({"dense": _dense(s, d), "keyword": _bm25(s, d)})
+    return R.fuse({"dense": _dense(s, d, threshold=R.NEAR), "keyword": _bm25(s, d)})
 
 
 @query(_FUSED + "SELECT query_id, doc_id, fused, rank FROM k WHERE doc_id IN (SELECT doc_id FROM documents WHERE deleted_at IS NULL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 10")
@@ -99,7 +121,12 @@ def hybrid_search(s, d):
     return scoped.withColumn("place", place).where(F.col("place") <= 10).select("query_id", "doc_id", "fused", "rank")
 
 
-@query()
+_DISTINCT = "list_distinct(list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 1))"
+
+
+@query(_FUSED + f""", hw AS (SELECT k.query_id, k.doc_id, {_DISTINCT.format(x='q.title')} AS a, {_DISTINCT.format(x="left(concat_ws(' ', x.title, x.body), 400)")} AS b FROM k JOIN documents q ON q.doc_id = query_id AND q.title IS NOT NULL JOIN documents x ON x.doc_id = k.doc_id WHERE rank <= 50),
+sc AS (SELECT query_id, doc_id, CASE WHEN greatest(len(a), len(b)) > 0 THEN round(len(list_intersect(a, b)) / greatest(len(a), len(b)), 6) ELSE 0 END AS s FROM hw)
+SELECT k.query_id, k.doc_id, CASE WHEN rank <= 50 THEN row_number() OVER (PARTITION BY k.query_id ORDER BY rank > 50, coalesce(s, 0) DESC, rank) ELSE rank END AS place FROM k LEFT JOIN sc USING (query_id, doc_id)""")
 def reranked_search(s, d):
     """The first 50 of each query by word overlap, the rest behind."""
     fused = _fused(s, d)
@@ -121,12 +148,35 @@ a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s
 """
 
 
-def _labels(s, d):
-    return G.centroids(_vectors(s, d))
+def enc(name: str, source: str, key: str, text: str) -> str:
+    """CTEs that end in name(key, embedding): the default encoder's vectors of a source's texts."""
+    return f"""{name}_w AS (SELECT {key}, unnest(list_filter(regexp_extract_all(lower(coalesce({text}, '')), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 1)) AS w FROM {source}),
+{name}_v AS (SELECT {key}, ('0x' || left(md5(w), 8))::bigint % 64 AS b, sum(CASE WHEN ('0x' || substr(md5(w), 9, 1))::bigint % 2 = 1 THEN 1 ELSE -1 END) AS x FROM {name}_w GROUP BY 1, 2),
+{name}_n AS (SELECT {key}, sqrt(sum(x * x)) AS n FROM {name}_v GROUP BY 1),
+{name} AS (SELECT {key}, list(coalesce(x, 0) / coalesce(nullif(n, 0), 1) ORDER BY b) AS embedding FROM (SELECT DISTINCT {key}, g.b FROM {source}, range(64) g(b)) LEFT JOIN {name}_v USING ({key}, b) LEFT JOIN {name}_n USING ({key}) GROUP BY 1)
+"""
+
+
+_LANG = "list_position(['bg', 'de', 'en', 'es', 'fr', 'it'], lower(left(trim(lang), 2)))"
+_WORDY = "(SELECT * FROM documents WHERE regexp_matches(text, '[\\p{L}\\p{N}]{2}'))"
+# The notes' own vectors under the view's name, labelled by language and a fifteenth of the ids; others are noise.
+_NOTES = "WITH " + enc("nv", _WORDY, "doc_id", "text") + f", embeddings AS (SELECT doc_id AS vec_id, embedding, CASE WHEN {_LANG} > 0 THEN ({_LANG} - 1) * 15 + doc_id % 15 ELSE -1 END::int AS label FROM nv JOIN documents USING (doc_id)), "
 
 
-def _sims(s, d):
-    return G.similarities(_vectors(s, d), _labels(s, d).withColumnRenamed("centroid", "prototype"))
+def _note_vectors(s: SparkSession, d: str) -> DataFrame:
+    """Vectors of the notes' texts, labelled by language and a fifteenth of the ids; notes in no named language are noise (-1)."""
+    docs = table(s, d, "documents").where(F.regexp_like("text", F.lit(r"[\p{L}\p{N}]{2}")))
+    at = F.array_position(F.array(*map(F.lit, ("bg", "de", "en", "es", "fr", "it"))), F.lower(F.substring(F.trim("lang"), 1, 2)))
+    label = F.when(at > 0, (at - 1) * 15 + F.col("doc_id") % 15).otherwise(-1).cast("int")
+    return encoded(docs.select(F.col("doc_id").alias("vec_id"), label.alias("label"), "text"), F.col("text")).drop("text")
+
+
+def _note_labels(s, d):
+    return G.centroids(_note_vectors(s, d))
+
+
+def _labels(s, d):
+    return G.centroids(_vectors(s, d))
 
 
 @query(_CENT + "SELECT label, size, list_transform(centroid, lambda x: round(x, 5)) AS centroid FROM c JOIN z USING (label)")
@@ -136,12 +186,12 @@ def centroids(s, d):
 
 @query(_CENT + "SELECT label, threshold FROM t")
 def label_thresholds(s, d):
-    return G.thresholds(_vectors(s, d), _sims(s, d))
+    return G.thresholds(G.own_similarities(_vectors(s, d), _labels(s, d)), _labels(s, d))
 
 
 def _assigned(s, d):
-    sims = keep(_sims(s, d))
-    return G.assign(sims, G.thresholds(_vectors(s, d), sims))
+    labels = _labels(s, d)
+    return G.assign(_vectors(s, d), labels, G.thresholds(G.own_similarities(_vectors(s, d), labels), labels))
 
 
 @query(_CENT + "SELECT vec_id, label, sim, r FROM a")
@@ -155,36 +205,99 @@ def assignment_stats(s, d):
     return G.assignment_stats(_vectors(s, d), _assigned(s, d))
 
 
-@query(_CENT + """, b AS (SELECT *, own = label AS prim FROM s WHERE own = label OR sim >= 0.60), w AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY prim DESC, sim DESC, label) AS r FROM b QUALIFY r <= 3)
-SELECT vec_id, label, r, coalesce(max(CASE WHEN prim THEN sim END) OVER (PARTITION BY vec_id), 0) < 0.70 AS review FROM w""")
+_NOTE_CENT = _NOTES + _CENT[5:]
+
+
+@query(_NOTE_CENT + """, b AS (SELECT *, CASE WHEN own < 0 THEN sim >= 0.50 AND row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, label) = 1 ELSE own = label END AS prim FROM s),
+w AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY prim DESC, sim DESC, label) AS r FROM b WHERE prim OR (own >= 0 AND sim >= 0.60) QUALIFY r <= 3)
+SELECT vec_id, label, r, own < 0 OR coalesce(max(CASE WHEN prim THEN sim END) OVER (PARTITION BY vec_id), 0) < 0.70 AS review FROM w""")
 def assign_by_centroid(s, d):
-    return G.assign_by_centroid(_vectors(s, d), _sims(s, d))
+    """Notes by their texts' vectors; those in no named language are noise."""
+    return G.assign_by_centroid(_note_vectors(s, d), _note_labels(s, d))
 
 
-@query(_CENT + "SELECT x.label AS a, y.label AS b, round(list_dot_product(x.centroid, y.centroid), 6) AS sim FROM c x JOIN c y ON x.label < y.label WHERE round(list_dot_product(x.centroid, y.centroid), 6) >= -0.05 AND round(list_dot_product(x.centroid, y.centroid), 6) < 0.85")
+_PAIR = "round(list_dot_product(x.centroid, y.centroid), 6)"
+
+
+@query(_NOTE_CENT + f"SELECT x.label AS a, y.label AS b, {_PAIR} AS sim FROM c x JOIN c y ON x.label < y.label WHERE {_PAIR} >= 0.60 AND {_PAIR} < 0.85")
 def gray_zone_pairs(s, d):
-    """Label pairs within a band of similarity; the band is a parameter (the tables' labels lie far apart)."""
-    return G.label_pairs(_labels(s, d), -0.05, G.MERGE)
+    """Labels alike enough to ask whether they are one."""
+    return G.label_pairs(_note_labels(s, d), G.GRAY, G.MERGE)
 
 
-@query()
+@query(_NOTE_CENT.replace("WITH ", "WITH RECURSIVE ", 1) + f""", gp AS (SELECT *, row_number() OVER (ORDER BY sim DESC, a, b) AS i FROM (SELECT x.label AS a, y.label AS b, {_PAIR} AS sim FROM c x JOIN c y ON x.label < y.label WHERE {_PAIR} >= 0.60 AND {_PAIR} < 0.85)),
+pick AS (SELECT 0::bigint AS i, []::int[] AS used, NULL::int AS a, NULL::int AS b, NULL::double AS sim UNION ALL
+  SELECT gp.i, CASE WHEN list_contains(used, gp.a) OR list_contains(used, gp.b) THEN used ELSE list_concat(used, [gp.a, gp.b]) END, CASE WHEN NOT (list_contains(used, gp.a) OR list_contains(used, gp.b)) THEN gp.a END, gp.b, gp.sim FROM pick JOIN gp ON gp.i = pick.i + 1)
+SELECT a, b, sim FROM pick WHERE a IS NOT NULL""")
 def greedy_pairs(s, d):
     return G.disjoint_pairs(gray_zone_pairs(s, d))
 
 
-@query(_CENT + "SELECT x.label, arg_max(y.label, (round(list_dot_product(x.centroid, y.centroid), 6), -y.label)) AS other, max(round(list_dot_product(x.centroid, y.centroid), 6)) AS sim FROM c x JOIN c y ON x.label <> y.label GROUP BY 1")
+@query(_NOTE_CENT + f"SELECT a, b, sim, CASE WHEN sim > 0.85 THEN 'auto' ELSE 'judge' END AS tier FROM (SELECT x.label AS a, y.label AS b, {_PAIR} AS sim FROM c x JOIN c y ON x.label < y.label) WHERE sim > 0.70")
+def consolidation_tiers(s, d):
+    return P.consolidation(G.label_pairs(_note_labels(s, d), -1.0))
+
+
+@query(_CENT + f"SELECT x.label, arg_max(y.label, ({_PAIR}, -y.label)) AS other, max({_PAIR}) AS sim FROM c x JOIN c y ON x.label <> y.label GROUP BY 1")
 def nearest_label(s, d):
     return G.nearest_label(_labels(s, d))
 
 
-@query(_CENT + "SELECT label, 'tag ' || label AS tag FROM c")
+def _old_and_new(s, d):
+    """A manifest from the notes with odd ids, by negative label so that its order differs, and the labels of the others."""
+    v = _note_vectors(s, d)
+    old = G.centroids(v.where(F.col("vec_id") % 2 == 1))
+    manifest = old.select(F.concat(F.lit("tag "), F.col("label").cast("string")).alias("tag"), (100 - F.col("label")).cast("int").alias("position"), "label", "centroid")
+    return manifest, G.centroids(v.where(F.col("vec_id") % 2 == 0)), v.where(F.col("vec_id") % 2 == 0)
+
+
+_HALVES = _NOTES + "everything AS (SELECT * FROM embeddings), " + ", ".join(_CENT.split("WITH ", 1)[1].split("z AS")[0].replace("FROM embeddings", f"FROM (SELECT * FROM everything WHERE vec_id % 2 = {h})").replace("m AS", f"m{h} AS").replace("FROM m)", f"FROM m{h})").replace("FROM m ", f"FROM m{h} ").replace("n AS (SELECT label, sqrt", f"n{h} AS (SELECT label, sqrt").replace("JOIN n USING", f"JOIN n{h} USING").replace("c AS (SELECT label, list", f"c{h} AS (SELECT label, list").rstrip().rstrip(",") for h in (0, 1))
+
+
+@query(_HALVES + " SELECT c0.label, arg_min('tag ' || c1.label, 100 - c1.label) AS tag FROM c0 JOIN c1 ON round(list_dot_product(c0.centroid, c1.centroid), 6) >= 0.90 GROUP BY 1")
 def manifest_reuse(s, d):
-    """Labels that keep the tag of a stored centroid; here the stored ones are those of this very table."""
-    manifest = _labels(s, d).select(F.concat(F.lit("tag "), F.col("label").cast("string")).alias("tag"), F.col("label").alias("position"), "centroid")
-    return G.reuse_manifest(_labels(s, d), manifest)
+    """Labels of one half of the notes that keep the tag of a centroid of the other half."""
+    manifest, labels, _ = _old_and_new(s, d)
+    return G.reuse_manifest(labels, manifest)
 
 
-@query()
+@query(_HALVES + """, q AS (SELECT vec_id, c1.label, round(list_dot_product(embedding, c1.centroid), 6) AS sim FROM (SELECT * FROM everything WHERE vec_id % 2 = 0) CROSS JOIN c1),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, label) AS r, max(sim) OVER (PARTITION BY vec_id) AS best FROM q)
+SELECT vec_id, label, sim, r, best < 0.70 AS review FROM r WHERE r <= 3 AND best >= 0.50 AND (r = 1 OR sim >= 0.60)""")
+def incremental_tags(s, d):
+    """New notes tagged by the centroids that a former run stored."""
+    manifest, _, new = _old_and_new(s, d)
+    return P.incremental(new, manifest)
+
+
+@query(_CENT + """, o AS (SELECT vec_id, label, sim FROM s WHERE own = label)
+SELECT label, round(avg(sim), 2) AS mean_sim, list(vec_id ORDER BY r) FILTER (r <= 5) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id) AS r FROM o) GROUP BY 1""")
+def label_samples(s, d):
+    return G.label_samples(G.own_similarities(_vectors(s, d), _labels(s, d)))
+
+
+@query(_NOTE_CENT + """, tv AS (SELECT label, list(CASE WHEN i = 1 + label % 64 THEN 1.0::double ELSE 0 END ORDER BY i) AS t FROM c, range(1, 65) g(i) GROUP BY 1),
+h AS (SELECT label, list_transform(range(1, 65), lambda i: 0.5 * t[i] + 0.5 * centroid[i]) AS p FROM tv JOIN c USING (label))
+SELECT label, list_transform(p, lambda x: round(x / sqrt(list_dot_product(p, p)), 5)) AS prototype FROM h""")
+def label_prototypes(s, d):
+    """Half a label's text vector, here a unit axis, and half its members' mean."""
+    labels = _note_labels(s, d)
+    axis = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(i == F.col("label") % 64, 1.0).otherwise(0.0))
+    return G.prototypes(labels.select("label", axis.alias("text_vector")), labels).select("label", F.transform("prototype", lambda x: F.round(x, 5)).alias("prototype"))
+
+
+@query(_NOTES.rstrip().rstrip(",") + " SELECT label, count(*) AS size, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS share FROM embeddings GROUP BY 1")
+def cluster_sizes(s, d):
+    """Sizes of the clusters and of noise (-1), with their shares."""
+    v = _note_vectors(s, d)
+    return G.cluster_sizes(v)
+
+
+@query(_CENT.replace("WITH ", "WITH RECURSIVE ", 1) + """, v AS (SELECT e.vec_id, e.label, embedding::double[] AS v, sim FROM embeddings e JOIN s ON s.vec_id = e.vec_id AND s.own = s.label),
+ce AS (SELECT label, list(vec_id ORDER BY sim DESC, vec_id)[1:4] AS ids FROM v GROUP BY 1),
+st AS (SELECT label, ids, 4 AS n FROM ce UNION ALL SELECT st.label, list_append(ids, nx.vec_id), n + 1 FROM st, LATERAL (SELECT x.vec_id FROM v x WHERE x.label = st.label AND NOT list_contains(ids, x.vec_id)
+  ORDER BY -round(0.5 * x.sim - 0.5 * (SELECT max(list_cosine_similarity(x.v, y.v)) FROM v y WHERE list_contains(ids, y.vec_id)), 9), -x.sim, x.vec_id LIMIT 1) nx WHERE n < 8)
+SELECT label, unnest(ids) AS vec_id, generate_subscripts(ids, 1)::int AS r FROM st WHERE n = 8""")
 def representatives(s, d):
     return G.representatives(_vectors(s, d), _labels(s, d))
 
@@ -202,7 +315,10 @@ def source_keywords(s, d):
     return G.keywords(table(s, d, "documents"), "source")
 
 
-@query("SELECT lower(regexp_extract(title, '^([\\p{L}]{1,20}):', 1)) AS prefix, count(*) AS n FROM documents WHERE regexp_extract(title, '^([\\p{L}]{1,20}):', 1) <> '' GROUP BY 1 HAVING count(*) >= 5")
+_PRE = f"regexp_extract(title, '^{_WS}*([^\\s\\p{{Z}}\\x0b\\x85]{{2,30}}(?:{_WS}+[^\\s\\p{{Z}}\\x0b\\x85]{{2,30}}){{0,2}}){_WS}*[:—-]{_WS}+[^\\s\\p{{Z}}\\x0b\\x85]', 1)"
+
+
+@query(f"SELECT lower({_PRE}) AS prefix, count(*) AS n FROM documents WHERE {_PRE} <> '' GROUP BY 1 HAVING count(*) >= 5")
 def title_prefixes(s, d):
     return G.title_prefixes(table(s, d, "documents"))
 
@@ -227,11 +343,11 @@ mi AS (SELECT sum(k.n / o.n * ln(k.n * o.n / (a * b))) AS mi FROM k JOIN ka USIN
 SELECT round((sij - si * sj / (n * (n - 1) / 2)) / ((si + sj) / 2 - si * sj / (n * (n - 1) / 2)), 6) AS ari, round(mi / ((ht + hp) / 2), 6) AS nmi, round(mi / ((ht + hp) / 2), 6) AS v_measure FROM o, sa, sb, mi""")
 def cluster_metrics(s, d):
     """The nearest centroid of each vector against its label."""
-    best = F.max(F.struct("sim", (-F.col("label")).alias("l"))).alias("m")
-    near = _sims(s, d).groupBy("vec_id").agg(best).select("vec_id", (-F.col("m.l")).alias("pred_label"))
+    near = G.nearest_labels(_vectors(s, d), _labels(s, d)).select("vec_id", F.col("label").alias("pred_label"))
     return V.cluster_metrics(near.join(_vectors(s, d).select("vec_id", F.col("label").alias("true_label")), "vec_id"))
 
 
-@query()
+@query("""WITH n AS (SELECT count(*) AS n FROM documents), x AS (SELECT doc_id, source, count(*) OVER (PARTITION BY source) AS k, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::varchar), doc_id) AS r FROM documents)
+SELECT doc_id, source FROM x, n WHERE r <= greatest(1, floor(k * 200 / n))""")
 def stratified_sample(s, d):
     return V.stratified(table(s, d, "documents").select("doc_id", "source"), "source", 200)

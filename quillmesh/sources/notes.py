@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmesh.functions.text import stripped
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KEEP_SCHEMA = """title string, textContent string, listContent array<struct<text:string,isChecked:boolean>>, createdTimestampUsec long, userEditedTimestampUsec long,
 isArchived boolean, isPinned boolean, isTrashed boolean, color string, labels array<struct<name:string>>, attachments array<struct<filePath:string,mimetype:string>>, annotations array<struct<url:string,title:string>>"""
@@ -40,12 +42,11 @@ def _micros(c: str):
 
 @register("keep")
 def keep_export(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of JSON notes, one file each. Unparsable files are `malformed`, other JSON `not-a-note`, notes in the bin `trashed`."""
+    """A folder of JSON notes, one file each. Unparsable files are `malformed`, JSON that is no object `not-a-note`, notes in the bin `trashed`."""
     files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
     j = files.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("external_id"), F.trim("value").alias("v"))
     j = j.select("external_id", "v", F.from_json("v", KEEP_SCHEMA).alias("n"), F.try_parse_json("v").alias("any"))
-    known = F.col("n.textContent").isNotNull() | F.col("n.listContent").isNotNull() | F.col("n.title").isNotNull() | F.col("n.userEditedTimestampUsec").isNotNull()
-    reason = F.when(F.col("any").isNull(), "malformed").when(~F.col("v").startswith("{") | ~known, "not-a-note").when(F.col("n.isTrashed"), "trashed")
+    reason = F.when(F.col("any").isNull(), "malformed").when(~F.col("v").startswith("{"), "not-a-note").when(F.col("n.isTrashed"), "trashed")
     item = lambda x: F.concat(F.when(x["isChecked"], "- [x] ").otherwise("- [ ] "), F.coalesce(x["text"], F.lit("")))
     listed = F.array_join(F.transform("n.listContent", item), "\n")
     text = F.coalesce(F.col("n.textContent"), F.lit(""))
@@ -68,19 +69,19 @@ _FRONT = r"(?s)\A---\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
 
 
 def front_matter_tags(front: str) -> list[str]:
-    """Tags of a `tags:` or `tag:` entry: a bracketed list, a comma list, one word, or a block of dashed lines."""
-    out, block = [], False
+    """Values of all `tags:` and `tag:` entries: a bracketed or bare list with commas or semicolons, one word, or the indented
+    dashed lines below, up to a blank or other line. Quotes around a value go; this is no YAML parser."""
+    out, inside = [], False
     for line in front.splitlines():
-        m = re.match(r"\s*tags?\s*:\s*(.*)$", line, re.I)
-        if m:
-            value = m.group(1).strip()
-            block = not value
-            out += [p.strip().strip("'\"") for p in value.strip("[]").split(",")]
-        elif block and (d := re.match(r"\s*-\s+(.*)$", line)):
-            out.append(d.group(1).strip().strip("'\""))
-        elif line.strip():
-            block = False
-    return [t.lstrip("#") for t in out if t]
+        if inside and line[:1] in (" ", "\t") and line.strip().startswith("-"):
+            out.append(line.strip().lstrip("-"))
+            continue
+        entry = re.match(r"[ \t]*tags?[ \t]*:(.*)", line)
+        inside = bool(entry) and not entry.group(1).strip()
+        if entry and not inside:
+            value = entry.group(1).strip()
+            out += re.split("[,;]", value[1:-1] if value[0] == "[" and value[-1] == "]" else value)
+    return [v for t in out if (v := t.strip().strip("\"'"))]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -97,15 +98,15 @@ def markdown_tree(spark: SparkSession, path: str) -> DataFrame:
     rel = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), "^" + re.escape(base) + "/", "")
     f = files.select(rel.alias("external_id"), F.col("modificationTime").alias("edited_at"), F.regexp_replace(raw, "^﻿", "").alias("raw"), F.is_valid_utf8(raw).alias("ok"))
     f = f.withColumns({"front": F.regexp_extract("raw", _FRONT, 1), "body": F.regexp_replace("raw", _FRONT, "")})
-    inline = F.regexp_extract_all("body", F.lit(r"(?:^|\s)#([\p{L}\p{N}_][\p{L}\p{N}_/.&-]*)"), 1)
-    both = F.concat(_front_tags("front"), inline)
+    inline = F.regexp_extract_all("body", F.lit(r"(?m)(?:^|\s)#([\p{L}\p{N}_/.&-]+)"), 1)  # fixed value
+    both = F.filter(F.transform(F.concat(_front_tags("front"), inline), lambda x: F.regexp_replace(x, "^#+", "")), lambda x: x != "")
     distinct = F.aggregate(both, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))
     stem = F.regexp_replace(F.element_at(F.split("external_id", "/"), -1), r"\.(md|markdown)$", "")
     heading = F.regexp_extract("body", r"(?m)^#\s+(.+?)\s*$", 1)
     return f.select(
         "external_id",
         F.when(heading != "", heading).otherwise(stem).alias("title"),
-        "body",
+        stripped(F.col("body")).alias("body"),
         F.lit(None).cast("timestamp").alias("created_at"),
         "edited_at",
         distinct.alias("labels"),
@@ -116,20 +117,21 @@ def markdown_tree(spark: SparkSession, path: str) -> DataFrame:
 
 
 def detect(path: str) -> str | None:
-    """The importer whose files a folder holds: JSON notes by their marker keys, else Markdown; null without either."""
+    """The importer whose files a folder holds: `keep` if any JSON file has a marker key, else Markdown; null without either."""
     import glob
     import json
     import os
 
-    for name in sorted(glob.glob(os.path.join(path, "*.json")))[:20]:
+    markers = {"createdTimestampUsec", "userEditedTimestampUsec", "isTrashed", "listContent"}  # fixed values
+    for name in glob.iglob(os.path.join(glob.escape(path), "*.json")):
         try:
             with open(name, encoding="utf-8") as f:
                 note = json.load(f)
         except (OSError, ValueError):
             continue
-        if isinstance(note, dict) and {"textContent", "listContent", "userEditedTimestampUsec"} & note.keys():
+        if isinstance(note, dict) and markers & note.keys():
             return "keep"
-    found = glob.iglob(os.path.join(path, "**", "*.m*d*"), recursive=True)
+    found = glob.iglob(os.path.join(glob.escape(path), "**", "*.m*d*"), recursive=True)
     return "markdown" if any(p.endswith((".md", ".markdown")) for p in found) else None
 
 
@@ -139,9 +141,9 @@ def export_text(docs: DataFrame) -> DataFrame:
 
 
 def judged_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, queries, relevance) of a benchmark folder: corpus.jsonl, queries.jsonl and a tab-separated qrels.tsv of three or four columns."""
+    """(documents, queries, relevance) of a benchmark folder: corpus.jsonl, queries.jsonl and a tab-separated qrels/test.tsv of three or four columns."""
     docs = spark.read.schema("_id string, title string, text string").json(f"{path}/corpus.jsonl").select(F.col("_id").alias("doc_id"), "title", "text")
     queries = spark.read.schema("_id string, text string").json(f"{path}/queries.jsonl").select(F.col("_id").alias("query_id"), "text")
-    lines = spark.read.text(f"{path}/qrels.tsv").select(F.split("value", "\t").alias("c")).where(F.element_at("c", -1).rlike(r"^-?\d+$"))
+    lines = spark.read.text(f"{path}/qrels/test.tsv").select(F.split("value", "\t").alias("c")).where(F.element_at("c", -1).rlike(r"^-?\d+$"))
     qrels = lines.where(F.element_at("c", -1).cast("double") > 0).select(F.col("c")[0].alias("query_id"), F.element_at("c", -2).alias("doc_id"))
     return docs, queries, qrels

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
 from quillmesh.functions import vectors as X
-from quillmesh.operators import chat, entities, evaluation, graph, ingest, retrieval, tagging, tags
+from quillmesh.operators import chat, entities, evaluation, graph, ingest, proposals, retrieval, tagging, tags
 from quillmesh.sources import notes
 from quillmesh.streaming import limiter
 
@@ -30,18 +30,22 @@ def test_stem(spark, word, stem):
     assert one(spark, T.stem(F.col("w")), w=word) == stem
 
 
-def test_multilingual_words_and_normalisation(spark):
+def test_multilingual_terms_and_normalisation(spark):
     assert one(spark, T.normalize(F.col("t")), t="Naïve Й ﬁ Ａ") == "naive и fi a"
-    assert one(spark, T.multilingual_words(F.col("t")), t="漢字仮 x yz 語") == ["漢字", "字仮", "yz", "語"]
+    assert one(spark, T.multilingual_terms(F.col("t")), t="漢字仮 x yz 語 Naïve abc漢") == ["漢字", "字仮", "yz", "語", "naive", "abc", "漢"]
+    assert T.search_terms("ไทย") == ["ไท", "ทย"] and T.search_terms(None) == [] and T.normalized("Ελλάς") == "ελλας"
 
 
 def test_citations_claims_and_titles(spark):
     assert one(spark, T.cited_numbers(F.col("t")), t="a [Note #2] b [Note #1, #4] c [Note #2]") == [2, 1, 4]
     assert one(spark, T.strip_invalid_citations(F.col("t"), F.lit(2)), t="x [Note #0] y [Note #2] z [Note #9]") == "x  y [Note #2] z "
-    assert one(spark, T.claims(F.col("t")), t="# Header line that is long\nShort. A claim of more than fifteen characters.") == ["A claim of more than fifteen characters."]
+    said = "# Header line that is long\nShort. A claim of more than fifteen characters.\n- **The second one** stands here. [Note #3, #1] A third claim [Note #2] follows it."
+    assert [tuple(c) for c in one(spark, T.claims(F.col("t")), t=said)] == [("A claim of more than fifteen characters.", None), ("The second one** stands here.", None), ("A third claim  follows it.", 3)]
+    assert one(spark, T.claim_context(F.col("t"), F.lit(3)), t=said) == "A third claim  follows it." and one(spark, T.claim_context(F.col("t"), F.lit(9)), t=said) is None
     assert one(spark, T.strip_type_prefix(F.col("t")), t=" P: plan") == "plan"
     assert one(spark, T.highlight(F.col("t"), F.lit("b.c")), t="<a> B.C bxc") == "&lt;a&gt; <mark>B.C</mark> bxc"
-    assert one(spark, T.tag_name(F.col("t")), t='```json\n{"tag": "home and garden tools"}\n```') == "Home And Garden"
+    assert one(spark, T.tag_name(F.col("t")), t='```json\n{"tag": "home and garden tools"}\n``` and more') == "Home And Garden"
+    assert [one(spark, T.tag_name(F.col("t")), t=x) for x in ("home_improvement", "a+b", "", "Дом, сад!")] == ["Home_Improvement", None, None, "Дом Сад"]
 
 
 def test_vectors(spark):
@@ -76,8 +80,12 @@ def test_tag_algebra(spark):
     docs = spark.createDataFrame([(1, ["a", " n ", ""], None), (5, None, None)], "doc_id long, labels array<string>, deleted_at timestamp")
     seeded = tags.seed_from_labels(docs, rows)
     assert as_set(seeded) - as_set(rows) == {(1, "n", 2)} and as_set(tags.seed_from_labels(docs, seeded)) == as_set(seeded)
-    proposals = spark.createDataFrame([("p", "new", [3, 9])], "proposal_id string, tag_name string, doc_ids array<long>")
-    assert as_set(tags.apply_actions(rows, proposals, {"p": "merge:a"}, {"c": "d"})) == {(1, "a", 0), (1, "b", 1), (2, "a", 0), (3, "d", 0), (3, "a", 1), (9, "a", 0)}
+    known = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")
+    none = dict.fromkeys(("tag_name", "new_name", "note_ids", "source_tag", "target_tag", "note_id", "tag"))
+    acts = [{"action": "merge", "tag_name": "a", "note_ids": [3, 9]}, {"action": "rename", "tag_name": "x", "new_name": "c", "note_ids": [2]}, {"action": "merge_tags", "source_tag": "c", "target_tag": "d"}, {"action": "merge_tags", "source_tag": "none", "target_tag": "e"}, {"action": "merge_tags", "source_tag": "d", "target_tag": "a"}, {"action": "assign_tag", "note_id": 1, "tag": "z"}]
+    table = spark.createDataFrame([(i, *({**none, **a}[c] for c in ("action", *none))) for i, a in enumerate(acts)], proposals.ACTIONS)
+    assert as_set(proposals.apply_actions(rows, known, table)) == {(1, "a", 0), (1, "b", 1), (1, "z", 2), (2, "a", 0), (3, "a", 1)}
+    assert as_set(proposals.apply_actions(rows, known, table.limit(0))) == as_set(rows)
     assert tags.coverage(docs.limit(0), rows).first().total == 0
 
 
@@ -97,14 +105,23 @@ def test_bm25_against_brute_force(spark):
     docs = spark.createDataFrame(list(corpus.items()), "doc_id long, text string")
     queries = [[rng.choice(vocabulary) for _ in range(rng.randrange(1, 5))] for _ in range(12)] + [["zq0"], ["nothing", "zq0"], ["zq3", "zq3"]]
     q = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(queries)], "query_id long, q string")
-    got = retrieval.bm25(retrieval.postings(docs, F.col("text")), q, F.col("q"), len(corpus)).collect()
+    got = retrieval.bm25(retrieval.keyword_scan(docs, F.col("text"), q), q).collect()
     found = {}
     for r in got:
         found.setdefault(r.query_id, {})[r.doc_id] = r.score
     for i, x in enumerate(queries):
         want = brute_bm25(corpus, x)
         assert found.get(i, {}).keys() == want.keys()
-        assert all(math.isclose(found[i][d], s, rel_tol=1e-9) for d, s in want.items())
+        bonus = {d: 1.6 if len(" ".join(x)) > 6 and " ".join(x) in corpus[d] else 1 for d in want}
+        assert all(math.isclose(found[i][d], s * bonus[d], rel_tol=1e-9) for d, s in want.items())
+    assert retrieval.bm25(retrieval.keyword_scan(docs.limit(0), F.col("text"), q), q).count() == 0
+
+
+def test_phrases_and_accents_in_search(spark):
+    docs = spark.createDataFrame([(1, "A naïve garden plan for all"), (2, "the plan of a garden, naive"), (3, None), (4, "ungarden planner")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "Naive Gardén  "), (2, "garden plan"), (3, "x"), (4, None)], "query_id long, q string")
+    got = {(r.query_id, r.doc_id): r.score for r in retrieval.bm25(retrieval.keyword_scan(docs, F.col("text"), q.withColumn("q", F.trim("q"))), q).collect()}
+    assert got.keys() == {(1, 1), (1, 2), (2, 1), (2, 2)} and got[2, 1] > 1.5 * got[2, 2] and got[1, 1] > 1.5 * got[1, 2]
 
 
 def test_fusion_order_rerank_and_scope(spark):
@@ -128,14 +145,18 @@ def test_chunks(spark):
     got = {}
     for r in retrieval.chunks(docs).orderBy("chunk_index").collect():
         got.setdefault(r.doc_id, []).append(r.chunk)
-    assert got[2] == ["T\nshort"] and 3 not in got and got[4] == [""]
-    assert len(got[1]) == 2 and got[1][0].startswith("T\n\nppp") and got[1][1].endswith("tail")
+    assert got[2] == ["T short"] and 3 not in got and 4 not in got
+    assert len(got[1]) == 2 and got[1][0].startswith("T ppp") and got[1][1].endswith("tail")
 
 
 def test_assignment_rules(spark):
-    sims = spark.createDataFrame([(1, 0, 0.9), (1, 1, 0.77), (1, 2, 0.70), (2, 0, 0.46), (2, 1, 0.40), (3, 0, 0.44), (3, 1, 0.1)], "vec_id long, label int, sim double")
-    limits = spark.createDataFrame([(0, 0.5), (1, 0.5), (2, 0.5)], "label int, threshold double")
-    assert {(r.vec_id, r.label) for r in tagging.assign(sims, limits).collect()} == {(1, 0), (1, 1), (2, 0)}
+    labels = spark.createDataFrame([(0, 1, [1.0, 0.0, 0.0]), (1, 1, [0.0, 1.0, 0.0]), (2, 1, [0.0, 0.0, 1.0])], "label int, size int, centroid array<double>")
+    v = spark.createDataFrame([(1, 0, [0.9, 0.77, 0.7]), (2, 0, [0.46, 0.4, 0.79]), (3, -1, [0.6, 0.55, 0.5]), (4, -1, [0.0, 0.0, 0.0])], "vec_id long, label int, embedding array<double>")
+    limits = spark.createDataFrame([(0, 0.5), (1, 0.5), (2, 0.9)], "label int, threshold double")
+    assert {(r.vec_id, r.label, r.r) for r in tagging.assign(v, labels, limits).collect()} == {(1, 0, 1), (1, 1, 2), (2, 2, 1), (3, 0, 1), (3, 1, 2)}
+    assert {(r.vec_id, r.label, r.r, r.review) for r in tagging.assign_by_centroid(v, labels).collect()} == {(1, 0, 1, True), (2, 0, 1, True), (2, 2, 2, True), (3, 0, 1, True)}
+    assert {(r.vec_id, r.label) for r in tagging.nearest_labels(v, labels).collect()} == {(1, 0), (2, 2), (3, 0), (4, 0)}
+    assert tagging.own_similarities(v, labels).count() == 2 and tagging.assign(v, labels.limit(0), limits).count() == 0
     assert tagging.cluster_sizing("broad", 1000) == (18, 3) and tagging.cluster_sizing("specific", 10) == (8, 2)
     pairs = spark.createDataFrame([(1, 2, 0.8), (2, 3, 0.9), (4, 1, 0.7)], "a int, b int, sim double")
     assert {(r.a, r.b) for r in tagging.disjoint_pairs(pairs).collect()} == {(2, 3), (4, 1)}
@@ -248,8 +269,9 @@ def test_importers(spark, tmp_path):
     for name, value in {"1.json": json.dumps(note), "2.json": "{broken", "3.json": "[1]", "4.json": json.dumps({**note, "isTrashed": True}), "5.json": json.dumps({"other": 1})}.items():
         (keep / name).write_text(value)
     docs, skips = notes.split_scan(notes.importer("keep")(spark, str(keep)))
-    assert {r.path: r.reason for r in skips.collect()} == {"2.json": "malformed", "3.json": "not-a-note", "4.json": "trashed", "5.json": "not-a-note"}
-    d = docs.first()
+    assert {r.path: r.reason for r in skips.collect()} == {"2.json": "malformed", "3.json": "not-a-note", "4.json": "trashed"}
+    d = docs.orderBy("external_id").first()
+    assert docs.count() == 2 and notes.front_matter_tags("tag: a; b,'c'\ntags:\n  - x y\n\t-z\n\n  - lost\nTags: no") == ["a", "b", "c", "x y", "z"]
     assert (d.body, d.labels, d.attachments[0].path, d.edited_at) == ("text\n- [x] a\n- [ ] b", ["x"], "p.png", None) and d.created_at is not None
     vault = tmp_path / "vault" / "sub"
     vault.mkdir(parents=True)
