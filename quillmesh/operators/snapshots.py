@@ -2,7 +2,7 @@
 
 Each snapshot is range-partitioned and sorted by key; within every range one streaming pass walks the
 sorted rows with two pointers (the earlier and the later snapshot of the same key stand next to each
-other) and emits typed changes. Nothing but the current key is held, so a range of any length runs in
+other) and emits typed changes. Nothing but a batch and the row before it is held, so a range of any length runs in
 constant memory.
 """
 
@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,37 +46,51 @@ def snapshot_rows(snapshots: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by (source_key, external_id, ord). A row is compared with the one before it."""
-    last: tuple | None = None
+    """Rows arrive sorted by (source_key, external_id, ord). Every row is compared with the one before it, a batch at once;
+    the last row of a batch leads the next one."""
+    last: pa.RecordBatch | None = None
 
-    def gone(row: tuple | None) -> list[tuple]:
-        return [(row[5], row[1], "removed")] if row is not None and row[5] is not None else []
+    def pack(*parts: tuple[pa.Array, pa.Array, np.ndarray, str]) -> pa.RecordBatch | None:
+        ids = [imports.filter(pa.array(rows)) for imports, _, rows, _ in parts]
+        keys = [k.filter(pa.array(rows)) for _, k, rows, _ in parts]
+        kinds = [pa.array([kind] * len(i), pa.string()) for i, (*_, kind) in zip(ids, parts, strict=True)]
+        columns = [pa.concat_arrays(c) for c in (ids, keys, kinds)]
+        return pa.RecordBatch.from_arrays(columns, names=["import_id", "external_id", "change_type"]) if len(columns[0]) else None
 
-    def pack(changes: list[tuple]) -> pa.RecordBatch:
-        ids, keys, kinds = zip(*changes, strict=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(kinds, pa.string())],
-            names=["import_id", "external_id", "change_type"],
-        )
+    def true(mask) -> np.ndarray:
+        return pc.fill_null(mask, False).to_numpy(zero_copy_only=False)
 
     for batch in batches:
-        out: list[tuple] = []
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            source, key, order, now, here, _ = row
-            if last is not None and last[0] == source and last[1] == key:
-                if last[2] + 1 < order:
-                    out += [*gone(last), (here, key, "added")]
-                elif now and last[3] and now != last[3]:
-                    out.append((here, key, "updated"))
-            else:
-                out += gone(last)
-                if order > 1:
-                    out.append((here, key, "added"))
-            last = row
-        if out:
-            yield pack(out)
-    if gone(last):
-        yield pack(gone(last))
+        if not batch.num_rows:
+            continue
+        first = last is None
+        if not first:
+            batch = pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip(last.columns, batch.columns, strict=True)], names=batch.schema.names)
+        source, key, order, hashes, here, later = batch.columns
+        n = batch.num_rows
+        place = order.to_numpy(zero_copy_only=False)
+        head = pack((here, key, np.r_[place[:1] > 1, np.zeros(n - 1, bool)], "added")) if first else None
+        if head is not None:
+            yield head
+        if n > 1:
+            up, down = (lambda c: c.slice(0, n - 1)), (lambda c: c.slice(1))
+            same = true(pc.equal(up(source), down(source))) & true(pc.equal(up(key), down(key)))
+            gap = same & (place[1:] > place[:-1] + 1)
+            follows = same & ~gap
+            filled = true(pc.not_equal(hashes, ""))
+            changed = follows & filled[1:] & filled[:-1] & true(pc.not_equal(up(hashes), down(hashes)))
+            out = pack(
+                (up(later), up(key), (~same | gap) & true(up(later).is_valid()), "removed"),
+                (down(here), down(key), (~same & (place[1:] > 1)) | gap, "added"),
+                (down(here), down(key), changed, "updated"),
+            )
+            if out is not None:
+                yield out
+        last = batch.slice(n - 1)
+    if last is not None:
+        out = pack((last.column(5), last.column(1), true(last.column(5).is_valid()), "removed"))
+        if out is not None:
+            yield out
 
 
 def snapshot_changes(snapshots: DataFrame, imports: DataFrame) -> DataFrame:
