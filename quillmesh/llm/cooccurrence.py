@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.session import cut
+
 #: Codes sorted at once in a task, and items of a record handled in one block.
 RUN, BLOCK = 4_000_000, 1024
 
@@ -72,6 +74,22 @@ def _sum_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([code0], pa.int64()), pa.array([n0], pa.int64())], names=["code", "n"])
 
 
+def _numbered(items: DataFrame) -> DataFrame:
+    """(i, c): distinct items numbered from 0 in their order. The sorted table is written to the shared checkpoint folder, so
+    that a number is the same whenever it is read; only the parts' sizes go to the driver."""
+    i = cut(items.repartitionByRange("i").sortWithinPartitions("i")).withColumn("at", F.monotonically_increasing_id())
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(2**33 - 1)
+    sizes = sorted((r["p"], r["count"]) for r in i.groupBy(part.alias("p")).count().collect())
+    before, offsets = 0, []
+    for p, n in sizes:
+        offsets.append((p, before))
+        before += n
+    if before > 2**31:
+        raise ValueError("more than 2^31 items")
+    table = F.broadcast(items.sparkSession.createDataFrame(offsets, "p long, before long"))
+    return i.join(table, part == F.col("p")).select("i", (F.col("before") + row).alias("c"))
+
+
 def item_pairs(rows: DataFrame, record: str = "doc_id", item: str = "tag_id", least: int = 1) -> DataFrame:
     """(a, b, n_ab, n_a, n_b, n, lift, odds_ratio) for every pair a < b that at least `least` records have.
 
@@ -84,7 +102,7 @@ def item_pairs(rows: DataFrame, record: str = "doc_id", item: str = "tag_id", le
     n = r.select(F.countDistinct("r")).first()[0]
     low, high = items.select(F.min("i"), F.max("i")).first()
     if low is not None and (low < 0 or high >= 2**31):  # ids too large for half a code: number the items
-        dense = items.select("i").rdd.map(lambda x: x[0]).zipWithIndex().toDF("i long, c long")
+        dense = _numbered(items.select("i"))
     else:
         dense = None
     coded = r.join(dense, "i").select("r", F.col("c")) if dense is not None else r.select("r", F.col("i").alias("c"))

@@ -1,17 +1,17 @@
 """Problem 2: a language and a confidence for every note and every passage.
 
 A multinomial logistic regression on TF-IDF weighted character n-grams of words, sparse by elastic-net
-penalties, trained by follow-the-regularised-leader on passages of labelled notes; its temperature is
-calibrated on held-out passages. Labels are noisy, so a first model drops the passages that contradict
-theirs and a second one is trained on the rest. A passage is scored word by word: term frequencies are
-relative to the word and then to the passage, so a passage's score is the mean of its words' scores, which
-are remembered.
+penalties, trained by follow-the-regularised-leader on passages of labelled notes, decides: it has a class for
+each language and one for text in none, which learns from names, filler, keystrokes and code. Labels are noisy, so
+models of either half drop the passages of the other that contradict theirs, and the rest train the last; its temperature
+is calibrated on all held-out passages with the labels they came with. A passage is scored word by word: term
+frequencies are relative to the word and then to the passage, so a passage's score is the mean of its words'
+scores, which are remembered.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +27,10 @@ from quillmesh.llm.residue import LOREM, _repeats
 SAMPLE, PASSAGES = 400, 1200
 #: Size of the hashed feature space; with six languages a model has less than 2 MB.
 FEATURES = 1 << 16
-#: Weight of a frequent word of a language beside the model's log-probability.
-FREQUENT = 1.0
+#: Made-up passages of each kind for the class of no language.
+MADE = 400
+#: Calibrated probability from which a passage is in a language.
+SURE = 0.45
 #: A passage of fewer blank-separated words takes the language around it.
 WORDS = 6
 
@@ -37,10 +39,13 @@ CODES = {
     "bg": ("bg", "bul"), "de": ("de", "deu", "ger"), "en": ("en", "eng"), "es": ("es", "spa"), "fr": ("fr", "fra", "fre"), "it": ("it", "ita"),
 }
 LANGUAGES = sorted(CODES)
+NONE = len(LANGUAGES)
 
 _FENCE = re.compile(r"```.*?(?:```|\n\s*\n|\Z)", re.S)
 _WRAP = re.compile(r"(?<=[^\W_,;])([,;]?)\r?\n[> \t]*(?=[^\W\d_])")
 _LEAD = re.compile(r"(?:[\s>*#•=|]+|[-–—]\s+|\d+[.)]\s+|\[[ xX]\]\s*)+")
+_TOKEN = re.compile(r"[^\W_]+")
+_ADDRESS = re.compile(r"\S*(?:://|@|www\.)\S*")
 _BREAK = re.compile(r"[\r\n]+|(?<=[.!?…])[\"'»”)]*\s+|(?<=[;|])\s*")
 
 
@@ -145,27 +150,49 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def letters(text: str) -> list[str]:
+    """Words of letters, lower-cased; web and mail addresses have none."""
+    low = text.lower()
+    return [w for w in _TOKEN.findall(_ADDRESS.sub(" ", low) if "@" in low or "://" in low or "www." in low else low) if w.isalpha()]
+
+
 class Model:
-    """idf-weighted weights of all n-grams, the calibrated temperature and each language's frequent words."""
+    """idf-weighted weights of all n-grams for each class, and the calibrated temperature."""
 
-    def __init__(self, weights: np.ndarray, temperature: float, frequent: dict[str, int]):
-        self.weights, self.temperature, self.frequent = weights.astype(np.float32), temperature, frequent
+    def __init__(self, weights: np.ndarray, temperature: float):
+        self.weights, self.temperature = weights.astype(np.float32), temperature
 
     def word_vectors(self, words: list[str]) -> np.ndarray:
-        """Of each word: mean of the weights of its n-grams, 1, one for each language whose frequent word it is, one for filler."""
+        """Of each word the mean of the weights of its n-grams, and 1."""
         ids, of = grams(words)
         k = self.weights.shape[1]
-        out = np.zeros((len(words), 2 * k + 2), np.float32)
+        out = np.zeros((len(words), k + 1), np.float32)
         size = np.maximum(1, np.bincount(of, minlength=len(words)))
         for i in range(k):
             out[:, i] = np.bincount(of, self.weights[ids, i], len(words)) / size
         out[:, k] = 1
-        mask = np.array([self.frequent.get(w, 0) for w in words], np.int64)
-        out[:, k + 1 : 2 * k + 1] = mask[:, None] >> np.arange(k) & 1
-        out[:, 2 * k + 1] = [w in LOREM for w in words]
         return out
 
 
+def made_up(samples: list[tuple[str, str]], rng: np.random.Generator, n: int = MADE) -> list[list[str]]:
+    """Passages in no language: lists of names, made of the sample's capitalised words that occur once, words of filler, keystrokes."""
+    seen: dict[str, int] = {}
+    for lang, text in samples:
+        if lang != "de":
+            for w in re.findall(r"(?<=[\w,] )[^\W\d_]+", text):
+                if w.istitle():
+                    seen[w.lower()] = seen.get(w.lower(), 0) + 1
+    names, lorem = sorted(w for w, c in seen.items() if c == 1), sorted(LOREM)
+    out = []
+    for _ in range(n):
+        size = int(rng.integers(WORDS, 12))
+        if names:
+            out.append([names[i] for i in rng.integers(len(names), size=size)])
+        out.append([lorem[i] for i in rng.integers(len(lorem), size=size)])
+        out.append(["".join("asdfjklqwer"[i] for i in rng.integers(11, size=int(rng.integers(2, 9)))) for _ in range(size)])
+    return out
+
+
 def _matrix(items: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse passages: row, column and term frequency, sorted by row."""
     ids, of = grams([w for ws in items for w in ws])
@@ -174,21 +201,22 @@ def _matrix(items: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return row, ids, 1 / (np.bincount(of)[of] * size[row])
 
 
-def train(samples: list[tuple[str, str]], seed: int = 7, epochs: int = 3) -> Model:
-    """samples: (language, passage). Deterministic for the same samples in the same order."""
+def train(samples: list[tuple[str, str]], code: list[str] = (), seed: int = 7, first: int = 1, epochs: int = 3) -> Model:
+    """samples: (language, passage); code: lines in no language. Deterministic for the same samples in the same order."""
     rng = np.random.default_rng(seed)
-    items = [(LANGUAGES.index(lang), WORD.findall(text.lower())) for lang, text in samples]
-    items = [(y, w) for y, w in items if len(w) >= WORDS]
     by: dict[int, list] = {}
-    for y, w in items:
-        by.setdefault(y, []).append(w)
+    for lang, text in samples:
+        w = letters(text)
+        if len(w) >= WORDS:
+            by.setdefault(LANGUAGES.index(lang), []).append(w)
+    if not by:
+        return Model(np.zeros((FEATURES, NONE + 1)), 1.0)
+    by[NONE] = made_up(samples, rng) + [w for w in map(letters, code) if w][:PASSAGES]
     picked = []
     for y, ws in sorted(by.items()):
-        order = rng.permutation(len(ws))[:PASSAGES]
+        order = rng.permutation(len(ws))[: PASSAGES if y < NONE else len(ws)]
         picked += [(y, ws[i]) for i in order]
     rng.shuffle(picked)
-    if not picked:
-        return Model(np.zeros((FEATURES, len(LANGUAGES))), 1.0, {})
     y = np.array([p[0] for p in picked])
     rows, cols, tf = _matrix([p[1] for p in picked])
     seen = np.unique(rows * FEATURES + cols) % FEATURES
@@ -197,10 +225,9 @@ def train(samples: list[tuple[str, str]], seed: int = 7, epochs: int = 3) -> Mod
     values = tf * idf[cols] * 10
     bounds = np.searchsorted(rows, np.arange(len(picked) + 1))
     held = np.arange(len(picked)) % 5 == 4
-    good = ~held
 
-    def fit(use: np.ndarray) -> np.ndarray:
-        model = FTRL(len(LANGUAGES))
+    def fit(use: np.ndarray, epochs: int) -> np.ndarray:
+        model = FTRL(NONE + 1)
         for _ in range(epochs):
             for part in np.array_split(rng.permutation(use), max(1, len(use) // 128)):
                 at = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in part])
@@ -210,29 +237,23 @@ def train(samples: list[tuple[str, str]], seed: int = 7, epochs: int = 3) -> Mod
     def scores(w: np.ndarray) -> np.ndarray:
         return np.stack([np.bincount(rows, values * w[cols, k], len(picked)) for k in range(w.shape[1])], 1)
 
-    first = softmax(scores(fit(np.flatnonzero(good))) * 3)
-    agree = first.argmax(axis=1) == y
-    w = fit(np.flatnonzero(good & agree))
-    s = scores(w)
-    t = held & agree
+    # Each half is judged by a model of the other one, so that no label speaks for itself.
+    half = np.arange(len(picked)) // 5 % 2
+    agree = np.zeros(len(picked), bool)
+    for h in (0, 1):
+        agree[half == h] = (scores(fit(np.flatnonzero(half != h), first)).argmax(axis=1) == y)[half == h]
+    w = fit(np.flatnonzero(~held & agree), epochs)
+    s = scores(w)[held]
     temperatures = 2.0 ** np.arange(-6, 4, 0.25)
-    losses = [-np.log(np.maximum(softmax(s[t] / c)[np.arange(t.sum()), y[t]], 1e-9)).mean() if t.any() else 0.0 for c in temperatures]
-    temperature = float(temperatures[int(np.argmin(losses))])
-    # Words that stand in at least one of three hundred passages of a language: above all its grammatical words.
-    frequent: dict[str, int] = {}
-    for k in range(len(LANGUAGES)):
-        own = [set(p[1]) for p, a in zip(picked, agree, strict=True) if p[0] == k and a]
-        for word, n in Counter(x for ws in own for x in ws).items():
-            if n >= max(4, len(own) / 300) and not word.isdigit():
-                frequent[word] = frequent.get(word, 0) | 1 << k
-    return Model(w * idf[:, None] * 10, temperature, frequent)
+    losses = [-np.log(np.maximum(softmax(s / c)[np.arange(held.sum()), y[held]], 1e-9)).mean() for c in temperatures]
+    return Model(w * idf[:, None] * 10, float(temperatures[int(np.argmin(losses))]))
 
 
 class Tagger:
     def __init__(self, model: Model):
-        self.model, self.k = model, len(LANGUAGES)
+        self.model, self.k = model, NONE + 1
         self.index: dict[str, int] = {}
-        self.table = np.zeros((1 << 16, 2 * self.k + 2), np.float32)
+        self.table = np.zeros((1 << 16, self.k + 1), np.float32)
 
     def _ids(self, words: list[str]) -> np.ndarray:
         distinct = set(words)
@@ -246,58 +267,55 @@ class Tagger:
             self.table[lo : lo + len(new)] = self.model.word_vectors(new)
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
-    def score(self, items: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities of passages given as words, and how many words are frequent in each language and in filler."""
+    def score(self, items: list[list[str]]) -> np.ndarray:
+        """Calibrated probabilities of the classes for passages given as words."""
         counts = np.array([len(w) for w in items])
-        sums = np.zeros((len(items), 2 * self.k + 2))
+        sums = np.zeros((len(items), self.k + 1))
         has = counts > 0
         if has.any():
             vectors = self.table[self._ids([w for ws in items for w in ws])]
             sums[has] = np.add.reduceat(vectors, (np.cumsum(counts) - counts)[has], axis=0)
-        logits = sums[:, : self.k] / np.maximum(1, sums[:, self.k : self.k + 1])
-        return softmax(logits / self.model.temperature), sums[:, self.k + 1 :]
+        return softmax(sums[:, : self.k] / np.maximum(1, sums[:, self.k :]) / self.model.temperature)
 
     def tag(self, texts: list[str | None]) -> list[list[tuple]]:
         """Of each text its passages: (start, end, words, language or None, confidence)."""
         spans, items, owner, sizes = [], [], [], []
-        find = WORD.findall
         for i, text in enumerate(texts):
             if not text:
                 continue
             for a, b in passages(text):
                 piece = text[a:b]
-                w = find(piece.lower())
-                spans.append((a, b)), items.append(w), owner.append(i), sizes.append(min(len(w), len(piece.split())))
+                w = letters(piece)
+                spans.append((a, b)), items.append(w), owner.append(i), sizes.append(len(piece.split()))
         out: list[list[tuple]] = [[] for _ in texts]
         if not items:
             return out
-        p, marks = self.score(items)
-        counts = np.array([len(w) for w in items])
-        own = marks[:, :-1]
-        shown = (own >= np.where(counts >= 8, 3, 2)[:, None]) & (own >= 0.17 * counts[:, None]) & (own >= 0.6 * own.max(axis=1, keepdims=True))
-        joint = softmax(np.log(np.maximum(p, 1e-6)) + FREQUENT * own)
-        best = np.where(shown, joint, -1).argmax(axis=1)
-        conf = joint[np.arange(len(items)), best]
-        ok = shown.any(axis=1) & (marks[:, -1] < 0.6 * counts) & (conf >= 0.7)
+        p = self.score(items)
+        best = p.argmax(axis=1)
         for i, (a, b) in enumerate(spans):
-            sure = bool(ok[i]) and not (len(set(items[i])) <= 0.5 * len(items[i]) and _repeats(items[i]))
-            out[owner[i]].append((a, b, sizes[i], LANGUAGES[best[i]] if sure else None, float(conf[i]) if sure else 0.0))
+            w = items[i]
+            sure = best[i] != NONE and p[i, best[i]] >= SURE and len(w) > 0 and not (len(set(w)) <= 0.5 * len(w) and _repeats(w))
+            out[owner[i]].append((a, b, min(sizes[i], len(w)), LANGUAGES[best[i]] if sure else None, float(p[i, best[i]]) if sure else 0.0))
         return out
 
 
-def labelled_passages(docs: DataFrame, per_language: int = SAMPLE) -> list[tuple[str, str]]:
-    """Passages of about `per_language` documents of each language: a sample by a hash of the id, bounded by that number."""
+def labelled_passages(docs: DataFrame, per_language: int = SAMPLE) -> tuple[list[tuple[str, str]], list[str]]:
+    """Passages of about `per_language` documents of each language, and the lines of their code fences.
+
+    A sample by a hash of the id, bounded by that number of whole documents.
+    """
     named = docs.select("doc_id", "title", "body", label_language(F.col("lang")).alias("l")).where(F.col("l").isNotNull() & F.col("body").isNotNull())
     sizes = {r["l"]: r["count"] for r in named.groupBy("l").count().collect()}
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("l") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
     key = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
-    sample = named.where(key < share * (1 << 30)).select("doc_id", "l", F.substring("body", 1, 20_000).alias("b")).limit(2 * per_language * len(LANGUAGES))
-    out = []
-    for _, lang, text in sorted((r["doc_id"], r["l"], r["b"]) for r in sample.collect()):
+    sample = named.where(key < share * (1 << 30)).select("doc_id", "l", "body").limit(2 * per_language * len(LANGUAGES))
+    out, code = [], []
+    for _, lang, text in sorted((r["doc_id"], r["l"], r["body"]) for r in sample.collect()):
         out += [(lang, text[a:b]) for a, b in passages(text)]
-    return out
+        code += [line for m in _FENCE.finditer(text) for line in m.group().splitlines()]
+    return out, code
 
 
 def document_passages(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -306,7 +324,7 @@ def document_passages(docs: DataFrame, model: Model | None = None) -> DataFrame:
     lang is null and the confidence 0 where a passage is in no language: filler, repetitions, keystrokes,
     code, logs, lists of names. Null and empty texts have no passages; whole texts are read.
     """
-    model = model or train(labelled_passages(docs))
+    model = model or train(*labelled_passages(docs))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, part string, start int, end int, n_words int, lang string, confidence double"
     types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64())

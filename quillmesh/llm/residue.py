@@ -9,7 +9,7 @@ that talks about an error page isn't one.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from re import _parser
 
 import ahocorasick
@@ -18,8 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.session import cut
+
 #: A line is boilerplate of a host if so many of its records, and this share of them, have it.
 RECORDS, SHARE = 20, 0.01
+#: Boilerplate lines of all hosts together that are sent to the workers; more of them are joined with the records.
+LINES = 2_000_000
 
 _FENCE = re.compile(r"```.*?```|(?m:^)[ \t]*~~~.*?\n[ \t]*~~~|```.*?(?:\n\s*\n|\Z)", re.S)
 _TICKS = re.compile(r"(`+)[^`\n]+?\1")
@@ -283,21 +287,35 @@ def residue_documents(docs: DataFrame, text: str = "text", host: str = "source")
     title = F.col("title") if "title" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host), F.lit("")).alias("h"), F.col(text).alias("t"), title.alias("head"))
     rows = rows.where(F.col("t").isNotNull() & (F.col("t") != ""))
-    joined = rows.join(recurrent_lines(docs, text, host), "h", "left").select("doc_id", "t", "lines", "varied", "head")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, frozenset] = {}
-        for batch in batches:
-            ids, kinds = [], []
-            for doc, text_, lines, varied, head in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                gone, differ = (known.setdefault(key, frozenset(key)) for key in (tuple(lines or ()), tuple(varied or ())))
-                if found := residue_kinds(text_, gone, len(head.splitlines()) if head and text_.startswith(head + "\n") else 0, differ):
-                    ids.append(doc)
-                    kinds.append(found)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.list_(pa.string()))], names=["doc_id", "kinds"])
-
-    return joined.mapInArrow(run, "doc_id long, kinds array<string>")
+    lines = cut(recurrent_lines(docs, text, host))
+    schema = "doc_id long, kinds array<string>"
+
+    def kinds_of(known) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """known(batch) gives the boilerplate lines of each row's host and those that vary."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, kinds = [], []
+                for doc, text_, head, (gone, differ) in zip(*(batch.column(i).to_pylist() for i in range(3)), known(batch), strict=True):
+                    if found := residue_kinds(text_, gone, len(head.splitlines()) if head and text_.startswith(head + "\n") else 0, differ):
+                        ids.append(doc)
+                        kinds.append(found)
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.list_(pa.string()))], names=["doc_id", "kinds"])
+
+        return run
+
+    if (lines.agg(F.sum(F.size("lines"))).first()[0] or 0) <= LINES:  # no text is shuffled
+        table = {r["h"]: (frozenset(r["lines"]), frozenset(r["varied"])) for r in lines.collect()}
+        sent = docs.sparkSession.sparkContext.broadcast(table)
+        none = (frozenset(), frozenset())
+        return rows.select("doc_id", "t", "head", "h").mapInArrow(kinds_of(lambda batch: [sent.value.get(h, none) for h in batch.column(3).to_pylist()]), schema)
+    seen: dict[tuple, frozenset] = {}
+
+    def joined(batch: pa.RecordBatch) -> list[tuple[frozenset, frozenset]]:
+        return [tuple(seen.setdefault(k, frozenset(k)) for k in (tuple(a or ()), tuple(b or ()))) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+
+    return rows.join(lines, "h", "left").select("doc_id", "t", "head", "lines", "varied").mapInArrow(kinds_of(joined), schema)
 
 
 def spark_hash(line: str) -> int:

@@ -75,6 +75,17 @@ def test_passages_in_several_languages_and_in_none(spark):
     assert languages.document_passages(docs(spark, [])).count() == 0
 
 
+def test_the_regression_decides_the_language():
+    """A word that only one language's training has turns a passage, whose other words all languages share."""
+    base = "alpha beta gamma delta epsilon zeta"
+    made = [(k, f"{base} {k}word {k}word {k}word") for k in ("en", "de", "fr") for _ in range(60)]
+    model = languages.train(made)
+    tag = languages.Tagger(model)
+    assert [tag.tag([f"{base} {k}word {k}word {k}word"])[0][0][3] for k in ("en", "de", "fr")] == ["en", "de", "fr"]
+    flat = languages.Model(0 * model.weights, model.temperature)
+    assert languages.Tagger(flat).tag([made[0][1]])[0][0][3:] == (None, 0.0)
+
+
 def test_labels(spark):
     df = spark.createDataFrame([(x,) for x in ("EN", "en_US", "ger", "fre", "und", "english", "", None, "es-ES", "nl")], "lang string")
     assert [r[0] for r in df.select(languages.label_language(F.col("lang"))).collect()] == ["en", "en", "de", "fr", None, None, None, None, "es", None]
@@ -310,7 +321,9 @@ def test_residue(text, kinds):
     assert residue.residue_kinds(text) == kinds
 
 
-def test_boilerplate_lines_of_a_host_are_subtracted(spark):
+@pytest.mark.parametrize("most", [0, 2_000_000])
+def test_boilerplate_lines_of_a_host_are_subtracted(spark, monkeypatch, most):
+    monkeypatch.setattr(residue, "LINES", most)
     notice = "Please enable JavaScript to use the shop."
     rows = [{"doc_id": i, "body": f"note {i} about the garden\n{notice}", "source": "shop"} for i in range(30)]
     rows += [{"doc_id": 100, "body": notice, "source": "other"}, {"doc_id": 101, "body": None, "source": None}, {"doc_id": 102, "body": "Access denied.", "source": None}]
