@@ -8,6 +8,7 @@ leftmost pair of least rank (pairs are looked up in a hash table), rows without
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pre-token pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct pre-tokens a worker remembers; pre-tokens of more bytes than LONG are merged by all occurrences at once.
+#: Distinct pre-tokens a worker remembers; pre-tokens of more bytes than LONG find their least pair by a heap.
 REMEMBERED, LONG = 400_000, 1024
 _NONE = np.int32(2**31 - 1)
 _EMPTY = np.uint64(2**64 - 1)
@@ -115,22 +116,39 @@ def _merge_rows(sym: np.ndarray, n: np.ndarray, table: PairTable) -> list[np.nda
 
 
 def _merge_long(sym: np.ndarray, table: PairTable) -> np.ndarray:
-    """One long row: all occurrences of the least pair in a round, from the left. The result is the same, since a
-    merge never makes a pair of lower rank than its own."""
-    while len(sym) > 1:
-        rank = table.look(sym[:-1], sym[1:])
-        best = rank.min()
-        if best == _NONE:
-            break
-        hit = np.flatnonzero(rank == best)
-        if len(hit) > 1 and (np.diff(hit) == 1).any():  # overlapping: every other one of a run, from its start
-            start = np.r_[True, np.diff(hit) > 1]
-            first = np.maximum.accumulate(np.where(start, np.arange(len(hit)), 0))
-            hit = hit[(np.arange(len(hit)) - first) % 2 == 0]
-        sym = sym.copy()
-        sym[hit] = best
-        sym = np.delete(sym, hit + 1)
-    return sym
+    """One long row, the leftmost pair of least rank in each round as in the matrices, found by a heap of (rank, place).
+
+    A merge can make a pair of lower rank than its own (" the" comes before "the"), so rounds can't be taken together.
+    """
+    symbols = sym.tolist()
+    n = len(symbols)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    rank = table.look(sym[:-1], sym[1:]).tolist() + [_NONE]  # of the pair that begins at a place; a place that is gone has none
+    heap = [(r, i) for i, r in enumerate(rank) if r != _NONE]
+    heapq.heapify(heap)
+
+    def look(i: int) -> None:
+        j = after[i]
+        rank[i] = int(table.look(np.array([symbols[i]], np.int32), np.array([symbols[j]], np.int32))[0]) if j < n else _NONE
+        if rank[i] != _NONE:
+            heapq.heappush(heap, (rank[i], i))
+
+    while heap:
+        r, i = heapq.heappop(heap)
+        if rank[i] != r:
+            continue
+        j = after[i]
+        symbols[i], after[i], rank[j] = r, after[j], _NONE
+        if after[j] < n:
+            before[after[j]] = i
+        look(i)
+        if before[i] >= 0:
+            look(before[i])
+    out, i = [], 0
+    while i < n:
+        out.append(symbols[i])
+        i = after[i]
+    return np.array(out, np.int32)
 
 
 def encode_pretokens(tokens: list[str], first: np.ndarray, table: PairTable) -> list[np.ndarray]:

@@ -73,6 +73,8 @@ _PHONES = tuple(
         r"[679]\d{2}(?:[ .\-]\d{2}){3}",
     )
 )
+#: A plain run of digits is a phone number right behind a cue.
+_CUED = re.compile(r"(?:'s)?(?:[ \t]+(?:me|us|no|nr|number|numero|nummer|номер|is|at|on|au|al|auf|unter|на))*[ \t]*[.:]*[ \t]*(\+?\d{8,15})(?![\w@.,/\-]*\d)")
 _LOCAL_PHONE = re.compile(r"[2-9]\d{2}[ .\-]\d{4}")
 _DATE = re.compile(r"\d{1,2}([./\-])\d{1,2}\1\d{4}")
 _NOT_PHONE = re.compile(r"(?:isbn|issn|ref|sn|eur|usd|gbp|v|p\.|pp\.|s\.|#|№|nr|no|id|=|sha|job|order|invoice|€|\$|£)[ :.#]*$")
@@ -80,6 +82,8 @@ _NOT_PHONE = re.compile(r"(?:isbn|issn|ref|sn|eur|usd|gbp|v|p\.|pp\.|s\.|#|№|n
 _ID = re.compile(
     r"(?<![\w])(?:[a-zа-я]{2} ?\d{2} ?\d{2} ?\d{2} ?[a-zа-я]|[a-z]{6} ?\d{2} ?[a-z] ?\d{2} ?[a-z] ?\d{3} ?[a-z]|\d{1,4}(?:[ .\-/]\d{1,6}){2,8}(?:[ \-]?[a-z])?|[a-z]{0,3}\d{5,14}(?:-?[a-z]{1,2})?|(?=[a-z]*\d[a-z]*\d)[a-z\d]{8,14})(?![\w])"
 )
+#: Abbreviations of "number", whose stop ends no sentence.
+_ABBREVIATED = re.compile(r"\b(?:no|nr|num|n)\.")
 _NAME_WORD = rf"{_W}[\w’'\-]*"
 _HOUSE = r"\d{1,4}[a-zа-я]?(?![\w.,/\-]*\d{4,})"
 ADDRESSES = tuple(
@@ -181,6 +185,8 @@ class Finder:
         for kind, words in (("email", _AT_WORDS), ("id_number", ID_CUES), ("name", self.names.anchors), ("given", self.names.given), ("title", TITLES)):
             for w in words:
                 groups[w][kind] = ()
+        for w in PHONE_CUES:
+            groups[w]["phone"] = ()
         for words, numbers in _STREETS:
             for w in words:
                 groups[w]["address"] = groups[w].get("address", ()) + numbers
@@ -193,7 +199,7 @@ class Finder:
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) in the text, in order, without overlaps; kinds earlier in KINDS win."""
         s, at = folded(text)
-        mail, cues, streets, families, listed = False, [], [], [], []
+        mail, cues, calls, streets, families, listed = False, [], [], [], [], []
         for end, (word, kinds) in self.anchors.iter(s):
             after = s[end + 1 : end + 2]
             if "email" in kinds:
@@ -204,6 +210,8 @@ class Finder:
                 listed.append((end + 1 - len(word), end + 1, "given" in kinds))
             if "address" in kinds and _DIGIT.search(s, max(0, end - 45), end + 50):
                 streets.append((end + 1, kinds["address"]))
+            if "phone" in kinds and not after.isalnum():
+                calls.append(end + 1)
             if "id_number" in kinds and not (len(word) < 5 and (after.isalnum() or end >= len(word) and s[end - len(word)].isalnum())):
                 cues.append(end + 1)
         taken: list[tuple[int, int, str]] = []
@@ -217,7 +225,7 @@ class Finder:
                     taken.append((*m.span(), "email"))
         for c in cues:
             for m in _ID.finditer(s, c, min(len(s), c + 90)):
-                between = s[c : m.start()]
+                between = _ABBREVIATED.sub("", s[c : m.start()])
                 digits = sum(x.isdigit() for x in m.group())
                 if digits < 4 or digits < 6 and m.group().isdigit() or re.search(r"[!?;|]|[.]\s|\n\s*\n", between):
                     continue
@@ -227,6 +235,9 @@ class Finder:
         for m in _NUMBER.finditer(s):
             if (span := self._phone(s, m)) and free(*span):
                 taken.append((*span, "phone"))
+        for c in calls:
+            if (m := _CUED.match(s, c, min(len(s), c + 60))) and free(*m.span(1)):
+                taken.append((*m.span(1), "phone"))
         for end, numbers in streets:
             for number in numbers:
                 for m in ADDRESSES[number].finditer(s, max(0, end - 70), min(len(s), end + 90)):

@@ -205,6 +205,8 @@ FAMILY = [p + s for p in ("Bram", "Cald", "Quill", "Harrow") for s in ("bury", "
         ("mail me: ann (at) home.test or bob at post dot example dot net", ["email"]),
         ("icon@2x.png and @someone", []),
         ("Call +1 (202) 555-0166 or ０２０ ７９４６ ０９６３", ["phone"]),
+        ("Phone 2025550166, Telefon: 03023125686; the order 20255501667 was called", ["phone"]),
+        ("my passport no. is AB123456", ["id_number"]),
         ("0049/30/23125686 und (0221) 4710 987", ["phone"]),
         ("EUR 1.266,32 ISBN 978-0-1482-9579-2 SN 86490/626-03 14.05.2024 10:33 Ref 2023-0077-12 #9301-8507 v10.8.89.5 192.0.2.174", []),
         ("My social security number QQ 52 87 26 C goes here", ["id_number"]),
