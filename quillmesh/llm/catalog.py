@@ -12,7 +12,7 @@ from quillmesh.llm.cooccurrence import item_pairs
 from quillmesh.llm.encoding import encode_documents
 from quillmesh.llm.languages import document_languages, document_passages, unlabelled_languages
 from quillmesh.llm.leakage import leaked_items
-from quillmesh.llm.neardup import near_duplicate_groups, similar_pairs
+from quillmesh.llm.neardup import class_members, near_duplicate_groups, similar_pairs
 from quillmesh.llm.personal import mask_personal
 from quillmesh.llm.residue import residue_documents
 from quillmesh.llm.splitting import LIMIT, split_documents
@@ -55,6 +55,11 @@ def p4_found(s: SparkSession, d: str) -> DataFrame:
     return similar_pairs(table(s, d, "documents"))
 
 
+def p4_members(s: SparkSession, d: str) -> DataFrame:
+    """The class of each document for p4_found's parameters: its pairs of many copies are given by their least id alone."""
+    return class_members(table(s, d, "documents"))
+
+
 def p4_groups(s: SparkSession, d: str) -> DataFrame:
     """Groups of near-copies: five-word shingles, a similarity of 0.8 or more."""
     return near_duplicate_groups(table(s, d, "documents"))
@@ -107,7 +112,7 @@ def p10_kinds(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_documents, p2_passages, p3_found, p3_pairs, p4_found, p4_groups, p5_found, p5_masked, p6_found, p6_clusters, p8_ids, p9_found, p9_containment, p10_found, p10_kinds)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_documents, p2_passages, p3_found, p3_pairs, p4_found, p4_members, p4_groups, p5_found, p5_masked, p6_found, p6_clusters, p8_ids, p9_found, p9_containment, p10_found, p10_kinds)
 }
 
 _PAIRS = """
@@ -123,7 +128,29 @@ dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FR
 ig AS (SELECT DISTINCT item_id, array_to_string(w[g : g + 12], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS g FROM iw)),
 dg AS (SELECT doc_id, array_to_string(w[g : g + 12], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS g FROM dw))
 """
+_SETS = """
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(body), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE body IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 40)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(x, '|' ORDER BY x)) AS k FROM g GROUP BY 1),
+f AS (SELECT x, count(*) AS c FROM g GROUP BY 1 HAVING count(*) > 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN f USING (x) JOIN g b USING (x) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+s AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 3 * (x.n + y.n - c))
+"""
+_CLUSTERS = """
+WITH RECURSIVE w AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_extract_all(lower(body), '[\\p{L}\\p{N}]+'), lambda x: length(x) >= 5)) AS x FROM documents),
+n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 25), g AS (SELECT w.* FROM w JOIN n USING (doc_id)),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 2 * c >= x.n + y.n - c),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+"""
 SQL = {
+    "p4_found": _SETS + "SELECT a AS doc_id_a, b AS doc_id_b FROM s",
+    "p4_members": _SETS + """, k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS class_id, count(*) OVER (PARTITION BY k) AS copies FROM n),
+l AS (SELECT d.class_id, count(DISTINCT o.class_id) AS links FROM (SELECT a, b FROM s UNION ALL SELECT b, a FROM s) p JOIN k d ON d.doc_id = p.a JOIN k o ON o.doc_id = p.b WHERE d.class_id <> o.class_id GROUP BY 1)
+SELECT doc_id, coalesce(k.class_id, doc_id) AS class_id, coalesce(copies, 1) AS copies, coalesce(links, 0) AS links FROM documents LEFT JOIN k USING (doc_id) LEFT JOIN l ON l.class_id = k.class_id""",
+    "p6_found": _CLUSTERS + "SELECT DISTINCT a AS doc_id_a, b AS doc_id_b FROM reach WHERE a < b AND a IN (SELECT a FROM reach GROUP BY a HAVING count(DISTINCT b) FILTER (b <> a) >= 2)",
+    "p9_containment": _WINDOWS + """, c AS (SELECT item_id, count(*) AS n FROM ig GROUP BY 1), h AS (SELECT doc_id, item_id, count(DISTINCT run) AS k FROM dg JOIN ig USING (run) GROUP BY 1, 2)
+SELECT doc_id, item_id, k::int AS n_windows, k / n AS containment FROM h JOIN c USING (item_id)""",
     "p1_found": f"SELECT doc_id FROM documents WHERE length(body) > {LIMIT}",
     "p3_found": _PAIRS + "SELECT tag_id_a, tag_id_b FROM q WHERE n_ab >= 5 AND n_ab * n >= 5 * n_a * n_b",
     "p3_pairs": _PAIRS

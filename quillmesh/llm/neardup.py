@@ -120,3 +120,19 @@ def near_duplicate_groups(docs: DataFrame, text: str = "body", k: int = 5, least
     sized = members.join(members.groupBy("key").agg(F.count("*").alias("copies")), "key")
     placed = sized.join(roots, "key", "left").select("doc_id", F.coalesce("root", "key").alias("root"), "copies")
     return placed.join(placed.groupBy("root").agg(F.min("doc_id").alias("group_id")), "root").select("doc_id", "group_id", "copies")
+
+
+def class_members(docs: DataFrame, text: str = "body", k: int = 3, least: tuple[int, int] = (3, 5), least_words: int = 40) -> DataFrame:
+    """(doc_id, class_id, copies, links): one row for every document, with the parameters of similar_pairs.
+
+    class_id is the least doc_id with the same shingle set, copies their number, links the number of other classes that are
+    similar; with the pairs of class representatives this gives all pairs back. Documents with too few words, also null and empty
+    ones, are classes of their own without links.
+    """
+    links, members = similar_records(docs, text, k, least, least_words)
+    sizes = members.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    ends = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("links"))
+    placed = members.join(sizes.join(ends, "key", "left"), "key").select("doc_id", "class_id", "copies", "links")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
+    alone = ids.join(placed, "doc_id", "left")
+    return alone.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
