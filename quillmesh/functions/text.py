@@ -144,9 +144,13 @@ def highlight(text: Column, keyword: Column) -> Column:
     return F.when(F.length(keyword) > 0, F.regexp_replace(safe, F.concat(F.lit("(?i)(\\Q"), keyword, F.lit("\\E)")), F.lit("<mark>$1</mark>"))).otherwise(safe)
 
 
+def percent(score: Column) -> Column:
+    return F.concat(F.round(100.0 * score).cast("int").cast("string"), F.lit("%"))
+
+
 def list_line(text: Column) -> Column:
     """A line of a list without its bullet or number."""
-    return F.trim(F.regexp_replace(text, r"^\s*(?:[-*•]|\d+[.)])\s*", ""))
+    return F.trim(F.regexp_replace(text, r"^[\s\d.)*-]+", ""))
 
 
 @lru_cache(1)

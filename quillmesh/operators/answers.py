@@ -118,7 +118,7 @@ def repeated_queries(queries: DataFrame, group: str, order: str, same: float = S
 def coverage(steps: DataFrame, least: int = 3, similar: float = 0.45, novel: float = 0.34, most: int = 250, max_steps: int = 5) -> DataFrame:
     """(query_id, step, stop, reason): when a search that goes on has enough. steps: (query_id, step, found, fresh, collected, top) with the
     mean similarity of the three nearest notes collected so far."""
-    reason = (
+    reason = (  # fixed values: what the interface shows
         F.when(F.col("step") >= max_steps, "max steps reached")
         .when(F.col("collected") >= most, "note limit reached")
         .when(F.col("collected") < least, "too few notes collected")
@@ -132,6 +132,7 @@ def coverage(steps: DataFrame, least: int = 3, similar: float = 0.45, novel: flo
 def note_blocks(notes: DataFrame) -> DataFrame:
     """(message_id, position, block): notes (position, title, created, edited, tags, content) as a prompt shows them."""
     number = F.col("position").cast("string")
+    # The marks of a block, by which answers cite it.
     tags = F.when(F.size("tags") > 0, F.concat(F.lit("\nTags: "), F.array_join("tags", ", "))).otherwise("")
     head = F.concat(F.lit("--- Note #"), number, F.lit(" ---\nTitle: "), F.coalesce("title", F.lit("Untitled Note")), F.lit("\nCreated: "), F.coalesce("created", F.lit("Unknown")), F.lit(" | Last edited: "), F.coalesce("edited", F.lit("Unknown")))
     return notes.select("message_id", "position", F.concat(head, tags, F.lit("\n\n"), F.coalesce("content", F.lit("")), F.lit("\n--- End Note #"), number, F.lit(" ---")).alias("block"))

@@ -27,7 +27,7 @@ def capitalised(text: str) -> list[tuple[str, str]]:
 
 
 def mentions(docs: DataFrame, text: str = "body", extract: Callable[[str], list[tuple[str, str]]] = capitalised) -> DataFrame:
-    """(doc_id, surface, label, n): mentions of each document; the reference model's window of 5000 characters is a property of the extractor."""
+    """(doc_id, surface, label, n): mentions of each document; a window of the text is a property of the extractor."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -114,7 +114,7 @@ def review_cards(items: DataFrame) -> DataFrame:
     some = items.where(F.col("note_id").isNotNull() & (F.coalesce("tag", F.lit("")) != ""))
     c = F.round(F.coalesce("confidence", F.lit(0.0)), 2)
     shown = F.coalesce(F.nullif("title", F.lit("")), F.col("note_id").cast("string"))
-    return some.select("note_id", "tag", F.coalesce("title", F.lit("")).alias("note_title"), c.alias("confidence"), F.format_string("Assign tag '%s' to note '%s' (confidence: %s)", F.col("tag"), shown, F.format_number(c, "0.00")).alias("message"))
+    return some.select("note_id", "tag", F.coalesce("title", F.lit("")).alias("note_title"), c.alias("confidence"), F.format_string("Assign tag '%s' to note '%s' (confidence: %s)", F.col("tag"), shown, F.format_number(c, 2)).alias("message"))
 
 
 def incremental(vectors: DataFrame, manifest: DataFrame) -> DataFrame:

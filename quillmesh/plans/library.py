@@ -7,12 +7,15 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.functions import text as X
 from quillmesh.functions.encode import encoded
 from quillmesh.operators import entities as E
+from quillmesh.operators import graph as H
 from quillmesh.operators import ingest as I
 from quillmesh.operators import proposals as P
 from quillmesh.operators import retrieval as R
 from quillmesh.operators import store as S
+from quillmesh.operators import tagging as G
 from quillmesh.operators import tags as T
 from quillmesh.operators import views as W
 from quillmesh.plans.notes import _CHANGES, _TAGS, _rows, _versions, CHUNKS
@@ -438,3 +441,85 @@ def merge_infos(s, d):
 @query("WITH v AS (SELECT unnest(['DAILY', 'yaror', 'Brand New', 'Dorlan']) AS name) SELECT v.name, coalesce((SELECT min(t.name) FROM tags t WHERE lower(t.name) = lower(v.name)), v.name) AS tag FROM v")
 def reused_names(s, d):
     return P.reuse_names(s.createDataFrame([(x,) for x in ("DAILY", "yaror", "Brand New", "Dorlan")], "name string"), table(s, d, "tags").select(F.col("name").alias("tag")))
+
+
+@query("SELECT id AS label, CASE WHEN row_number() OVER (PARTITION BY id % 7 ORDER BY id) = 1 THEN 'T' || id % 7 ELSE 'T' || id % 7 || ' ' || row_number() OVER (PARTITION BY id % 7 ORDER BY id) END AS name FROM tags")
+def numbered_names(s, d):
+    """Names of which seven stand for all tags, told apart by numbers."""
+    t = table(s, d, "tags").select(F.col("id").alias("label"), F.concat(F.lit("T"), (F.col("id") % 7).cast("string")).alias("name"))
+    return G.number_names(t).select("label", F.col("unique_name").alias("name"))
+
+
+@query("""WITH a AS (SELECT id AS label, CASE WHEN id % 3 = 0 THEN NULL WHEN id % 5 = 0 THEN 'Various' WHEN id % 7 = 0 THEN 'Same' ELSE name END AS name, id FROM tags),
+n AS (SELECT label, coalesce(nullif(name, ''), CASE WHEN id % 2 = 0 THEN 'Word' || id || ' Of' || id ELSE 'Misc' END) AS name FROM a WHERE coalesce(lower(name), '') <> 'various')
+SELECT label, CASE WHEN row_number() OVER (PARTITION BY name ORDER BY label) = 1 THEN name ELSE name || ' ' || row_number() OVER (PARTITION BY name ORDER BY label) END AS name FROM n""")
+def label_names(s, d):
+    """A model's names of labels, with keywords where it gave none, without generic ones and repetitions."""
+    t = table(s, d, "tags")
+    i = F.col("id")
+    answers = t.select(i.alias("label"), F.when(i % 3 == 0, F.lit(None)).when(i % 5 == 0, "Various").when(i % 7 == 0, "Same").otherwise(F.col("name")).alias("name"))
+    words = t.where(i % 2 == 0).select(i.alias("label"), F.posexplode(F.array(F.concat(F.lit("word"), i.cast("string")), F.concat(F.lit("of"), i.cast("string")), F.lit("rest"))).alias("r", "term"))
+    return P.label_names(answers, words.withColumn("r", F.col("r") + 1))
+
+
+@query("""SELECT doc_id AS note_id, 'T' || doc_id % 3 AS tag, coalesce(title, '') AS note_title, round((doc_id % 101) / 101, 2) AS confidence,
+ 'Assign tag ''T' || doc_id % 3 || ''' to note ''' || coalesce(nullif(title, ''), doc_id::varchar) || ''' (confidence: ' || printf('%.2f', round((doc_id % 101) / 101, 2)) || ')' AS message FROM documents WHERE doc_id % 4 <> 0""")
+def review_cards(s, d):
+    """Cards for doubtful assignments; those without a tag have none."""
+    i = F.col("doc_id")
+    items = table(s, d, "documents").select(i.alias("note_id"), F.when(i % 4 != 0, F.concat(F.lit("T"), (i % 3).cast("string"))).alias("tag"), (i % 101 / 101).alias("confidence"), "title")
+    return P.review_cards(items)
+
+
+@query(_TAGS + """, pool AS (SELECT tag, doc_id AS other, row_number() OVER (PARTITION BY tag ORDER BY doc_id) AS rn FROM r QUALIFY rn <= 11),
+nb AS (SELECT doc_id, tag, other FROM (SELECT r.doc_id, r.tag, other, row_number() OVER (PARTITION BY r.doc_id, r.tag ORDER BY other) AS n FROM r JOIN pool USING (tag) WHERE r.doc_id % 10 = 0 AND other <> r.doc_id) WHERE n <= 10)
+SELECT DISTINCT least(doc_id, other) AS src, greatest(doc_id, other) AS dst, 'tag' AS kind FROM nb WHERE doc_id IN (SELECT doc_id FROM documents WHERE deleted_at IS NULL) AND other IN (SELECT doc_id FROM documents WHERE deleted_at IS NULL)""")
+def graph_edges(s, d):
+    """Edges of shared tags between live notes, each pair once."""
+    rows = _rows(s, d)
+    near = H.shared_tag_neighbours(rows, rows.where(F.col("doc_id") % 10 == 0).select("doc_id").distinct())
+    edges = H.undirected(near.select(F.col("doc_id").alias("src"), F.col("other").alias("dst"), F.lit("tag").alias("kind")))
+    return H.visible(edges, table(s, d, "documents").where(F.col("deleted_at").isNull()).select(F.col("doc_id").alias("id")))
+
+
+_SAFE = "replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+
+
+@query(f"SELECT doc_id, regexp_replace({_SAFE}, '(an)', '<mark>\\1</mark>', 'gi') AS html, round(100.0 * (doc_id % 37) / 37)::int || '%' AS percent FROM documents WHERE title IS NOT NULL")
+def highlighted_titles(s, d):
+    """Titles as safe HTML with a word marked, and a score in per cent."""
+    docs = table(s, d, "documents").where(F.col("title").isNotNull())
+    return docs.select("doc_id", X.highlight(F.col("title"), F.lit("an")).alias("html"), X.percent(F.col("doc_id") % 37 / 37).alias("percent"))
+
+
+@query("""SELECT message_id, trim(regexp_replace(split_part(content, chr(10), 1), '^[\\s\\d.)*-]+', ''), ' ') AS line FROM (SELECT DISTINCT message_id, content FROM chat_messages) WHERE content IS NOT NULL""")
+def list_lines(s, d):
+    """First lines of messages without what leads a line of a list."""
+    m = table(s, d, "chat_messages").where(F.col("content").isNotNull()).select("message_id", "content").distinct()
+    return m.select("message_id", X.list_line(F.split("content", "\n")[0]).alias("line"))
+
+
+@query("""SELECT message_id, 'role ' || lower(trim(role)) AS thought, trim(content, ' ') AS answer FROM (SELECT DISTINCT message_id, role, content FROM chat_messages) WHERE content IS NOT NULL""")
+def split_thoughts(s, d):
+    """A model's thoughts apart from its answer."""
+    m = table(s, d, "chat_messages").where(F.col("content").isNotNull()).select("message_id", "role", "content").distinct()
+    said = F.concat(F.lit("<think> role "), F.lower(F.trim("role")), F.lit("\n</think>"), F.col("content"))
+    thought, answer = X.split_thinking(said)
+    return m.select("message_id", X.stripped(thought).alias("thought"), answer.alias("answer"))
+
+
+@query("SELECT doc_id, arg_min(signal, s) AS signal FROM (SELECT doc_id, 'labels' AS signal, 0 AS s FROM documents WHERE len(labels) > 2 UNION ALL SELECT doc_id, 'long', 1 FROM documents WHERE n_chars > 1000 UNION ALL SELECT doc_id, 'inbox', 2 FROM documents WHERE source = 'inbox') GROUP BY 1")
+def first_signal(s, d):
+    """Each note once, as the first of several result lists has it."""
+    docs = table(s, d, "documents")
+    lists = {"labels": F.size("labels") > 2, "long": F.col("n_chars") > 1000, "inbox": F.col("source") == "inbox"}
+    return R.first_rows([docs.where(c).select("doc_id", F.lit(k).alias("signal")) for k, c in lists.items()])
+
+
+@query("WITH f AS (SELECT content_hash, min(doc_id) AS vec_id FROM documents WHERE content_hash IS NOT NULL GROUP BY 1) SELECT doc_id, round(embedding[1]::double, 6) AS x FROM documents LEFT JOIN f USING (content_hash) LEFT JOIN embeddings USING (vec_id)")
+def rows_with_vectors(s, d):
+    """Notes with the vector that is stored for their content."""
+    docs = table(s, d, "documents")
+    first = docs.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.min("doc_id").alias("vec_id"))
+    vectors = table(s, d, "embeddings").join(first, "vec_id").select("content_hash", "embedding")
+    return S.with_vectors(docs.select("doc_id"), docs, vectors).select("doc_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("x"))

@@ -225,14 +225,56 @@ def gray_zone_pairs(s, d):
     return G.label_pairs(_note_labels(s, d), G.GRAY, G.MERGE)
 
 
-@query(_NOTE_CENT.replace("WITH ", "WITH RECURSIVE ", 1) + f""", gp AS (SELECT *, row_number() OVER (ORDER BY sim DESC, a, b) AS i FROM (SELECT x.label AS a, y.label AS b, {_PAIR} AS sim FROM c x JOIN c y ON x.label < y.label WHERE {_PAIR} >= 0.60 AND {_PAIR} < 0.85)),
+_GREEDY = _NOTE_CENT.replace("WITH ", "WITH RECURSIVE ", 1) + f""", gp AS (SELECT *, row_number() OVER (ORDER BY sim DESC, a, b) AS i FROM (SELECT x.label AS a, y.label AS b, {_PAIR} AS sim FROM c x JOIN c y ON x.label < y.label WHERE {_PAIR} >= 0.60 AND {_PAIR} < 0.85)),
 pick AS (SELECT 0::bigint AS i, []::int[] AS used, NULL::int AS a, NULL::int AS b, NULL::double AS sim UNION ALL
   SELECT gp.i, CASE WHEN list_contains(used, gp.a) OR list_contains(used, gp.b) THEN used ELSE list_concat(used, [gp.a, gp.b]) END, CASE WHEN NOT (list_contains(used, gp.a) OR list_contains(used, gp.b)) THEN gp.a END, gp.b, gp.sim FROM pick JOIN gp ON gp.i = pick.i + 1)
-SELECT a, b, sim FROM pick WHERE a IS NOT NULL""")
+"""
+
+
+@query(_GREEDY + "SELECT a, b, sim FROM pick WHERE a IS NOT NULL")
 def greedy_pairs(s, d):
     return G.disjoint_pairs(gray_zone_pairs(s, d))
 
 
+@query(_GREEDY + """, w AS (SELECT a, b, round(sim, 2) AS confidence, x.size AS na, y.size AS nb FROM pick JOIN z x ON x.label = a JOIN z y ON y.label = b WHERE a IS NOT NULL),
+v AS (SELECT CASE WHEN nb >= na THEN a ELSE b END::varchar AS source_tag, CASE WHEN nb >= na THEN b ELSE a END::varchar AS target_tag, na + nb AS note_count, confidence FROM w)
+SELECT *, 'Merge ''' || source_tag || ''' into ''' || target_tag || ''' (' || note_count || ' notes)' AS message FROM v""")
+def merge_cards(s, d):
+    """Cards for labels alike enough to ask whether they are one."""
+    return P.merge_cards(greedy_pairs(s, d), _note_labels(s, d))
+
+
+_REACH = _NOTE_CENT.replace("WITH ", "WITH RECURSIVE ", 1) + f""", au AS (SELECT x.label AS a, y.label AS b FROM c x JOIN c y ON x.label <> y.label WHERE {_PAIR} > 0.85),
+reach(a, b) AS (SELECT DISTINCT a, a FROM au UNION SELECT reach.a, au.b FROM reach JOIN au ON reach.b = au.a), gp AS (SELECT a AS label, min(b) AS root FROM reach GROUP BY 1)
+"""
+
+
+def _auto(s, d):
+    return P.merge_groups(P.consolidation(G.label_pairs(_note_labels(s, d), -1.0)).where(F.col("tier") == "auto"))
+
+
+@query(_REACH + "SELECT label, root FROM gp")
+def merge_groups(s, d):
+    """Labels that are merged at once, alike directly or through others."""
+    return _auto(s, d)
+
+
+@query(_REACH + """, ls AS (SELECT label, list_sort(list(vec_id)) AS ids, round(label / 100.0, 4)::double AS confidence, label % 5 = 0 AS is_anchor, 'L' || label AS name FROM embeddings WHERE label >= 0 GROUP BY label),
+j AS (SELECT ls.*, coalesce(root, ls.label) AS r, len(ids) AS n FROM ls LEFT JOIN gp USING (label))
+SELECT r AS label, list_sort(list_distinct(flatten(list(ids)))) AS ids, round(sum(confidence * n) / sum(n), 9) AS confidence, bool_or(is_anchor) AS is_anchor, arg_max(name, (n, -label)) AS name FROM j GROUP BY 1""")
+def merged_labels(s, d):
+    """Labels of one group as one: all their notes, the confidence weighted by size, the largest one's name."""
+    v = _note_vectors(s, d).where(F.col("label") >= 0)
+    labels = v.groupBy("label").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumns({"confidence": F.round(F.col("label") / 100.0, 4), "is_anchor": F.col("label") % 5 == 0, "name": F.concat(F.lit("L"), F.col("label").cast("string"))})
+    return G.merge_labels(labels, _auto(s, d)).withColumn("confidence", F.round("confidence", 9))
+
+
+@query()
+def forced_merges(s, d):
+    """Which labels are merged into which until twenty are left."""
+    return s.createDataFrame(G.force_merge(_note_labels(s, d), 20), "source int, target int")
+
+
 @query(_NOTE_CENT + f"SELECT a, b, sim, CASE WHEN sim > 0.85 THEN 'auto' ELSE 'judge' END AS tier FROM (SELECT x.label AS a, y.label AS b, {_PAIR} AS sim FROM c x JOIN c y ON x.label < y.label) WHERE sim > 0.70")
 def consolidation_tiers(s, d):
     return P.consolidation(G.label_pairs(_note_labels(s, d), -1.0))

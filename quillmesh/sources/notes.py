@@ -43,7 +43,7 @@ def _micros(c: str):
 @register("keep")
 def keep_export(spark: SparkSession, path: str) -> DataFrame:
     """A folder of JSON notes, one file each. Unparsable files are `malformed`, JSON that is no object `not-a-note`, notes in the bin `trashed`."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     j = files.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("external_id"), F.trim("value").alias("v"))
     j = j.select("external_id", "v", F.from_json("v", KEEP_SCHEMA).alias("n"), F.try_parse_json("v").alias("any"))
     reason = F.when(F.col("any").isNull(), "malformed").when(~F.col("v").startswith("{"), "not-a-note").when(F.col("n.isTrashed"), "trashed")

@@ -34,16 +34,18 @@ def limit_batch(events: DataFrame, key: str = "user_id", limit: int = 60, window
     rows = rows.repartition("k").sortWithinPartitions("k", "us", "event_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = None, []
+        last, kept, span = None, deque(), int(window * 1e6)
         for pdf in batches:
             flags = []
-            for k, us, old in zip(pdf["k"], pdf["us"], pdf["old"]):
+            for k, us, old in zip(pdf["k"].tolist(), pdf["us"].tolist(), pdf["old"].tolist(), strict=True):
                 if k != last:
-                    last, state = k, []
-                if old:
-                    state, ok = [*state, us / 1e6], True
-                else:
-                    (ok,), state = accept([us / 1e6], limit, window, state)
+                    last = k
+                    kept.clear()
+                while kept and kept[0] <= us - span:
+                    kept.popleft()
+                ok = old or len(kept) < limit
+                if ok:
+                    kept.append(us)
                 flags.append(ok)
             out = pd.DataFrame({"event_id": pdf["event_id"], key: pdf["k"], "us": pdf["us"], "accepted": flags})
             yield out[~pdf["old"]]

@@ -266,7 +266,7 @@ def test_importers(spark, tmp_path):
     keep = tmp_path / "keep"
     keep.mkdir()
     note = {"title": "T", "textContent": "text", "listContent": [{"text": "a", "isChecked": True}, {"text": "b", "isChecked": False}], "createdTimestampUsec": 1_700_000_000_000_000, "userEditedTimestampUsec": 0, "labels": [{"name": " x "}], "attachments": [{"filePath": "p.png", "mimetype": "image/png"}]}
-    for name, value in {"1.json": json.dumps(note), "2.json": "{broken", "3.json": "[1]", "4.json": json.dumps({**note, "isTrashed": True}), "5.json": json.dumps({"other": 1})}.items():
+    for name, value in {"1.json": json.dumps(note, indent=1), "2.json": "{broken", "3.json": "[1]", "4.json": json.dumps({**note, "isTrashed": True}), "5.json": json.dumps({"other": 1})}.items():
         (keep / name).write_text(value)
     docs, skips = notes.split_scan(notes.importer("keep")(spark, str(keep)))
     assert {r.path: r.reason for r in skips.collect()} == {"2.json": "malformed", "3.json": "not-a-note", "4.json": "trashed"}
