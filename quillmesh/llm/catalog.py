@@ -148,6 +148,9 @@ SQL = {
     "p4_members": _SETS + """, k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS class_id, count(*) OVER (PARTITION BY k) AS copies FROM n),
 l AS (SELECT d.class_id, count(DISTINCT o.class_id) AS links FROM (SELECT a, b FROM s UNION ALL SELECT b, a FROM s) p JOIN k d ON d.doc_id = p.a JOIN k o ON o.doc_id = p.b WHERE d.class_id <> o.class_id GROUP BY 1)
 SELECT doc_id, coalesce(k.class_id, doc_id) AS class_id, coalesce(copies, 1) AS copies, coalesce(links, 0) AS links FROM documents LEFT JOIN k USING (doc_id) LEFT JOIN l ON l.class_id = k.class_id""",
+    "p4_groups": _SETS.replace("WITH w AS", "WITH RECURSIVE w AS").replace("i + 2]", "i + 4]").replace("len(w) - 1)", "len(w) - 3)").replace("len(w) >= 40", "len(w) >= 5").replace("5 * c >= 3 *", "5 * c >= 4 *").rstrip() + """,
+reach(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.a, e.b FROM reach JOIN (SELECT a, b FROM s UNION ALL SELECT b, a FROM s) e ON reach.b = e.a)
+SELECT doc_id, (SELECT min(b) FROM reach WHERE reach.a = doc_id) AS group_id, count(*) OVER (PARTITION BY k) AS copies FROM n""",
     "p6_found": _CLUSTERS + "SELECT DISTINCT a AS doc_id_a, b AS doc_id_b FROM reach WHERE a < b AND a IN (SELECT a FROM reach GROUP BY a HAVING count(DISTINCT b) FILTER (b <> a) >= 2)",
     "p9_containment": _WINDOWS + """, c AS (SELECT item_id, count(*) AS n FROM ig GROUP BY 1), h AS (SELECT doc_id, item_id, count(DISTINCT run) AS k FROM dg JOIN ig USING (run) GROUP BY 1, 2)
 SELECT doc_id, item_id, k::int AS n_windows, k / n AS containment FROM h JOIN c USING (item_id)""",
