@@ -297,16 +297,35 @@ def force_merge(labels: DataFrame, most: int = 40) -> list[tuple[int, int]]:
     return out
 
 
+#: Clusters are made again, of half the size, if more than this share is noise or fewer than so many clusters are left.
+NOISY, FEWEST = 0.4, 5
+
+
 def reduce_and_cluster(vectors: DataFrame, k: int, components: int = 10, far: float = 0.5, seed: int = 42) -> DataFrame:
-    """(vec_id, label): PCA and k-means in place of manifold reduction and density clustering; members far from their centre are noise (-1)."""
+    """(vec_id, label): PCA and k-means in place of manifold reduction and density clustering; members far from their centre are noise (-1).
+
+    With too much noise or too few clusters twice as many centres are tried once, and the better of both is kept.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    n = vectors.count()
+    if not n:
+        return vectors.select("vec_id", F.lit(-1).alias("label"))
+    width = len(vectors.select("embedding").first()[0])
     v = vectors.select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
-    reduced = PCA(k=components, inputCol="v", outputCol="p").fit(v).transform(v)
-    model = KMeans(k=k, seed=seed, featuresCol="p", predictionCol="label").fit(reduced)
-    centres = [[float(x) for x in c] for c in model.clusterCenters()]
-    p = vector_to_array("p")
-    centre = F.element_at(F.array(*(F.array(*map(F.lit, c)) for c in centres)), F.col("label") + 1)
-    return model.transform(reduced).select("vec_id", F.when(cosine(p, centre) < far, -1).otherwise(F.col("label")).alias("label"))
+    reduced = cut(PCA(k=min(components, width), inputCol="v", outputCol="p").fit(v).transform(v).select("vec_id", "p"))
+
+    def clustered(number: int) -> tuple[float, int, DataFrame]:
+        model = KMeans(k=max(2, min(number, n)), seed=seed, featuresCol="p", predictionCol="label").fit(reduced)
+        centres = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in model.clusterCenters()))
+        near = cosine(vector_to_array("p"), F.element_at(centres, F.col("label") + 1)) >= far
+        out = cut(model.transform(reduced).select("vec_id", F.when(near, F.col("label")).otherwise(-1).alias("label")))
+        noise, some = out.agg(F.count_if(F.col("label") < 0) / n, F.countDistinct(F.when(F.col("label") >= 0, F.col("label")))).first()
+        return noise, some, out
+
+    first = clustered(k)
+    if first[0] > NOISY or first[1] < FEWEST:
+        first = min(first, clustered(2 * k), key=lambda x: (x[1] < FEWEST, x[0]))
+    return first[2]

@@ -218,23 +218,29 @@ m{number} AS (SELECT '{number}' AS rung, count(*) AS queries, round(avg(coalesce
 
 _LISTS = ["SELECT query_id, doc_id, 0 AS s, r FROM d", "SELECT query_id, doc_id, 1 AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM b",
           "SELECT query_id, doc_id, 2 AS s, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS r FROM (" + _ENT + ")", "SELECT query_id, doc_id, 3 AS s, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM cb"]
+_OVER = "list_distinct(list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 1))"
 _LADDER = _BM25 + ", " + _DENSE + ", " + _CHUNKED.split("WITH ", 1)[1].replace("n AS (SELECT doc_id, coalesce(title", "cn AS (SELECT doc_id, coalesce(title").replace("FROM n WHERE whole", "FROM cn WHERE whole").replace("g AS (SELECT doc_id, title, whole, CASE", "cg AS (SELECT doc_id, title, whole, CASE").replace("ELSE grown END AS grown FROM g)", "ELSE grown END AS grown FROM cg)").replace("l AS (SELECT doc_id, title, whole, CASE", "cl AS (SELECT doc_id, title, whole, CASE").replace("AS i FROM l))", "AS i FROM cl))") + ", l AS (" + _LISTED.replace("{docs}", "documents") + """),
 rw AS (SELECT doc_id, name AS tag, min(pos) AS pos FROM doc_tags JOIN tags ON tag_id = id GROUP BY 1, 2), ft AS (SELECT doc_id AS query_id, arg_min(tag, (pos, tag)) AS tag FROM rw WHERE doc_id % 100 = 0 GROUP BY 1),
-qr AS (SELECT DISTINCT query_id, doc_id FROM ft JOIN rw USING (tag) WHERE doc_id <> query_id), iq AS (SELECT query_id, count(*) AS n FROM qr GROUP BY 1), ii AS (SELECT *, (SELECT sum(1 / log2(g + 1)) FROM range(1, least(iq.n, 10) + 1) t(g)) AS idcg FROM iq), """ + ", ".join(_rung(n, " UNION ALL ".join(_LISTS[:n])) for n in range(1, 5)) + " " + " UNION ALL ".join(f"SELECT * FROM m{n}" for n in range(1, 5))
+qr AS (SELECT DISTINCT query_id, doc_id FROM ft JOIN rw USING (tag) WHERE doc_id <> query_id), iq AS (SELECT query_id, count(*) AS n FROM qr GROUP BY 1), ii AS (SELECT *, (SELECT sum(1 / log2(g + 1)) FROM range(1, least(iq.n, 10) + 1) t(g)) AS idcg FROM iq), """ + ", ".join(_rung(n, " UNION ALL ".join(_LISTS[:n])) for n in range(1, 5)) + f""",
+hw AS (SELECT k4.query_id, k4.doc_id, {_OVER.format(x='q.title')} AS a, {_OVER.format(x="left(concat_ws(' ', x.title, x.body), 400)")} AS b FROM k4 JOIN documents q ON q.doc_id = query_id AND q.title IS NOT NULL JOIN documents x ON x.doc_id = k4.doc_id WHERE rank <= 20),
+sc AS (SELECT query_id, doc_id, CASE WHEN greatest(len(a), len(b)) > 0 THEN round(len(list_intersect(a, b)) / greatest(len(a), len(b)), 6) ELSE 0 END AS s FROM hw),
+k5 AS (SELECT k4.query_id, k4.doc_id, CASE WHEN rank <= 20 THEN row_number() OVER (PARTITION BY k4.query_id ORDER BY rank > 20, coalesce(s, 0) DESC, rank) ELSE rank END AS rank FROM k4 LEFT JOIN sc USING (query_id, doc_id)), """ + _rung(5, "SELECT 1").split("k5 AS (", 1)[1].split("), ", 1)[1] + " " + " UNION ALL ".join(f"SELECT * FROM m{n}" for n in range(1, 6))
 
 
 @query(_LADDER)
 def signal_ladder(s, d):
-    """What each signal adds to the metrics: vectors, then words, people, chunks; relevant are the notes with the queried note's first tag."""
+    """What each signal adds to the metrics: vectors, then words, people, chunks, at last reranking the first 20; relevant are the notes with the queried note's first tag."""
     lists = {"dense": _dense(s, d), "keyword": _bm25(s, d), "entity": _entity_signal(s, d), "chunk": _chunk_search(s, d)}
     names, parts = list(lists), []
     for n in range(1, 5):
         runs = R.fuse({k: lists[k] for k in names[:n]}).select("query_id", "doc_id", "rank")
         parts.append(V.retrieval_metrics(runs, _relevant(s, d)).withColumn("rung", F.lit(str(n))))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-
-
-_OVER = "list_distinct(list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 1))"
+    fused = R.fuse(lists)
+    docs = table(s, d, "documents").select("doc_id", F.substring(F.concat_ws(" ", "title", "body"), 1, 400).alias("t"))
+    scored = fused.where(F.col("rank") <= 20).join(docs, "doc_id").join(_queries(s, d), "query_id").select("query_id", "doc_id", F.round(R.overlap_score(F.col("q"), F.col("t")), 6).alias("new_score"))
+    best = R.rerank(fused, scored, 20).withColumnRenamed("place", "rank")
+    parts.append(V.retrieval_metrics(best, _relevant(s, d)).withColumn("rung", F.lit("5")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
 
 
 @query(_FUSED + f""", hw AS (SELECT k.query_id, k.doc_id, rank, {_OVER.format(x='q.title')} AS a, {_OVER.format(x="left(concat_ws(' ', x.title, x.body), 400)")} AS b FROM k JOIN documents q ON q.doc_id = query_id AND q.title IS NOT NULL JOIN documents x ON x.doc_id = k.doc_id WHERE rank <= 20),

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def accept(times: list[float], limit: int, window: float, state: list[float] | None = None) -> tuple[list[bool], list[float]]:
@@ -54,20 +55,35 @@ def limit_batch(events: DataFrame, key: str = "user_id", limit: int = 60, window
     return walked.select("event_id", key, F.timestamp_micros("us").alias("ts"), "accepted")
 
 
-def limit_stream(events: DataFrame, read_state, write_batch, key: str = "user_id", limit: int = 60, window: float = 60.0):
-    """The limiter on a stream, micro-batch by micro-batch: write_batch(decided, state) gets the batch's decisions and the
-    accepted events that a later batch still has to count, which read_state() gives back (None at the start)."""
-
-    def batch(df: DataFrame, _: int) -> None:
-        before = read_state()
-        decided = limit_batch(df, key, limit, window, before)
-        kept = decided.where("accepted").select("event_id", key, "ts")
-        kept = kept if before is None else kept.unionByName(before)
-        newest = kept.groupBy(key).agg(F.max("ts").alias("newest"))
-        live = kept.join(newest, key).where(F.unix_micros("ts") > F.unix_micros("newest") - int(window * 1e6)).select("event_id", key, "ts")
-        write_batch(decided, live)
-
-    return events.writeStream.foreachBatch(batch)
+def limit_stream(events: DataFrame, key: str = "user_id", limit: int = 60, window: float = 60.0, late: str = "1 hour") -> DataFrame:
+    """(event_id, key, ts, accepted) of a stream: the limiter with each key's accepted times, at most `limit` of them, as state.
+
+    The events of a key that one micro-batch brings are walked in order of time; events later than `late` are dropped, and so
+    is the state of a key once its last accepted time can't count any more.
+    """
+    span = int(window * 1e6)
+
+    def step(of: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = deque(state.get[0] if state.exists else ())
+        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
+        flags = []
+        for us in rows["us"].tolist():
+            while kept and kept[0] <= us - span:
+                kept.popleft()
+            flags.append(len(kept) < limit)
+            if flags[-1]:
+                kept.append(us)
+        state.update((list(kept),))
+        state.setTimeoutTimestamp(max(kept[-1] // 1000 + int(window * 1000), state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({"event_id": rows["event_id"], key: of[0], "us": rows["us"], "accepted": flags})
+
+    at = F.col("ts").cast("timestamp")
+    rows = events.select("event_id", F.col(key).alias("k"), F.unix_micros(at).alias("us"), at.alias("at")).withWatermark("at", late)
+    decided = rows.groupBy("k").applyInPandasWithState(step, f"event_id long, {key} long, us long, accepted boolean", "kept array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return decided.select("event_id", key, F.timestamp_micros("us").alias("ts"), "accepted")
 
 
 def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:

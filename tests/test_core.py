@@ -244,16 +244,20 @@ def test_streams(spark, tmp_path):
     schema = "event_id long, user_id long, event_type string, value double, ts timestamp"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    state, got = [None], {}
+    got = {}
 
-    def write(decided, live):
-        got.update({r.event_id: r.accepted for r in decided.collect()})
-        state[0] = spark.createDataFrame(live.collect(), "event_id long, user_id long, ts timestamp")
+    def run():
+        q = limiter.limit_stream(stream, limit=3, window=3600.0).writeStream.foreachBatch(lambda df, _: got.update({r.event_id: r.accepted for r in df.collect()}))
+        assert q.option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination(60)
 
-    for part in ("event_id < 4", "event_id >= 4"):  # the same as in one batch
-        q = limiter.limit_stream(stream.where(part), lambda: state[0], write, limit=3, window=3600.0).option("checkpointLocation", str(tmp_path / part[9:])).trigger(availableNow=True).start()
-        assert q.awaitTermination(60)
+    run()
     assert sum(got.values()) == 6 and len(got) == 10
+    later = [(10 + i, i % 2, "e", 1.0, t0 + timedelta(minutes=50 + 3 * i)) for i in range(10)]
+    spark.createDataFrame(later, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()  # goes on from the first run's state
+    whole = {r.event_id: r.accepted for r in limiter.limit_batch(spark.createDataFrame(rows + later, schema), limit=3, window=3600.0).collect()}
+    assert got == whole and len(got) == 20
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "in"))
     seen = []
     q = limiter.import_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")).selectExpr("cast(event_id as string) id", "event_type content_hash"),
                               lambda: spark.createDataFrame([], "id string, content_hash string, deleted_at timestamp"),
