@@ -62,9 +62,10 @@ pb AS (SELECT *, round(c / (c + e + n), 6) AS contra, round(e / (c + e + n), 6)
 """
 
 
-@query(_CLAIMS + "SELECT message_id, claim_no::int AS claim_no, text, cited FROM cl")
+@query(_CLAIMS + "SELECT message_id, claim_no::int AS claim_no, text, coalesce(cited, 0) AS cited FROM cl")
 def answer_claims(s, d):
-    return A.answer_claims(_answers(s, d))
+    """Claims of the answers; 0 for those that cite no note."""
+    return A.answer_claims(_answers(s, d)).fillna(0, ["cited"])
 
 
 @query(_CLAIMS + _CITED + "SELECT message_id, number, claim FROM cc WHERE claim <> ''")
