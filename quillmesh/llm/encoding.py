@@ -121,16 +121,24 @@ def _merge_long(sym: np.ndarray, table: PairTable) -> np.ndarray:
     A merge can make a pair of lower rank than its own (" the" comes before "the"), so rounds can't be taken together.
     """
     symbols = sym.tolist()
-    n = len(symbols)
+    n, none = len(symbols), int(_NONE)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    rank = table.look(sym[:-1], sym[1:]).tolist() + [_NONE]  # of the pair that begins at a place; a place that is gone has none
-    heap = [(r, i) for i, r in enumerate(rank) if r != _NONE]
+    rank = table.look(sym[:-1], sym[1:]).tolist() + [none]  # of the pair that begins at a place; a place that is gone has none
+    heap = [(r, i) for i, r in enumerate(rank) if r != none]
     heapq.heapify(heap)
 
+    known: dict[tuple[int, int], int] = {}
+
     def look(i: int) -> None:
         j = after[i]
-        rank[i] = int(table.look(np.array([symbols[i]], np.int32), np.array([symbols[j]], np.int32))[0]) if j < n else _NONE
-        if rank[i] != _NONE:
+        if j < n:
+            pair = symbols[i], symbols[j]
+            if (r := known.get(pair)) is None:
+                r = known[pair] = int(table.look(*np.array(pair, np.int32)[:, None])[0])
+            rank[i] = r
+        else:
+            rank[i] = none
+        if rank[i] != none:
             heapq.heappush(heap, (rank[i], i))
 
     while heap:
@@ -138,7 +146,7 @@ def _merge_long(sym: np.ndarray, table: PairTable) -> np.ndarray:
         if rank[i] != r:
             continue
         j = after[i]
-        symbols[i], after[i], rank[j] = r, after[j], _NONE
+        symbols[i], after[i], rank[j] = r, after[j], none
         if after[j] < n:
             before[after[j]] = i
         look(i)

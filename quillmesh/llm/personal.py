@@ -215,9 +215,14 @@ class Finder:
             if "id_number" in kinds and not (len(word) < 5 and (after.isalnum() or end >= len(word) and s[end - len(word)].isalnum())):
                 cues.append(end + 1)
         taken: list[tuple[int, int, str]] = []
+        covered = bytearray(len(s))
 
         def free(a: int, b: int) -> bool:
-            return all(b <= x or a >= y for x, y, _ in taken)
+            """Whether no span reaches into [a, b), which is taken then."""
+            if covered.find(1, a, b) >= 0:
+                return False
+            covered[a:b] = b"\x01" * (b - a)
+            return True
 
         if mail:
             for m in EMAIL.finditer(s):
@@ -272,8 +277,8 @@ class Finder:
         if 8 <= n <= 15 and any(p.fullmatch(raw) or p.fullmatch(raw.replace("(0)", "")) for p in _PHONES):
             return a, b
         if _LOCAL_PHONE.fullmatch(raw):
-            line = s[max(0, s.rfind("\n", 0, a)) : a]
-            if raw.startswith("555") or any(c in line[-40:] for c in PHONE_CUES):
+            near = s[max(0, a - 40, s.rfind("\n", max(0, a - 40), a)) : a]
+            if raw.startswith("555") or any(c in near for c in PHONE_CUES):
                 return a, b
         return None
 

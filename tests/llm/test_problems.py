@@ -358,3 +358,13 @@ def test_anchors_are_derived_from_the_patterns():
     assert residue.anchors("(?:you|we) are not (?:permitted|authori[sz]ed)", "busy(?: now)?") == {"permitted", "authori", "busy"}
     with pytest.raises(ValueError):
         residue.anchors("(?:a word)?[0-9]+")
+
+
+@pytest.mark.parametrize("text", ["a" * 200_000, "Call 202-555-0132 or write a.b@c.example; 12 Zelfen Lane, Pel " * 3000, "`" * 200_000, "{{ " * 70_000, "<" * 200_000, "\n" * 200_000, "😀👍🏽" * 60_000], ids=range(7))
+def test_long_texts_take_time_in_proportion(text):
+    import time
+
+    finder, encoder = personal.Finder(GIVEN, FAMILY), encoding.Encoder(*encoding.load_ranks(f"{encoding.TOKENIZERS}/byte_bpe_50k.tiktoken"))
+    began = time.thread_time()
+    finder.mask(text), residue.residue_kinds(text), splitting.pieces(text), languages.passages(text), encoder.encode([text])
+    assert time.thread_time() - began < 15
