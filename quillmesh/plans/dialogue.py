@@ -14,7 +14,7 @@ from quillmesh.operators import evaluation as V
 from quillmesh.operators import retrieval as R
 from quillmesh.operators import tags as G
 from quillmesh.plans.library import _LISTED, _listed
-from quillmesh.plans.notes import _CHAT, _TAGS, CHUNKS, _chat, _rows
+from quillmesh.plans.notes import _CHAT, CHUNKS, _chat, _rows
 from quillmesh.plans.registry import Registry
 from quillmesh.plans.search import _BM25, _DENSE, _bm25, _dense, _fused, _FUSED, _queries, enc
 from quillmesh.session import read_table as table
@@ -169,6 +169,13 @@ def search_coverage(s, d):
     steps = steps.withColumn("collected", F.sum("fresh").over(Window.partitionBy("query_id").orderBy("step"))).join(top, "query_id")
     return A.coverage(steps, similar=0.36, novel=0.6, max_steps=4)
 
+@query(_CLAIMS + _CITED + _CTX + ", nf AS (SELECT message_id, x::int AS number, min(i) AS p FROM (SELECT message_id, unnest(z) AS x, generate_subscripts(z, 1) AS i FROM (SELECT message_id, regexp_extract_all(array_to_string(regexp_extract_all(content, '\\[Note #\\d+(?:, ?#\\d+)*\\]'), ' '), '#(\\d+)', 1) AS z FROM an)) GROUP BY 1, 2) SELECT nf.message_id, number, doc_id FROM nf JOIN cx ON cx.message_id = nf.message_id AND position = number")
+def resolved_citations(s, d):
+    """The notes that answers cite; numbers beyond the context name none."""
+    m = _answers(s, d)
+    return C.resolve_citations(C.citations(m), _context(s, d).drop("note")).select("message_id", "number", "doc_id")
+
+
 
 # Signals
 

@@ -523,3 +523,28 @@ def rows_with_vectors(s, d):
     first = docs.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.min("doc_id").alias("vec_id"))
     vectors = table(s, d, "embeddings").join(first, "vec_id").select("content_hash", "embedding")
     return S.with_vectors(docs.select("doc_id"), docs, vectors).select("doc_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("x"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE deleted_at END AS deleted_at FROM documents WHERE doc_id % 2 = 1 OR deleted_at IS NOT NULL")
+def restored_notes(s, d):
+    """Deleted notes of even ids are live again."""
+    docs = table(s, d, "documents").where((F.col("doc_id") % 2 == 1) | F.col("deleted_at").isNotNull())
+    return I.restore(docs, F.col("doc_id") % 2 == 0).select("doc_id", F.col("deleted_at").cast("timestamp_ntz").alias("deleted_at"))
+
+
+@query(_TAGS + """, w AS (SELECT doc_id, 'daily' AS tag, 0 AS seq FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 'bulk', 1 FROM documents WHERE doc_id % 5 < 2),
+n AS (SELECT doc_id, tag, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS k FROM w WHERE (doc_id, tag) NOT IN (SELECT (doc_id, tag) FROM r))
+SELECT doc_id, tag, pos FROM r UNION ALL SELECT n.doc_id, tag, coalesce((SELECT max(pos) FROM r WHERE r.doc_id = n.doc_id), -1) + k FROM n""")
+def bulk_tags(s, d):
+    """Several tags for many notes at once; notes that don't exist are skipped."""
+    docs = table(s, d, "documents").select("doc_id")
+    tag = lambda c, name, seq: docs.where(c).select("doc_id", F.lit(name).alias("tag"), F.lit(seq).alias("seq"))
+    gone = s.createDataFrame([(-7, "bulk", 1)], "doc_id long, tag string, seq int")
+    return T.tag_notes(_rows(s, d), docs, tag(F.col("doc_id") % 5 == 0, "daily", 0).unionByName(tag(F.col("doc_id") % 5 < 2, "bulk", 1)).unionByName(gone))
+
+
+@query("WITH RECURSIVE l AS (" + _LISTED.replace("{docs}", "documents") + ")" + _ALIKE + ", cn AS (SELECT a AS surface, reach.label, arg_min(b, (-docs, b)) AS canonical FROM reach JOIN sf ON sf.surface = b AND sf.label = reach.label GROUP BY 1, 2) SELECT DISTINCT canonical, doc_id FROM l JOIN cn USING (surface, label)")
+def entity_notes(s, d):
+    """The notes of each entity, whatever the spelling."""
+    m = _listed(s, d)
+    return E.entity_documents(m, E.aliases(m))

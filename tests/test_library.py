@@ -282,3 +282,38 @@ def test_proposal_rules(spark):
     assert got == {0: ("p0", "reject"), 1: ("restored-1", "pending"), 2: ("p2", "approve")}
     assert proposals.approve_all(proposals.decided(cards, said)).where("action = 'pending'").count() == 1
     assert T.normalized("ÀÉ") == "ae"
+
+
+def test_an_import_from_files_to_the_next_version(spark, tmp_path):
+    """Two folders of notes, imported one after the other: ids and hashes, change set, next version, the exclusion that follows a tag."""
+    from quillmesh.operators import ingest, tags
+    from quillmesh.sources import notes
+
+    def load(name, files):
+        folder = tmp_path / name
+        folder.mkdir()
+        for f, text in files.items():
+            (folder / f).write_text(text)
+        docs, _ = notes.split_scan(notes.importer("markdown")(spark, str(folder)))
+        return ingest.to_documents(docs, "vault")
+
+    first, second = load("one", {"a.md": "# A\nx", "b.md": "b", "c.md": "c"}), load("two", {"a.md": "# A\nx", "b.md": "b2", "d.md": "d"})
+    assert {r.id.split(":")[0] for r in first.collect()} == {"vault"} and first.select("id").distinct().count() == 3
+    assert tuple(ingest.change_counts(ingest.change_set(second, first)).first()) == (1, 1, 1, 1, 0)
+    after = ingest.apply_snapshot(second, first, datetime(2024, 6, 1))
+    assert after.where("deleted_at is null").count() == 3 and ingest.restore(after, F.lit(True)).where("deleted_at is null").count() == 4
+    assert store.list_ids(after, "vault").count() == 3 and store.list_ids(after, "other").count() == 0 and store.list_ids(after, deleted=True).count() == 4
+    gone = tags.renamed_exclusions(spark.createDataFrame([("a",), ("b",)], "tag string"), "a", "b")
+    assert [r.tag for r in gone.collect()] == ["b"]
+
+
+def test_judged_corpus(spark, tmp_path):
+    from quillmesh.sources import notes
+
+    (tmp_path / "qrels").mkdir()
+    (tmp_path / "corpus.jsonl").write_text('{"_id": "d1", "title": "T", "text": "x"}\n{"_id": "d2", "title": "", "text": "y"}\n')
+    (tmp_path / "queries.jsonl").write_text('{"_id": "q1", "text": "x?"}\n')
+    for lines in ("query-id\tcorpus-id\tscore\nq1\td1\t1\nq1\td2\t0\n", "q1\t0\td1\t2\nq1\t0\td2\t0\n"):
+        (tmp_path / "qrels" / "test.tsv").write_text(lines)
+        docs, queries, qrels = notes.judged_corpus(spark, str(tmp_path))
+        assert (docs.count(), queries.count()) == (2, 1) and [tuple(r) for r in qrels.collect()] == [("q1", "d1")]
