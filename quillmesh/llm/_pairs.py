@@ -22,7 +22,7 @@ from quillmesh.session import cut, keep
 
 #: Classes of a cell that one task compares with each other; larger cells are cut in blocks whose pairs are separate work.
 BLOCK = 8192
-#: Members of a group whose pairs pairs_within makes in one task.
+#: Members of a group whose pairs pairs_within makes in one task, and classes of a bucket whose pairs are verified together.
 GROUP = 512
 #: Counters of a sketch at most.
 SKETCH_BITS = 25
@@ -36,7 +36,7 @@ SEEN = 1_000_000
 
 
 def _member(segments: int) -> np.dtype:
-    return np.dtype([("n", np.int32), ("rest", np.int32), ("key", np.int64), ("point", np.uint64, (segments // 64,))])
+    return np.dtype([("n", np.int32), ("rest", np.int32), ("prev", np.int64), ("key", np.int64), ("point", np.uint64, (segments // 64,))])
 
 
 def class_key(sorted_hashes: np.ndarray) -> int:
@@ -140,7 +140,7 @@ def _strips(x: np.ndarray, y: np.ndarray, same: bool, least: tuple[int, int]) ->
             continue
         z = y[first:end]
         both = rows["n"][:, None] + z["n"][None, :]
-        ok = np.minimum(rows["rest"][:, None], z["rest"][None, :]) * (p + q) >= p * both
+        ok = (np.minimum(rows["rest"][:, None], z["rest"][None, :]) * (p + q) >= p * both) & (rows["prev"][:, None] != z["prev"][None, :])
         if same:
             ok &= np.arange(first, end)[None, :] > np.arange(lo, lo + len(rows))[:, None]
         apart = np.zeros(both.shape, np.int32)
@@ -159,13 +159,13 @@ def _joined(cell: np.ndarray, m: np.ndarray, least: tuple[int, int]) -> list[tup
     for g in np.flatnonzero(size > SMALL):
         out += _strips(m[start[g] : start[g] + size[g]], m[start[g] : start[g] + size[g]], True, least)
     left = np.repeat(np.where(size > SMALL, 0, size), size) - (np.arange(len(cell)) - np.repeat(start, size))  # rows from here to the cell's end
-    n, rest, point = m["n"], m["rest"], m["point"]
+    n, rest, prev, point = m["n"], m["rest"], m["prev"], m["point"]
     i = np.flatnonzero(left > 1)
     d = 1
     while len(i):
         j = i + d
         both = n[i] + n[j]
-        fit = np.minimum(rest[i], rest[j]) * (p + q) >= p * both
+        fit = (np.minimum(rest[i], rest[j]) * (p + q) >= p * both) & (prev[i] != prev[j])
         a, b = i[fit], j[fit]
         apart = np.bitwise_count(point[a] ^ point[b]).sum(axis=1, dtype=np.int32)
         near = apart * (p + q) <= (q - p) * both[fit]
@@ -190,7 +190,7 @@ def _pairs_batch(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch |
 
 
 def _range_join(least: tuple[int, int], most: int):
-    """Rows (cell, n, rest, key, point) sorted by cell, n, key -> pairs (a, b) within the bound; of cells of more than `most` classes blocks of members."""
+    """Rows (cell, n, rest, prev, key, point) sorted by cell, n, key -> pairs (a, b) within the bound; of cells of more than `most` classes blocks of members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_cell, blocks = (), None, 0  # of the last cell met: its classes not yet given out and its blocks that were
@@ -217,9 +217,9 @@ def _range_join(least: tuple[int, int], most: int):
             if not batch.num_rows:
                 continue
             cell = batch.column(0).to_numpy()
-            coded = b"".join(batch.column(4).to_pylist())
+            coded = b"".join(batch.column(5).to_pylist())
             m = np.empty(len(cell), _member(8 * len(coded) // len(cell)))
-            m["n"], m["rest"], m["key"] = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            m["n"], m["rest"], m["prev"], m["key"] = (batch.column(i).to_numpy() for i in (1, 2, 3, 4))
             m["point"] = np.frombuffer(coded, np.uint64).reshape(len(cell), -1)
             if len(held):
                 cell, m = np.r_[np.full(len(held), held_cell), cell], np.concatenate([held, m])
@@ -265,8 +265,9 @@ def _block_pairs(least: tuple[int, int]):
 def candidates(rows: DataFrame, least: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """(a, b) distinct, a < b: classes that share a cell and are within the bound for a similarity of p/q; and the cached table to drop after use.
 
-    rows: (cell, n, rest, key, point); rest is what a class has from this cell's bit on in the common order of bits.
-    If it is the first bit that two classes share, they have at most the smaller rest in common.
+    rows: (cell, n, rest, prev, key, point); rest is what a class has from this cell's bit on in the common order of bits.
+    If it is the first bit that two classes share, they have at most the smaller rest in common. prev is the bit before this
+    one, or the class's key at its first: two classes with the same one have met in that bit's cell and needn't meet here.
     """
     found = keep(rows.repartition("cell").sortWithinPartitions("cell", "n", "key").mapInArrow(_range_join(least, BLOCK), _FOUND))
     hot = found.where(F.col("block").isNotNull()).select("cell", "block", "segments", "members")
@@ -278,23 +279,31 @@ def candidates(rows: DataFrame, least: tuple[int, int]) -> tuple[DataFrame, Data
 
 
 def _exact(least: tuple[int, int]):
+    """Rows (g, kind, a, b, hashes) sorted by g and kind: the sets of a group (kind 0, key a), then its pairs -> similar pairs."""
     p, q = least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, known = None, {}
         for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            keep_, sim = [], []
-            offsets = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column(2), batch.column(3))]
-            (oa, fa), (ob, fb) = offsets
-            for i in range(len(a)):
-                x, y = fa[oa[i] : oa[i + 1]], fb[ob[i] : ob[i + 1]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
+            g, kind, a = (batch.column(i).to_numpy().tolist() for i in range(3))
+            b = batch.column(3).fill_null(0).to_numpy().tolist()
+            at, hashes = batch.column(4).offsets.to_numpy(), batch.column(4).values.to_numpy().view(np.uint64)
+            out = []
+            for i in range(batch.num_rows):
+                if g[i] != group:
+                    group, known = g[i], {}
+                if kind[i] == 0:
+                    known[a[i]] = hashes[at[i] : at[i + 1]].copy()
+                    continue
+                x, y = known[a[i]], known[b[i]]
+                if len(x) > len(y):
+                    x, y = y, x
+                both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
                 union = len(x) + len(y) - both
-                if union and both * q >= p * union:
-                    keep_.append(i), sim.append(both / union)
-            if keep_:
-                at = np.array(keep_)
-                yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(sim)], names=["a", "b", "similarity"])
+                if both * q >= p * union:
+                    out.append((a[i], b[i], both / union))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["a", "b", "similarity"])
 
     return run
 
@@ -302,16 +311,22 @@ def _exact(least: tuple[int, int]):
 def similar_classes(sets: DataFrame, rows: DataFrame, least: tuple[int, int]) -> DataFrame:
     """(a, b, similarity) of classes with a Jaccard similarity of at least p/q among the candidates of `rows`.
 
-    sets: (key, hashes, …) of every record. What passes the range join is verified on the sets themselves;
-    the result is written to the shared checkpoint folder.
+    sets: (key, hashes, …) of every record. What passes the range join is verified on the sets themselves: classes
+    are dealt into buckets of about GROUP, pairs are grouped by the buckets of their ends, and a class's set goes to
+    a group once, however many partners it has there. The result is written to the shared checkpoint folder.
     """
     near, cached = candidates(rows, least)
     near = keep(near)
-    wanted = sketch(near.select(F.array("a", "b")), 8)
-    full = once(sets.select("key", "hashes"), wanted).dropDuplicates(["key"])
-    ha = full.select(F.col("key").alias("a"), F.col("hashes").alias("ha"))
-    hb = full.select(F.col("key").alias("b"), F.col("hashes").alias("hb"))
-    links = cut(near.join(ha, "a").join(hb, "b").select("a", "b", "ha", "hb").mapInArrow(_exact(least), "a long, b long, similarity double"))
+    ends = near.select(F.explode(F.array("a", "b")).alias("key"))
+    buckets = 1 + (ends.agg(F.approx_count_distinct("key")).first()[0] or 0) // GROUP
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
+    pairs = near.select((F.least(of("a"), of("b")) * buckets + F.greatest(of("a"), of("b"))).alias("g"), "a", "b")
+    needed = pairs.select("g", F.col("a").alias("key")).unionByName(pairs.select("g", F.col("b").alias("key"))).distinct()
+    full = once(sets.select("key", "hashes"), sketch(near.select(F.array("a", "b")), 8)).dropDuplicates(["key"])
+    dealt = needed.join(full, "key").select("g", F.lit(0).alias("kind"), F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "hashes")
+    asked = pairs.select("g", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("array<long>").alias("hashes"))
+    sorted_rows = dealt.unionByName(asked).repartition("g").sortWithinPartitions("g", "kind")
+    links = cut(sorted_rows.mapInArrow(_exact(least), "a long, b long, similarity double"))
     near.unpersist(), cached.unpersist()
     return links
 

@@ -27,7 +27,7 @@ COPIES = 256
 #: Records whose cells are made at once.
 ROWS = 1000
 #: Coordinates of the points of texts; runs of words are rare, so that few of them serve.
-SEGMENTS = 128
+SEGMENTS = 64
 
 
 def fingerprints(docs: DataFrame, text: str, k: int, least_words: int, least_size: int = 1, min_chars: int = 1, segments: int = SEGMENTS) -> DataFrame:
@@ -57,9 +57,9 @@ def fingerprints(docs: DataFrame, text: str, k: int, least_words: int, least_siz
 
 
 def cells(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """(cell, n, rest, key, point): the rarest set bits of each class, as many as a similar one cannot all lack.
+    """(cell, n, rest, prev, key, point): the rarest set bits of each class, as many as a similar one cannot all lack.
 
-    rest is the number of bits that a class has from the cell's bit on. Copies leave a task once.
+    rest is the number of bits that a class has from the cell's bit on, prev the bit before it. Copies leave a task once.
     """
     p, q = least
     sent = sets.sparkSession.sparkContext.broadcast(sketch(sets.select("hashes")))
@@ -76,12 +76,14 @@ def cells(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
             place = np.arange(len(flat)) - np.repeat(at[:-1], n)
             first = place < np.repeat(n + 1 - -(-n * p // q), n)
             of = owner[order[first]]
+            cell = flat[order].view(np.int64)
+            prev = np.where(place == 0, batch.column(0).to_numpy()[owner], np.roll(cell, 1))[first]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[order[first]].view(np.int64)), pa.array(n[of]), pa.array((n[of] - place[first]).astype(np.int32)), batch.column(0).take(pa.array(of)), batch.column(2).take(pa.array(of))],
-                names=["cell", "n", "rest", "key", "point"],
+                [pa.array(cell[first]), pa.array(n[of]), pa.array((n[of] - place[first]).astype(np.int32)), pa.array(prev), batch.column(0).take(pa.array(of)), batch.column(2).take(pa.array(of))],
+                names=["cell", "n", "rest", "prev", "key", "point"],
             )
 
-    return sets.select("key", "n", "point", "hashes").mapInArrow(run, "cell long, n int, rest int, key long, point binary")
+    return sets.select("key", "n", "point", "hashes").mapInArrow(run, "cell long, n int, rest int, prev long, key long, point binary")
 
 
 def similar_records(docs: DataFrame, text: str, k: int, least: tuple[int, int], least_words: int) -> tuple[DataFrame, DataFrame]:
