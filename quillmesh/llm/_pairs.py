@@ -59,7 +59,7 @@ def _coded(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.rint(STEPS * np.log2(1.0 + counts))).astype(np.uint8)
 
 
-def sketch(lists: DataFrame, slots: int = 1) -> tuple[int, np.ndarray]:
+def sketch(lists: DataFrame, slots: float) -> tuple[int, np.ndarray]:
     """(bits, counters): about how often a hash of the lists (one column) occurs, by its first `bits` bits, in a sketch of
     `slots` logarithmic counters for each hash and 2^SKETCH_BITS in all. A hash that occurs has a counter above 0.
 

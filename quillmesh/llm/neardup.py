@@ -26,6 +26,8 @@ from quillmesh.session import cut
 COPIES = 256
 #: Records whose cells are made at once.
 ROWS = 1000
+#: Counters of the sketch that orders bits for each bit of a record; bits that share one are told apart by themselves.
+SLOTS = 0.25
 #: Coordinates of the points of texts; runs of words are rare, so that few of them serve.
 SEGMENTS = 64
 
@@ -62,7 +64,7 @@ def cells(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
     rest is the number of bits that a class has from the cell's bit on, prev the bit before it. Copies leave a task once.
     """
     p, q = least
-    sent = sets.sparkSession.sparkContext.broadcast(sketch(sets.select("hashes")))
+    sent = sets.sparkSession.sparkContext.broadcast(sketch(sets.select("hashes"), SLOTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, counts = sent.value
