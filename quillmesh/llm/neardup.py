@@ -26,8 +26,9 @@ from quillmesh.session import cut
 COPIES = 256
 #: Records whose cells are made at once.
 ROWS = 1000
-#: Counters of the sketch that orders bits for each bit of a record; bits that share one are told apart by themselves.
-SLOTS = 0.25
+#: Counters of the sketch that orders bits for each bit of a record. With fewer, rare bits and common ones look alike, and
+#: what false candidates cost is more than the sketch saves.
+SLOTS = 1
 #: Coordinates of the points of texts; runs of words are rare, so that few of them serve.
 SEGMENTS = 64
 
