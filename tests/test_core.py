@@ -296,3 +296,34 @@ def test_registry_matches_sql():
     from quillmesh.plans import catalog
 
     assert catalog.oracle_sql().keys() <= catalog.queries().keys() and catalog.FLAGSHIP in catalog.queries()
+
+
+def test_keyword_scores_and_ranks_where_the_documents_are(spark):
+    rng = random.Random(4)
+    vocabulary = [f"wörd{i}" for i in range(25)]
+    corpus = [(i, " ".join(rng.choice(vocabulary[: rng.randrange(2, 25)]) for _ in range(rng.randrange(0, 30)))) for i in range(90)] + [(90, None), (91, "un" + vocabulary[3] + " " + vocabulary[4] + "s")]
+    docs = spark.createDataFrame(corpus, "doc_id long, text string")
+    q = spark.createDataFrame([(100 + i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 4)))) for i in range(14)] + [(114, "wörd3 wörd4"), (115, "none"), (116, None), (117, "")], "query_id long, q string")
+    want = {(r.query_id, r.doc_id): r.score for r in retrieval.bm25(retrieval.keyword_scan(docs, F.col("text"), q), q).collect()}
+    before = retrieval.CELLS, retrieval.ASKED
+    also = spark.createDataFrame([(q, d) for q in range(98, 118) for d in range(q % 3, 92, 13)], "query_id long, doc_id long")
+    dense = spark.createDataFrame([(r.query_id, r.doc_id, 1 / (1 + r.doc_id)) for r in also.collect()], "query_id long, doc_id long, score double")
+    ranks = {}
+    for query in {k for k, _ in want}:
+        for r, (_, d) in enumerate(sorted((-round(s, 6), d) for (k, d), s in want.items() if k == query), 1):
+            ranks[query, d] = r
+    named = {tuple(r) for r in also.collect()}
+    try:
+        for retrieval.CELLS, retrieval.ASKED in ((50, 5), before):
+            blocks = list(retrieval.keyword_blocks(docs, F.col("text"), q))
+            scores = retrieval.keyword_scores(blocks, spark)
+            got = {(r.query_id, r.doc_id): r.score for r in scores.collect()}
+            assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want) and len(want) > 200
+            first = retrieval.keyword_ranks(blocks, also, 3)
+            assert {(r.query_id, r.doc_id): r.r for r in first.collect()} == {k: r for k, r in ranks.items() if r <= 3 or k in named}
+            whole, head = retrieval.fuse({"dense": dense, "keyword": scores}), retrieval.fuse_ranks({"dense": retrieval.ranked(dense), "keyword": first})
+            assert {tuple(r) for r in whole.where("rank <= 3").collect()} == {tuple(r) for r in head.where("rank <= 3").collect()}
+            assert "Exchange" not in scores._jdf.queryExecution().executedPlan().toString()
+    finally:
+        retrieval.CELLS, retrieval.ASKED = before
+    assert retrieval.keyword_scores(retrieval.keyword_blocks(docs.limit(0), F.col("text"), q), spark).count() == 0
