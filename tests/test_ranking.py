@@ -1,5 +1,7 @@
 """Whole ranked lists made in tasks are those of the joined and sorted pairs."""
 
+import pyarrow as pa
+from quillmesh.functions.encode import encoded
 from quillmesh.operators import ranking as K
 from quillmesh.operators import retrieval as R
 from quillmesh.plans import dialogue as D
@@ -64,7 +66,7 @@ def test_ladder_is_that_of_the_shuffled_pairs(spark, monkeypatch):
     lists = {"a": near, "b": R.bm25(R.keyword_scan(docs, F.col("title"), queries), queries), "c": named, "d": R.search_chunks(chunks, vector, 0.2)}
     for held in (60_000_000, 1):
         monkeypatch.setattr(K, "HELD", held), monkeypatch.setattr(K, "ADDED", 60 if held == 1 else 20_000)
-        found = K.ladder(list(R.keyword_blocks(docs, F.col("title"), queries)), near, by_list(names), chunks, by_list(tags), each, 0.2, 89, 5).collect()
+        found = K.ladder(list(R.keyword_blocks(docs, F.col("title"), queries)), near, by_list(names), K.packed(K.signal_rows(K.CHUNK, chunks, x="embedding")), by_list(tags), each, 0.2, 89, 5).collect()
         for rung in range(1, 5):
             want = set()
             for q in asked:
@@ -78,3 +80,9 @@ def test_ladder_is_that_of_the_shuffled_pairs(spark, monkeypatch):
 def test_signal_ladder_shuffles_no_ranked_pair(spark):
     plan = D.QUERIES["signal_ladder"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") <= 1  # the first 20 alone
+
+
+def test_packed_vectors_are_the_encoded_ones(spark):
+    texts = spark.createDataFrame([(i, WORDS[i % 8] + " " + WORDS[i % 3] if i % 9 else None) for i in range(1, 30)], "doc_id long, t string")
+    rows = [x for r in K.packed_vectors(texts, F.col("t")).collect() for b in pa.ipc.open_stream(bytes(r["rows"])) for x in b.to_pylist()]
+    assert {(r["kind"], r["doc_id"], tuple(r["x"])) for r in rows} == {(K.CHUNK, r["doc_id"], tuple(r["embedding"])) for r in encoded(texts, F.col("t")).collect()}
