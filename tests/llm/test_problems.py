@@ -86,6 +86,44 @@ def test_the_regression_decides_the_language():
     assert languages.Tagger(flat).tag([made[0][1]])[0][0][3:] == (None, 0.0)
 
 
+def test_a_task_meets_more_words_than_its_table_had_rows():
+    """The table grows in the call that needs it, and again, and all words keep their scores."""
+    tag = languages.Tagger(languages.train([(k, s) for k, v in SAMPLES.items() for s in v * 40]))
+    known = tag.tag([SAMPLES["fr"][0]])
+    made = ["".join(p) for p in itertools.islice(itertools.product("abcdefghij", repeat=6), 150_000)]
+    for lo in (0, 60_000, 120_000):
+        got = tag.tag([" ".join(made[i : i + 10]) for i in range(lo, lo + 30_000, 10)])
+        assert len(got) == 3000 and all(len(x) == 1 for x in got)
+    assert len(tag.tag([" ".join(made)])[0]) == 1 and len(tag.index) > 150_000
+    assert tag.tag([SAMPLES["fr"][0]]) == known and known[0][0][3] == "fr"
+
+
+def test_texts_are_scored_alike_in_blocks(monkeypatch):
+    model = languages.train([(k, s) for k, v in SAMPLES.items() for s in v * 40])
+    texts = [SAMPLES["en"][0] + ".\n" + SAMPLES["de"][1] + ".", None, "", SAMPLES["fr"][0]] * 3
+    whole = languages.Tagger(model).tag(texts)
+    monkeypatch.setattr(languages, "BLOCK", 1)
+    assert languages.Tagger(model).tag(texts) == whole and [len(x) for x in whole] == [2, 0, 0, 1] * 3
+
+
+def test_training_sample_of_long_documents_is_bounded(spark):
+    long = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4000)), lambda x: F.concat(F.lit("the cat sat on the mat and it was a good day for number "), x.cast("string"))), "\n").alias("body"))
+    samples, code = languages.labelled_passages(long.withColumn("title", F.lit("")))
+    size = sum(len(t) for _, t in samples)
+    assert 1_500_000 < size < 2_500_000 and not code  # of 9.5 million characters
+    short = docs(spark, [{"doc_id": i, "body": f"{SAMPLES[k][0]}.\n{SAMPLES[k][1]}\n```\nx = {i}\n\n```", "lang": k} for i, k in ((1, "en"), (2, "de"), (None, "fr"), (None, "en"))])
+    samples, code = languages.labelled_passages(short)
+    assert sorted(samples) == sorted((k, s + "." * (i == 0)) for k in ("en", "de", "fr", "en") for i, s in enumerate(SAMPLES[k])) and len(code) >= 4
+
+
+def test_long_runs_beside_an_address_take_time_in_proportion():
+    import time
+
+    began = time.thread_time()
+    assert languages.letters("write to a.b@c.example and www.x.example " + "ab" * 100_000 + " or http://x y") == ["write", "to", "and", "ab" * 100_000, "or", "y"]
+    assert time.thread_time() - began < 5
+
+
 def test_labels(spark):
     df = spark.createDataFrame([(x,) for x in ("EN", "en_US", "ger", "fre", "und", "english", "", None, "es-ES", "nl")], "lang string")
     assert [r[0] for r in df.select(languages.label_language(F.col("lang"))).collect()] == ["en", "en", "de", "fr", None, None, None, None, "es", None]
